@@ -79,7 +79,7 @@ def _root_finder():
 def _grouped_sizes(links: DataFrame) -> DataFrame:
     roots = _root_finder()
 
-    def sizes(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sizes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy
         import pandas
 
@@ -95,7 +95,7 @@ def _grouped_picks(graph: DataFrame) -> DataFrame:
     """(r, v, pick) that settles every remaining component in one step."""
     roots = _root_finder()
 
-    def picks(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def picks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy
         import pandas
 

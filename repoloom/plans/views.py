@@ -120,7 +120,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.expr(f"o_orderkey div {ORDERS_PER_REPO}")
     hot = (k % 3 == 0) | (block == HOT_REPO)
     x, language = F.col("x"), F.col("x") % 4
-    unreadable = ~F.col("hot") & (x % ORDERS_PER_REPO == 8) & (F.col("repo") % 7 == 4)
+    unreadable = ~F.col("hot") & (x % ORDERS_PER_REPO == 16) & (F.col("repo") % 7 == 4)
     rows = (
         spread(table(spark, sf_dir, "orders").select("o_orderkey"))
         .select(

@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+    "timestamp": T.TimestampType(),
+    "map<string,bigint>": T.MapType(T.StringType(), T.LongType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
     """`name type` pairs; a trailing `!` marks a column that is never NULL."""
     fields = []
     for part in text.replace("\n", " ").split(";"):
         name, kind = part.split()
         nullable = not kind.endswith("!")
-        fields.append(T.StructField(name, T.DataType.fromDDL(kind.rstrip("!")), nullable))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], nullable))
     return T.StructType(fields)
 
 
