@@ -72,6 +72,28 @@ def normalize(path: Column) -> Column:
     return F.when(untidy, collapsed).otherwise(path)
 
 
+def locate(directory: Column, target: Column) -> Column:
+    """`normalize(join(directory, target))`, cheap for the usual targets.
+
+    Usual: an optional `./`, then any number of `../`, then plain names, from a
+    tidy relative directory. Stepping up is then a matter of cutting the
+    directory short; everything else takes the general way.
+    """
+    usual = target.rlike(r"^(?:\./)?(?:\.\./)*(?:[^/.][^/]*/)*[^/.][^/]*\z") & ~directory.rlike(
+        r"^/|(?:^|/)\.{1,2}(?:/|\z)|//|/\z"
+    )
+    climb = F.regexp_extract(target, r"^(?:\./)?((?:\.\./)*)", 1)
+    names = F.regexp_replace(target, r"^\.{1,2}/(?:\.\./)*", "")
+    up = (F.length(climb) / 3).cast("int")
+    depth = F.when(directory == "", F.lit(0)).otherwise(
+        F.length(directory) - F.length(F.replace(directory, F.lit("/"), F.lit(""))) + 1
+    )
+    above = F.when(
+        depth > up, F.concat(F.call_function("substring_index", directory, F.lit("/"), depth - up), F.lit("/"))
+    ).otherwise(F.repeat(F.lit("../"), up - depth))
+    return F.when(usual, F.concat(above, names)).otherwise(normalize(join(directory, target)))
+
+
 def module_name(path: Column) -> Column:
     """Dotted module of a `.py` path; NULL if not one, or for a top-level `__init__.py`."""
     package = F.when(

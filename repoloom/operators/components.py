@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,32 +79,38 @@ def _root_finder():
 def _grouped_sizes(links: DataFrame) -> DataFrame:
     roots = _root_finder()
 
-    def sizes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sizes(key: tuple, group: pa.Table) -> pa.Table:
         import numpy
-        import pandas
+        import pyarrow
 
-        codes, names = pandas.factorize(pandas.concat([pdf["src"], pdf["dst"]]))
-        label = roots(codes[: len(pdf)], codes[len(pdf) :], len(names))
+        ends = pyarrow.chunked_array(group["src"].chunks + group["dst"].chunks)
+        named = ends.combine_chunks().dictionary_encode()
+        codes = named.indices.to_numpy()
+        half = len(codes) // 2
+        label = roots(codes[:half], codes[half:], len(named.dictionary))
         found = numpy.unique(label, return_counts=True)[1]
-        return pandas.DataFrame({"repo_id": key[0], "size": found})
+        return pyarrow.table({"repo_id": [key[0].as_py()] * len(found), "size": found})
 
-    return links.groupBy("repo_id").applyInPandas(sizes, "repo_id string, size bigint")
+    return links.groupBy("repo_id").applyInArrow(sizes, "repo_id string, size bigint")
 
 
 def _grouped_picks(graph: DataFrame) -> DataFrame:
     """(r, v, pick) that settles every remaining component in one step."""
     roots = _root_finder()
 
-    def picks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def picks(key: tuple, group: pa.Table) -> pa.Table:
         import numpy
-        import pandas
+        import pyarrow
 
-        ends = numpy.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()])
+        ends = numpy.concatenate([group["a"].to_numpy(), group["b"].to_numpy()])
         nodes, codes = numpy.unique(ends, return_inverse=True)
-        label = roots(codes[: len(pdf)], codes[len(pdf) :], len(nodes))
-        return pandas.DataFrame({"r": key[0], "v": nodes, "pick": nodes[label]})
+        half = len(codes) // 2
+        label = roots(codes[:half], codes[half:], len(nodes))
+        return pyarrow.table(
+            {"r": numpy.full(len(nodes), key[0].as_py()), "v": nodes, "pick": nodes[label]}
+        )
 
-    return graph.groupBy("r").applyInPandas(picks, "r bigint, v bigint, pick bigint")
+    return graph.groupBy("r").applyInArrow(picks, "r bigint, v bigint, pick bigint")
 
 
 # --- Larger repositories: contraction ------------------------------------------

@@ -39,13 +39,12 @@ def absolute_name(module: Column, level: Column, directory: Column, relative: st
     return F.when(level == 0, module).otherwise(followed)
 
 
-def dotted_prefixes(name: Column) -> Column:
-    """`a.b.c` -> [`a.b.c`, `a.b`, `a`]."""
-    parts = F.split(name, r"\.")
-    return F.transform(
-        F.sequence(F.size(parts), F.lit(1), F.lit(-1)),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."),
-    )
+def with_dotted_prefixes(names: DataFrame) -> DataFrame:
+    """A row per prefix `module` of `name`: `a.b.c` gives `a`, `a.b` and `a.b.c`."""
+    dots = F.length("name") - F.length(F.replace("name", F.lit("."), F.lit("")))
+    counted = names.withColumn("parts", F.explode(F.sequence(F.lit(1), dots + 1)))
+    prefix = F.call_function("substring_index", F.col("name"), F.lit("."), F.col("parts"))
+    return counted.withColumn("module", prefix).drop("parts")
 
 
 def python_occurrences(facts: DataFrame, relative: str) -> DataFrame:
@@ -68,9 +67,9 @@ def longest_prefix_targets(names: DataFrame, index: DataFrame) -> DataFrame:
     Equality on exploded prefixes instead of a condition on pairs; names without
     any indexed prefix (third-party modules) drop out in the join.
     """
-    prefixes = names.select("repo_id", "name", F.explode(dotted_prefixes(F.col("name"))).alias("module"))
     return (
-        prefixes.join(index, ["repo_id", "module"])
+        with_dotted_prefixes(names.select("repo_id", "name"))
+        .join(index, ["repo_id", "module"])
         .groupBy("repo_id", "name")
         .agg(F.max_by("path", F.length("module")).alias("dst"))
     )
@@ -110,7 +109,7 @@ def path_edges(facts: DataFrame) -> DataFrame:
         "repo_id", F.col("path").alias("src"), "directory", "language",
         F.explode("targets").alias("target"),
     )
-    located = paths.normalize(paths.join(F.col("directory"), F.col("target")))
+    located = paths.locate(F.col("directory"), F.col("target"))
     dst = F.when(F.col("language") == "rust", F.col("target")).otherwise(located)
     return (
         exploded.select("repo_id", "src", dst.alias("dst"))

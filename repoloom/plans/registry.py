@@ -229,7 +229,7 @@ def path_normalize(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             "repo_id", "src", "target",
-            paths.normalize(paths.join(F.col("directory"), target)).alias("dst"), "n",
+            paths.locate(F.col("directory"), target).alias("dst"), "n",
         )
     )
 
@@ -466,7 +466,9 @@ def score_buckets(spark, sf_dir):
 
 
 def mixture_sample(spark, sf_dir):
-    lengths = _document_tokens(spark, sf_dir).select(
+    # Counts are written down first: the draw looks at them several times.
+    measured = _document_tokens(spark, sf_dir).select("repo_id", "path", "tokens")
+    lengths = Staging(spark).save(measured, "lengths").df.select(
         "repo_id", "path", F.concat_ws("/", "repo_id", "path").alias("key"),
         serving.bucket(F.col("tokens"), (100, 1000)).alias("length_bucket"),
     )
