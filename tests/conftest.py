@@ -12,8 +12,8 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 def spark(tmp_path_factory):
     from repoloom.session import build_session
 
-    session = build_session("4", "tests")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("4", "tests", **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
 
