@@ -48,17 +48,12 @@ def with_dotted_prefixes(names: DataFrame) -> DataFrame:
 
 
 def python_occurrences(facts: DataFrame, relative: str) -> DataFrame:
-    """(repo_id, path, name, n): how often a file imports a dotted name."""
+    """(repo_id, path, name), a row per occurrence of a dotted name in a file."""
     exploded = facts.filter(F.col("language") == "python").select(
         "repo_id", "path", "directory", F.explode("modules").alias("m")
     )
     name = absolute_name(F.col("m.module"), F.col("m.level"), F.col("directory"), relative)
-    return (
-        exploded.select("repo_id", "path", name.alias("name"))
-        .filter(F.col("name").isNotNull())
-        .groupBy("repo_id", "path", "name")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return exploded.select("repo_id", "path", name.alias("name")).filter(F.col("name").isNotNull())
 
 
 def longest_prefix_targets(names: DataFrame, index: DataFrame) -> DataFrame:
@@ -80,10 +75,11 @@ def python_edges(
 ) -> DataFrame:
     """(repo_id, src, dst, n) of Python imports; a file never points at itself.
 
-    Names are resolved once per repository, however many files import them. With
-    `staging` the resolved names are written down first: the join back then has
-    a plain shuffle on both sides, which lets the planner broadcast a small
-    table and split a name that a huge share of all files imports.
+    Names are resolved once per repository, however many files import them: the
+    distinct names collapse before their shuffle. With `staging` the resolved
+    names are written down first. The join back then has a plain scan and
+    shuffle on both sides, which lets the planner broadcast a small table and
+    split a name that a huge share of all files imports.
     """
     occurrences = python_occurrences(facts, settings.relative_imports)
     index = module_index(facts.filter(F.col("language") == "python").select("repo_id", "path"))
@@ -94,7 +90,7 @@ def python_edges(
         occurrences.join(targets, ["repo_id", "name"])
         .filter(F.col("path") != F.col("dst"))
         .groupBy("repo_id", F.col("path").alias("src"), "dst")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 

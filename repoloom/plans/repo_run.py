@@ -69,10 +69,13 @@ def run(
         "candidates",
     )
     facts = stage_facts(files, candidates, settings, staging)
-    counted = staging.save(totals.token_totals(facts), "totals").df
+    counted_table = staging.save(totals.token_totals(facts), "totals")
+    counted = counted_table.df
     enough = counted.filter(
         ~totals.too_few_tokens(F.col("total_tokens"), settings.min_tokens)
     ).select("repo_id")
+    if counted_table.rows <= settings.max_broadcast_keys:
+        enough = F.broadcast(enough)
     graphed = facts.join(enough, "repo_id", "left_semi")
     metrics = score.rounded(graph_plan.metrics_from_facts(graphed, settings, staging))
     failures = (

@@ -2,8 +2,9 @@
 
 Spark's own file listing hides names that start with `_` or `.`, which loses
 `__init__.py` and hidden folders, so trees get a data source of their own.
-Listing and reading both happen in tasks: the listing is split by repository
-and top-level entry, and bytes are read only for the rows that survive filters.
+The driver sees repository names only. Tasks list the repositories, the listing
+is spread by top-level entry so that one large repository is shared out, and
+bytes are read only for the rows that survive filters.
 """
 
 from __future__ import annotations
@@ -14,71 +15,87 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SOURCE_NAME = "repository_tree"
+SOURCE_NAME = "repository_entries"
 
 
 def register(spark: SparkSession) -> None:
-    """Make `spark.read.format("repository_tree").load(root)` available."""
+    """Make `spark.read.format("repository_entries").load(root)` available:
+    (repo_id, entry) for every top-level entry of every repository below root."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     # Local classes travel to the workers by value; no package install needed there.
-    class Entry(InputPartition):
-        def __init__(self, repo: str, top: str):
-            self.repo = repo
-            self.top = top
+    class Slice(InputPartition):
+        def __init__(self, repos: list):
+            self.repos = repos
 
-    class Listing(DataSourceReader):
-        def __init__(self, root: str):
+    class Entries(DataSourceReader):
+        def __init__(self, root: str, slices: int):
             self.root = root
+            self.slices = slices
 
         def partitions(self):
             import os
 
-            return [
-                Entry(repo.name, top.name)
-                for repo in os.scandir(self.root)
-                if repo.is_dir()
-                for top in os.scandir(repo.path)
-            ]
+            names = sorted(d.name for d in os.scandir(self.root) if d.is_dir())
+            return [Slice(names[i :: self.slices]) for i in range(min(self.slices, len(names)))]
 
-        def read(self, entry):
+        def read(self, part):
             import os
 
-            base = os.path.join(self.root, entry.repo)
-            start = os.path.join(base, entry.top)
-            if not os.path.isdir(start):
-                found = [(base, [entry.top])]
-            elif os.path.islink(start):
-                found = []
-            else:
-                found = ((folder, names) for folder, _, names in os.walk(start))
-            for folder, names in found:
-                for name in names:
-                    location = os.path.join(folder, name)
-                    try:
-                        size = os.path.getsize(location)
-                    except OSError:
-                        size = 0
-                    yield entry.repo, os.path.relpath(location, base), size, location
+            for repo in part.repos:
+                for entry in os.scandir(os.path.join(self.root, repo)):
+                    yield repo, entry.name
 
-    class RepositoryTree(DataSource):
+    class RepositoryEntries(DataSource):
         @classmethod
         def name(cls):
             return SOURCE_NAME
 
         def schema(self):
-            return "repo_id string, path string, size_bytes bigint, location string"
+            return "repo_id string, entry string"
 
         def reader(self, schema):
-            return Listing(self.options["path"])
+            return Entries(self.options["path"], int(self.options.get("slices", "1000")))
 
-    spark.dataSource.register(RepositoryTree)
+    spark.dataSource.register(RepositoryEntries)
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, slices: int = 1000) -> DataFrame:
     """One row per file below `root/<repository>/`, without content."""
     register(spark)
-    return spark.read.format(SOURCE_NAME).load(root)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        import pandas
+
+        def files(repo, entry):
+            base = os.path.join(root, repo)
+            start = os.path.join(base, entry)
+            if not os.path.isdir(start):
+                places = [(base, [entry])]
+            elif os.path.islink(start):
+                places = []
+            else:
+                places = ((folder, names) for folder, _, names in os.walk(start))
+            for folder, names in places:
+                for name in names:
+                    location = os.path.join(folder, name)
+                    try:
+                        size = os.path.getsize(location)
+                    except OSError:
+                        size = 0
+                    yield repo, os.path.relpath(location, base), size, location
+
+        columns = ["repo_id", "path", "size_bytes", "location"]
+        for batch in batches:
+            for repo, entry in zip(batch["repo_id"], batch["entry"]):
+                yield pandas.DataFrame(list(files(repo, entry)), columns=columns)
+
+    entries = spark.read.format(SOURCE_NAME).option("slices", str(slices)).load(root)
+    return entries.repartition("repo_id", "entry").mapInPandas(
+        walk, "repo_id string, path string, size_bytes bigint, location string"
+    )
 
 
 def with_content(listing: DataFrame) -> DataFrame:

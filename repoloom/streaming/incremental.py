@@ -65,8 +65,9 @@ def run_stream(
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        # A repository may be listed twice within one micro-batch.
-        fresh = batch.dropDuplicates(["id"])
+        # A repository may be listed twice within one micro-batch; which of its
+        # rows is taken must not depend on their order.
+        fresh = batch.groupBy("id").agg(F.max(F.struct(*batch.columns)).alias("row")).select("row.*")
         run_and_store(batch.sparkSession, fresh, inputs, path, batch_id, settings)
 
     query = (

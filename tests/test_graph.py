@@ -83,6 +83,11 @@ def test_longest_prefix(spark):
     assert edges(spark, tree) == {("q.py", "a/b.py"): 1, ("q.py", "a/__init__.py"): 2}
 
 
+def test_repeated_python_import_counts_each_time(spark):
+    tree = {"q.py": "import b\nimport b\ndef f():\n    import b.c\n    from b import d", "b.py": ""}
+    assert edges(spark, tree) == {("q.py", "b.py"): 4}
+
+
 def test_python_file_does_not_point_at_itself(spark):
     assert edges(spark, {"a.py": "import a\nimport a.b"}) == {}
 
