@@ -20,6 +20,10 @@ from repoloom.settings import (
 )
 
 
+# Fixed value: start of the message of a repository that failed the size gate.
+SIZE_TEXT = "size_kb="
+
+
 def first_gates(
     named: DataFrame, metadata: DataFrame, snapshots: DataFrame, settings: Settings
 ) -> DataFrame:
@@ -64,7 +68,7 @@ def outcome_rows(
         .when(F.col("failure").isNotNull(), F.lit(STATUS_ERROR))
         .otherwise(F.lit(STATUS_COMPLETED))
     )
-    size_text = F.format_string(f"size_kb=%d < {settings.min_size_kb}", "size_kb")
+    size_text = F.format_string(f"{SIZE_TEXT}%d < {settings.min_size_kb}", "size_kb")
     token_text = F.format_string(
         f"tokens=%d < {settings.min_tokens}", F.coalesce("total_tokens", F.lit(0))
     )
@@ -119,3 +123,30 @@ def outcome_rows(
 def status_counts(results: DataFrame) -> DataFrame:
     """Run summary: repositories per outcome."""
     return results.groupBy("processing_status").agg(F.count(F.lit(1)).alias("repos"))
+
+
+def progress_counts(repos: DataFrame, stored: DataFrame, results: DataFrame) -> DataFrame:
+    """(measure, repos) of one run, a row each:
+
+    already_done: repositories with a stored row; to_process: listed ones without;
+    candidates: those that passed the metadata and size gates; filtered: the rest
+    of to_process; passed: completed ones.
+    """
+    done = stored.select("repo_id").distinct()
+    too_early = (F.col("processing_status") == STATUS_NO_METADATA) | F.coalesce(
+        F.col("error_message").startswith(SIZE_TEXT), F.lit(False)
+    )
+    candidate = (~too_early).cast("bigint")
+    completed = (F.col("processing_status") == STATUS_COMPLETED).cast("bigint")
+
+    def marks(df: DataFrame, **values) -> DataFrame:
+        pairs = [F.struct(F.lit(k).alias("measure"), v.alias("n")) for k, v in values.items()]
+        return df.select(F.inline(F.array(*pairs)))
+
+    one = F.lit(1).cast("bigint")
+    counted = (
+        marks(done, already_done=one)
+        .unionByName(marks(R.unprocessed(repos, done), to_process=one, filtered=one))
+        .unionByName(marks(results, candidates=candidate, filtered=-candidate, passed=completed))
+    )
+    return counted.groupBy("measure").agg(F.sum("n").alias("repos"))

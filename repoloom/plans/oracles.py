@@ -536,6 +536,22 @@ def oracle_sql() -> dict[str, str]:
         "repo_outcomes": outcomes,
         "run_summary": f"""SELECT processing_status, COUNT(*) AS repos FROM ({outcomes})
             GROUP BY processing_status""",
+        "run_progress": f"""
+            WITH rows AS MATERIALIZED ({outcomes}),
+                 counts AS (
+                     SELECT (SELECT COUNT(*) FROM supplier WHERE s_suppkey % 3 = 0) AS already_done,
+                            (SELECT COUNT(*) FROM supplier WHERE s_suppkey % 3 <> 0) AS to_process,
+                            (SELECT COUNT(*) FROM rows
+                             WHERE processing_status <> 'github_api_failed'
+                                   AND COALESCE(error_message, '') NOT LIKE 'size_kb=%')
+                                AS candidates,
+                            (SELECT COUNT(*) FROM rows WHERE processing_status = 'completed')
+                                AS passed)
+            SELECT 'already_done' AS measure, already_done AS repos FROM counts
+            UNION ALL SELECT 'to_process', to_process FROM counts
+            UNION ALL SELECT 'candidates', candidates FROM counts
+            UNION ALL SELECT 'filtered', to_process - candidates FROM counts
+            UNION ALL SELECT 'passed', passed FROM counts""",
         "status_lookup": f"""SELECT repo_id, full_name, error_message FROM ({outcomes})
             WHERE processing_status IN ('skipped', 'error')""",
         "incremental_run": _outcomes("TRUE"),

@@ -361,6 +361,12 @@ def run_summary(spark, sf_dir):
     return outcomes.status_counts(_outcome_rows(spark, sf_dir))
 
 
+def run_progress(spark, sf_dir):
+    return outcomes.progress_counts(
+        views.repos(spark, sf_dir), views.stored(spark, sf_dir), _outcome_rows(spark, sf_dir)
+    )
+
+
 def status_lookup(spark, sf_dir):
     return serving.with_status(_outcome_rows(spark, sf_dir), "skipped", "error").select(
         "repo_id", "full_name", "error_message"
@@ -368,20 +374,19 @@ def status_lookup(spark, sf_dir):
 
 
 def incremental_run(spark, sf_dir):
-    """Two deliveries of the repository list as a stream, overlapping by a third;
-    then the whole list once more as a batch, which must not add anything."""
+    """Two deliveries of the repository list, overlapping by a third, each taken up
+    by the resumed stream; then the whole list once more as a batch, which must
+    not add anything."""
     staging = Staging(spark)
-    arrivals, stored = staging.path("arrivals"), staging.path("results")
+    arrivals, stored, progress = (staging.path(n) for n in ("arrivals", "results", "progress"))
     listed = views.repos(spark, sf_dir)
     number = F.substring("id", 2, 20).cast("bigint")
-    listed.filter(number % 3 < 2).coalesce(1).write.mode("append").parquet(arrivals)
-    listed.filter(number % 3 > 0).coalesce(1).write.mode("append").parquet(arrivals)
     inputs = incremental.Inputs(
         views.metadata(spark, sf_dir), views.snapshots(spark, sf_dir), packed_code(spark, sf_dir)
     )
-    incremental.run_stream(
-        spark, arrivals, inputs, stored, staging.path("progress"), CODE_SETTINGS, files_per_batch=1
-    )
+    for delivery in (number % 3 < 2, number % 3 > 0):
+        listed.filter(delivery).write.mode("append").parquet(arrivals)
+        incremental.run_stream(spark, arrivals, inputs, stored, progress, CODE_SETTINGS)
     incremental.run_and_store(spark, listed, inputs, stored, 1_000_000, CODE_SETTINGS)
     return _comparable(results.read_results(spark, stored))
 
@@ -556,6 +561,7 @@ def queries() -> dict[str, Query]:
         "result_rounding": result_rounding,
         "repo_outcomes": repo_outcomes,
         "run_summary": run_summary,
+        "run_progress": run_progress,
         "status_lookup": status_lookup,
         "incremental_run": incremental_run,
         "result_constraints": result_constraints,
