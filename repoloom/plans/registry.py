@@ -26,7 +26,7 @@ from repoloom.operators import (
 from repoloom.plans import graph_plan, repo_run, views
 from repoloom.plans.oracles import MIN_TOKENS_CODE, MIN_TOKENS_DOCUMENTS
 from repoloom.settings import Settings
-from repoloom.sources import corpus as corpus_io, results
+from repoloom.sources import corpus as corpus_io, results, tables
 from repoloom.sources.staging import Staging
 from repoloom.streaming import incremental
 
@@ -519,7 +519,7 @@ def corpus_export(spark, sf_dir):
         F.col("total_tokens") >= MIN_TOKENS_DOCUMENTS
     )
     chosen = Staging(spark).save(enough.select("repo_id"), "chosen")
-    kept = repo_run.keep_candidates(files, chosen.df, chosen.rows, DEFAULTS.max_broadcast_keys)
+    kept = tables.files_of(files, chosen.df, chosen.rows, DEFAULTS.max_broadcast_keys)
     path = Staging(spark).path("corpus.jsonl")
     corpus_io.export_corpus(kept, path)
     return corpus_io.read_corpus(spark, path)

@@ -10,19 +10,7 @@ from repoloom.operators import outcomes, repos as repo_ops, score, totals
 from repoloom.plans import graph_plan
 from repoloom.settings import Settings
 from repoloom.sources.staging import StagedTable, Staging
-from repoloom.sources.tables import processed_keys
-
-
-def keep_candidates(files: DataFrame, candidates: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Files of candidate repositories, without ever shuffling file content.
-
-    `rows` is the known length of `candidates` (repo_id). Up to `limit` keys the
-    list is broadcast and content of other repositories is never decoded. Beyond
-    it all files pass, and the caller filters the compact facts instead.
-    """
-    if rows > limit:
-        return files
-    return files.join(F.broadcast(candidates), "repo_id", "left_semi")
+from repoloom.sources.tables import files_of, processed_keys
 
 
 def stage_facts(
@@ -32,7 +20,8 @@ def stage_facts(
     none of them should scan or parse content again."""
     keys = candidates.df
     facts = files_ops.file_facts(
-        keep_candidates(files, keys, candidates.rows, settings.max_broadcast_keys), settings
+        files_of(files, keys, candidates.rows, settings.max_broadcast_keys, settings.file_buckets),
+        settings,
     )
     if candidates.rows > settings.max_broadcast_keys:
         facts = facts.join(keys, "repo_id", "left_semi")

@@ -106,6 +106,8 @@ class Settings:
     # Largest candidate list that is broadcast to the file scan; beyond it the
     # compact per-file facts are joined instead.
     max_broadcast_keys: int = 2_000_000
+    # Number of buckets the file table was packed in, if it was.
+    file_buckets: int | None = None
 
     def __post_init__(self):
         if self.relative_imports not in ("drop", "resolve"):

@@ -32,9 +32,12 @@ def metrics(spark, staging, trees, settings=Settings(), partitions=None):
     return {row["repo_id"]: row for row in found.collect()}
 
 
-def edges(spark, tree, settings=Settings()):
-    """{(src, dst): n} of one repository."""
+def all_edges(spark, trees, settings=Settings()):
+    """{repo: {(src, dst): n}}."""
     from repoloom.operators import resolve
 
-    facts = file_ops.file_facts(files(spark, {"r": tree}), settings)
-    return {(e["src"], e["dst"]): e["n"] for e in resolve.all_edges(facts, settings).collect()}
+    facts = file_ops.file_facts(files(spark, trees), settings)
+    found = {repo: {} for repo in trees}
+    for e in resolve.all_edges(facts, settings).collect():
+        found[e["repo_id"]][e["src"], e["dst"]] = e["n"]
+    return found

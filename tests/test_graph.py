@@ -4,15 +4,11 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import edges, metrics
+from helpers import metrics
 
 from repoloom import schemas
 from repoloom.operators import components, score
-from repoloom.settings import Settings
-
-
-def one(spark, staging, tree, **options):
-    return metrics(spark, staging, {"r": tree}, **options)["r"]
+from repoloom.sources.staging import Staging
 
 
 def summary(row):
@@ -22,108 +18,59 @@ def summary(row):
     )
 
 
-def test_mixed_repository(spark, staging):
-    row = one(spark, staging, {
-        "src/__init__.py": "", "src/a.py": "import src.b\nimport os", "src/b.py": "",
-        "app.js": "import u from './util'",
-    })
-    assert summary(row) == (2, 2, 1, 3, 0.5121)
-    assert (row["graph_density"], row["avg_in_degree"], row["largest_component_fraction"]) == (0.1, 0.4, 0.4)
-
-
-def test_lone_file(spark, staging):
-    row = one(spark, staging, {"main.c": "int main;"})
-    assert summary(row) == (0, 0, 0, 0, 0.0)
-    assert (row["graph_density"], row["avg_in_degree"], row["largest_component_fraction"]) == (0, 0, 0)
-
-
-def test_self_import_counts_but_scores_nothing(spark, staging):
-    line = "import a from './x.js'\n"
-    assert summary(one(spark, staging, {"x.js": line * 2})) == (2, 1, 0, 0, 0.0)
-
-
-def test_dense_pair(spark, staging):
-    row = one(spark, staging, {"a.h": '#include "a.h"', "b.c": '#include "a.h"'})
-    assert summary(row) == (2, 2, 2, 1, 1.0)
-    assert row["graph_density"] == 1.0
-
-
-def test_target_that_does_not_exist_is_a_node(spark, staging):
-    assert summary(one(spark, staging, {"a.c": '#include "gone.h"'})) == (1, 1, 1, 1, 0.8303)
-
-
-RELATIVE = {"p/a.py": "from .b import x\nfrom . import c", "p/b.py": ""}
-
-
-def test_relative_imports_are_dropped_by_default(spark, staging):
-    assert summary(one(spark, staging, RELATIVE)) == (0, 0, 0, 2, 0.15)
-
-
-def test_relative_imports_can_be_followed(spark):
-    follow = Settings(relative_imports="resolve")
-    assert edges(spark, RELATIVE, follow) == {("p/a.py", "p/b.py"): 1}
-    deeper = {"p/q/a.py": "from ..b import x\nfrom .. import y\nfrom ....z import w", "p/b.py": "", "p/__init__.py": "", "z.py": ""}
-    assert edges(spark, deeper, follow) == {("p/q/a.py", "p/b.py"): 1, ("p/q/a.py", "p/__init__.py"): 1}
-
-
-def test_package_wins_over_module(spark, staging):
-    tree = {"p.py": "", "p/__init__.py": "", "q.py": "import p"}
-    assert edges(spark, tree) == {("q.py", "p/__init__.py"): 1}
-    assert summary(one(spark, staging, tree))[4] == 0.5925
-
-
-def test_from_import_looks_at_the_module_only(spark, staging):
-    tree = {"q.py": "from p import m", "p/m.py": ""}
-    assert edges(spark, tree) == {}
-    assert summary(one(spark, staging, tree))[4] == 0.15
-
-
-def test_longest_prefix(spark):
-    tree = {"a/__init__.py": "", "a/b.py": "", "q.py": "import a.b.c.d\nimport a.x\nimport a\nimport ab"}
-    assert edges(spark, tree) == {("q.py", "a/b.py"): 1, ("q.py", "a/__init__.py"): 2}
-
-
-def test_repeated_python_import_counts_each_time(spark):
-    tree = {"q.py": "import b\nimport b\ndef f():\n    import b.c\n    from b import d", "b.py": ""}
-    assert edges(spark, tree) == {("q.py", "b.py"): 4}
-
-
-def test_python_file_does_not_point_at_itself(spark):
-    assert edges(spark, {"a.py": "import a\nimport a.b"}) == {}
-
-
-def test_upper_case_suffix_is_a_node_but_not_a_module(spark, staging):
-    tree = {"a.PY": "import b", "b.py": "import a"}
-    assert edges(spark, tree) == {("a.PY", "b.py"): 1}
-    assert one(spark, staging, tree)["num_connected_components"] == 1
-
-
-def test_bad_python_keeps_its_nodes(spark, staging):
-    row = one(spark, staging, {"a.py": "import (", "b.py": "import a\0", "c.py": "\ufeffimport a"})
-    assert summary(row) == (0, 0, 0, 3, 0.1)
-
-
-def test_equal_names_merge_across_languages(spark, staging):
-    tree = {"a.rs": "use crate::util;", "b.js": "import u from './util'"}
-    row = one(spark, staging, tree)
-    assert (row["num_connected_components"], row["max_in_degree"]) == (1, 2)
-
-
-def test_pruned_target_is_still_a_node(spark, staging):
-    row = one(spark, staging, {"a.c": '#include "data/x.h"', "data/x.h": '#include "y.h"'})
-    assert summary(row)[:2] == (1, 1)
-
-
-def test_metamorphic(spark, staging):
-    base = {"a.js": "import x from './b'", "b.js": "", "c.py": "import d", "d.py": ""}
-    more = dict(base, **{"lonely.rs": ""})
-    twice = dict(base, **{"a.js": base["a.js"] + "\n" + base["a.js"]})
-    found = metrics(spark, staging, {"base": base, "more": more, "twice": twice})
-    again = metrics(spark, staging, {"base": base, "more": more, "twice": twice}, partitions=7)
+BASE = {"a.js": "import x from './b'", "b.js": "", "c.py": "import d", "d.py": ""}
+SELF = "import a from './x.js'\n"
+GOLDENS = {
+    "mixed": (
+        {"src/__init__.py": "", "src/a.py": "import src.b\nimport os", "src/b.py": "",
+         "app.js": "import u from './util'"},
+        (2, 2, 1, 3, 0.5121),
+    ),
+    "lone file": ({"main.c": "int main;"}, (0, 0, 0, 0, 0.0)),
+    "only a self import": ({"x.js": SELF * 2}, (2, 1, 0, 0, 0.0)),
+    "dense pair": ({"a.h": '#include "a.h"', "b.c": '#include "a.h"'}, (2, 2, 2, 1, 1.0)),
+    "target without a file": ({"a.c": '#include "gone.h"'}, (1, 1, 1, 1, 0.8303)),
+    "relative import": ({"p/a.py": "from .b import x\nfrom . import c", "p/b.py": ""}, (0, 0, 0, 2, 0.15)),
+    "package wins": ({"p.py": "", "p/__init__.py": "", "q.py": "import p"}, (1, 1, 1, 2, 0.5925)),
+    "from-import": ({"q.py": "from p import m", "p/m.py": ""}, (0, 0, 0, 2, 0.15)),
+    "bad Python": ({"a.py": "import (", "b.py": "import a\0", "c.py": "\ufeffimport a"}, (0, 0, 0, 3, 0.1)),
+    "languages share a node": ({"a.rs": "use crate::util;", "b.js": "import u from './util'"}, (2, 2, 2, 1, 0.835)),
+    "base": (BASE, None),
+    "one more file": (dict(BASE, **{"lonely.rs": ""}), None),
+    "statement twice": (dict(BASE, **{"a.js": BASE["a.js"] + "\n" + BASE["a.js"]}), None),
+}
+TREES = {name: tree for name, (tree, _) in GOLDENS.items()}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    folder = Staging(spark)
+    yield metrics(spark, folder, TREES)
+    folder.close()
+
+
+@pytest.mark.parametrize("name", [n for n, (_, expected) in GOLDENS.items() if expected])
+def test_golden(found, name):
+    assert summary(found[name]) == GOLDENS[name][1]
+
+
+def test_ratios(found):
+    def ratios(name):
+        row = found[name]
+        return row["graph_density"], row["avg_in_degree"], row["largest_component_fraction"]
+
+    assert ratios("mixed") == (0.1, 0.4, 0.4)
+    assert ratios("lone file") == (0, 0, 0)
+    assert ratios("dense pair") == (1.0, 1.0, 1.0)
+
+
+def test_metamorphic(spark, staging, found):
+    again = metrics(spark, staging, TREES, partitions=7)
     assert {k: v.asDict() for k, v in found.items()} == {k: v.asDict() for k, v in again.items()}
-    assert found["more"]["num_connected_components"] == found["base"]["num_connected_components"] + 1
-    assert found["twice"]["internal_import_count"] == found["base"]["internal_import_count"] + 1
-    assert found["twice"]["unique_internal_imports"] == found["base"]["unique_internal_imports"]
+    base, more, twice = found["base"], found["one more file"], found["statement twice"]
+    assert more["num_connected_components"] == base["num_connected_components"] + 1
+    assert twice["internal_import_count"] == base["internal_import_count"] + 1
+    assert twice["unique_internal_imports"] == base["unique_internal_imports"]
 
 
 # --- Components ----------------------------------------------------------------------

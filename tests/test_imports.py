@@ -4,10 +4,11 @@ import random
 import re
 
 import pytest
-from helpers import edges
+from helpers import all_edges
 from pyspark.sql import functions as F
 
 from repoloom.operators import imports
+from repoloom.settings import Settings
 
 JS = [r"""(?:import|export)\s+.*?from\s+['"](\.[^'"]+)['"]""", r"""require\(\s*['"](\.[^'"]+)['"]\s*\)"""]
 C = [r'#include\s+"([^"]+)"']
@@ -66,22 +67,77 @@ def test_python_parser_exhaustion_is_reported(spark):
     assert row["failure"] and row["modules"] == []
 
 
-def test_javascript_forms_that_do_not_count(spark):
-    tree = {"a/b.ts": "import {\n x\n} from './p'\nimport './q'\nimport y from '.'\nimport z from '..'\nimport('./dyn')"}
+CASES = {
     # The brace form spans lines, so nothing between `import` and `from` matches.
-    assert edges(spark, tree) == {("a/b.ts", "."): 1}
-
-
-def test_c_and_rust_forms_that_do_not_count(spark):
-    tree = {"a.c": '#include"b.h"\n#include <d.h>\n# include "c.h"', "b.rs": "use crate::{a,b};\nuse std::c;"}
-    assert edges(spark, tree) == {}
-
-
-def test_require_and_from_add_up(spark):
-    tree = {"x/a.js": "import q from './t'\nconst q = require('./t')\nexport * from \"../t\""}
-    assert edges(spark, tree) == {("x/a.js", "x/t"): 2, ("x/a.js", "t"): 1}
-
-
-def test_absolute_include_and_climbing_out(spark):
-    tree = {"a.c": '#include "/usr/x.h"\n#include "../../y.h"'}
-    assert edges(spark, tree) == {("a.c", "/usr/x.h"): 1, ("a.c", "../../y.h"): 1}
+    "javascript forms": (
+        {"a/b.ts": "import {\n x\n} from './p'\nimport './q'\nimport y from '.'\nimport z from '..'\nimport('./d')"},
+        {("a/b.ts", "."): 1},
+    ),
+    "c and rust forms": (
+        {"a.c": '#include"b.h"\n#include <d.h>\n# include "c.h"', "b.rs": "use crate::{a,b};\nuse std::c;"},
+        {},
+    ),
+    "require and from add up": (
+        {"x/a.js": "import q from './t'\nconst q = require('./t')\nexport * from \"../t\""},
+        {("x/a.js", "x/t"): 2, ("x/a.js", "t"): 1},
+    ),
+    "absolute include and climbing out": (
+        {"a.c": '#include "/usr/x.h"\n#include "../../y.h"'},
+        {("a.c", "/usr/x.h"): 1, ("a.c", "../../y.h"): 1},
+    ),
+    "package wins over module": (
+        {"p.py": "", "p/__init__.py": "", "q.py": "import p"}, {("q.py", "p/__init__.py"): 1},
+    ),
+    "from-import looks at the module only": ({"q.py": "from p import m", "p/m.py": ""}, {}),
+    "longest prefix": (
+        {"a/__init__.py": "", "a/b.py": "", "q.py": "import a.b.c.d\nimport a.x\nimport a\nimport ab"},
+        {("q.py", "a/b.py"): 1, ("q.py", "a/__init__.py"): 2},
+    ),
+    "every occurrence counts": (
+        {"q.py": "import b\nimport b\ndef f():\n    import b.c\n    from b import d", "b.py": ""},
+        {("q.py", "b.py"): 4},
+    ),
+    "a Python file does not point at itself": ({"a.py": "import a\nimport a.b"}, {}),
+    "upper-case suffix imports but is no module": (
+        {"a.PY": "import b", "b.py": "import a"}, {("a.PY", "b.py"): 1},
+    ),
+    "top-level package marker is no module": ({"__init__.py": "", "q.py": "import __init__"}, {}),
+    "pruned folders do not import": (
+        {"a.c": '#include "data/x.h"', "data/x.h": '#include "y.h"'}, {("a.c", "data/x.h"): 1},
+    ),
+    "names stay within their repository": ({"q.py": "import elsewhere"}, {}),
+    "another repository": ({"elsewhere.py": ""}, {}),
+}
+
+RELATIVE = {
+    "siblings": (
+        {"p/a.py": "from .b import x\nfrom . import c", "p/b.py": ""}, {("p/a.py", "p/b.py"): 1},
+    ),
+    "levels": (
+        {"p/q/a.py": "from ..b import x\nfrom .. import y\nfrom ....z import w", "p/b.py": "",
+         "p/__init__.py": "", "z.py": ""},
+        {("p/q/a.py", "p/b.py"): 1, ("p/q/a.py", "p/__init__.py"): 1},
+    ),
+    "top": ({"a.py": "from .b import x\nfrom . import y", "b.py": "", "__init__.py": ""}, {("a.py", "b.py"): 1}),
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    return all_edges(spark, {name: tree for name, (tree, _) in {**CASES, **RELATIVE}.items()})
+
+
+@pytest.mark.parametrize("name", list(CASES))
+def test_edges(found, name):
+    assert found[name] == CASES[name][1]
+
+
+@pytest.mark.parametrize("name", list(RELATIVE))
+def test_relative_imports_are_dropped_by_default(found, name):
+    assert found[name] == {}
+
+
+def test_relative_imports_can_be_followed(spark):
+    follow = Settings(relative_imports="resolve")
+    trees = {name: tree for name, (tree, _) in RELATIVE.items()}
+    assert all_edges(spark, trees, follow) == {name: edges for name, (_, edges) in RELATIVE.items()}

@@ -1,6 +1,7 @@
 """Gates, outcome rows, merging and incremental runs."""
 
 import datetime as dt
+import re
 
 import pytest
 from helpers import files
@@ -118,6 +119,27 @@ def test_every_named_repository_has_one_outcome(spark, staging, broadcast_keys):
     assert found["nometa"]["github_size_kb"] == 0
 
 
+def test_packed_files_are_pruned_by_folder(spark, staging):
+    repos, metadata, snapshots, table = outcome_inputs(spark)
+    path = staging.path("packed")
+    tables.pack_files(table, path, buckets=16, shares=2)
+    packed = tables.read_files(spark, path)
+    assert sorted(map(tuple, packed.drop("repo_bucket", "content").collect())) == sorted(
+        map(tuple, table.drop("content").collect())
+    )
+    one = staging.save(spark.createDataFrame([("good",)], "repo_id string"), "one")
+    pruned = tables.files_of(packed, one.df, one.rows, 10, 16)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*repo_bucket#\d+ (=|IN)", plan)
+    assert {r["repo_id"] for r in pruned.collect()} == {"good"}
+    settings = Settings(min_tokens=10, file_buckets=16)
+    done = repo_run.run(repos, metadata, snapshots, packed, empty_results(spark), staging, settings)
+    plain = run(spark, staging)
+    assert sorted(map(tuple, done.select("repo_id", "processing_status", "total_code_tokens").collect())) == sorted(
+        map(tuple, plain.select("repo_id", "processing_status", "total_code_tokens").collect())
+    )
+
+
 def test_file_size_bounds_and_big_files_in_graph(spark, staging):
     trees = {"r": {"zero.py": b"", "one.md": b"a", "max.txt": b"a" * 1_000_000, "over.py": b"#" * 1_000_001}}
     from repoloom.operators import files as file_ops, totals
