@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,15 @@ def python_imports(text: Column) -> Column:
     no imports; one that exhausts the parser reports a failure.
     """
 
-    @F.pandas_udf("modules array<struct<module string, level int>>, failure string")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("modules array<struct<module string, level int>>, failure string")
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ast
         import warnings
 
-        import pandas
+        import pyarrow
+
+        module = pyarrow.struct([("module", pyarrow.string()), ("level", pyarrow.int32())])
+        shape = pyarrow.struct([("modules", pyarrow.list_(module)), ("failure", pyarrow.string())])
 
         def modules_of(source):
             for node in ast.walk(ast.parse(source)):
@@ -61,7 +64,7 @@ def python_imports(text: Column) -> Column:
             if source is None:
                 return None, None
             try:
-                return [{"module": m, "level": n} for m, n in modules_of(source)], None
+                return list(modules_of(source)), None
             except (SyntaxError, ValueError):
                 return [], None
             except (RecursionError, MemoryError) as problem:
@@ -70,7 +73,7 @@ def python_imports(text: Column) -> Column:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             for sources in batches:
-                yield pandas.DataFrame([row(s) for s in sources], columns=["modules", "failure"])
+                yield pyarrow.array([row(s) for s in sources.to_pylist()], shape)
 
     return parse(text)
 

@@ -116,7 +116,7 @@ def file_features(spark, sf_dir):
     featured = file_ops.with_path_features(views.document_files(spark, sf_dir), DEFAULTS)
     return file_ops.with_text(featured).select(
         "repo_id", "path", "extension", "directory", "language", "counted",
-        F.length("text").alias("characters"),
+        F.length("text").cast("bigint").alias("characters"),
     )
 
 

@@ -19,6 +19,11 @@ TABLES = (
 ).split()
 
 
+KINDS = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
+
+
 def plain(value):
     """A value as something two engines agree on."""
     if value is None:
@@ -55,6 +60,10 @@ def difference(spark_frame, db, sql):
     right_names, right = rows_of([c[0] for c in found.description], found.fetchall())
     if left_names != right_names:
         return f"columns {left_names} / {right_names}"
+    kinds = {name: KINDS.get(kind, kind) for name, kind in spark_frame.dtypes}
+    other = {c[0]: str(c[1]) for c in found.description}
+    if kinds != other:
+        return f"types {kinds} / {other}"
     if len(left) != len(right):
         return f"rows {len(left)} / {len(right)}"
     for a, b in zip(left, right):
