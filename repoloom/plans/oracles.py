@@ -516,6 +516,12 @@ def oracle_sql() -> dict[str, str]:
                FROM component_counts JOIN degrees USING (repo_id)""",
             "component_counts", "degrees", graph=CODE,
         ),
+        "components_contracted": _query(
+            f"""SELECT repo_id, components AS num_connected_components,
+                      {_exact("largest::DOUBLE / nodes", 9)} AS largest_component_fraction
+               FROM component_counts JOIN degrees USING (repo_id)""",
+            "component_counts", "degrees", graph=CODE,
+        ),
         "page_components": _query(
             f"""SELECT repo_id, components AS num_connected_components,
                       {_exact("largest::DOUBLE / nodes", 9)} AS largest_component_fraction

@@ -276,8 +276,8 @@ def graph_density(spark, sf_dir):
     ).withColumnRenamed("density", "graph_density")
 
 
-def _component_columns(nodes, edges, staging):
-    sizes = components.component_sizes(edges, staging)
+def _component_columns(nodes, edges, staging, local_limit=components.LOCAL_LIMIT):
+    sizes = components.component_sizes(edges, staging, local_limit)
     return graph.graph_metrics(nodes, sizes).select(
         "repo_id",
         F.col("components").alias("num_connected_components"),
@@ -291,6 +291,13 @@ def components_query(spark, sf_dir):
     return _component_columns(nodes, edges, staging)
 
 
+def components_contracted(spark, sf_dir):
+    """The same with a limit that sends the largest repository through contraction."""
+    staging = Staging(spark)
+    _, edges, nodes = _code_graph(spark, sf_dir, staging)
+    return _component_columns(nodes, edges, staging, local_limit=1000)
+
+
 def page_components(spark, sf_dir):
     staging = Staging(spark)
     edges = staging.save(views.page_edges(spark, sf_dir), "edges").df
@@ -555,6 +562,7 @@ def queries() -> dict[str, Query]:
         "in_degree": in_degree,
         "graph_density": graph_density,
         "components": components_query,
+        "components_contracted": components_contracted,
         "page_components": page_components,
         "dependency_score": dependency_score,
         "page_score": page_score,
