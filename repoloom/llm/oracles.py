@@ -30,10 +30,6 @@ FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op4_quality_rules": _OP4}
-
-
 _OP4 = r"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 split AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM texts),
@@ -81,3 +77,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
 FROM base
 """
+
+_OP1 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS w
+  FROM split, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a
+)
+SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(other) AS component_id, min(other) = r.doc_id AS kept
+FROM reach r LEFT JOIN sizes s USING (doc_id) GROUP BY r.doc_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_near_dedup": _OP1, "op2_decontaminate": _OP2, "op4_quality_rules": _OP4}
+
