@@ -101,6 +101,26 @@ FROM reach r LEFT JOIN sizes s USING (doc_id) GROUP BY r.doc_id
 """
 
 
+_OP7 = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS w
+  FROM split, unnest(range(1, len(ws) - 48)) AS t(i)
+), newer AS (
+  SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY w)
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM newer, unnest(range(i, i + 50)) AS t(j)
+), words AS (
+  SELECT doc_id, ws[j] AS w, j FROM split, unnest(range(1, len(ws) + 1)) AS t(j)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op2_decontaminate": _OP2, "op4_quality_rules": _OP4}
+    return {"op1_near_dedup": _OP1, "op2_decontaminate": _OP2, "op7_substring_dedup": _OP7, "op4_quality_rules": _OP4}
 

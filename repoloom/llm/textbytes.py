@@ -172,3 +172,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
             offsets[begin : end + 1] - offsets[begin],
         )
         begin = end
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per run values[start:end] of 64-bit numbers."""
+    n = len(values)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * _UP.upto(n), out=sums[1:])
+        raw = (sums[ends] - sums[starts]) * _DOWN.upto(n + 1)[starts]
+        return mix(raw + (ends - starts).astype(np.uint64), 4)
