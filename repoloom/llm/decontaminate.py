@@ -71,24 +71,12 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[str, textbytes.Wor
     border[begins] = 1
     places = np.cumsum(lengths + 1 + border) - lengths  # where each word starts
     clean = np.full(int(places[-1] + lengths[-1] + 1) if len(places) else 1, 32, dtype=np.uint8)
-    index = np.repeat(places - words.starts, lengths) + _ranges(words.starts, lengths)
-    clean[index] = low[_ranges(words.starts, lengths)]
+    index = np.repeat(places - words.starts, lengths) + textbytes.ranges(words.starts, lengths)
+    clean[index] = low[textbytes.ranges(words.starts, lengths)]
     words.places = places
     return clean.tobytes().decode("latin-1"), words
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0]..starts[0]+lengths[0]-1, starts[1].. and so on."""
-    total = int(lengths.sum())
-    if not total:
-        return np.empty(0, dtype=np.int64)
-    steps = np.ones(total, dtype=np.int64)
-    ends = np.cumsum(lengths)[:-1]
-    steps[0] = starts[0]
-    steps[ends] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
-    return np.cumsum(steps)
-
-
 class Scanner:
     """One automaton over all windows of a block of items."""
 

@@ -182,3 +182,15 @@ def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         np.cumsum(values * _UP.upto(n), out=sums[1:])
         raw = (sums[ends] - sums[starts]) * _DOWN.upto(n + 1)[starts]
         return mix(raw + (ends - starts).astype(np.uint64), 4)
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0]..starts[0]+lengths[0]-1, starts[1].. and so on."""
+    total = int(lengths.sum())
+    if not total:
+        return np.empty(0, dtype=np.int64)
+    steps = np.ones(total, dtype=np.int64)
+    ends = np.cumsum(lengths)[:-1]
+    steps[0] = starts[0]
+    steps[ends] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
+    return np.cumsum(steps)
