@@ -49,7 +49,7 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize("node_size", [4, 64])
+@pytest.mark.parametrize("node_size", [4, 64, 1024])
 def test_components_match_all_pairs(spark, node_size):
     rows = documents()
     found = near_dedup.near_duplicates(frame(spark, rows), 85, node_size=node_size).collect()
