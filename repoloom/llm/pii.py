@@ -48,10 +48,10 @@ _ACTIVE = re.compile(r"[0-9@]")
 _RELIABLE = 0.98  # share of the entity tokens that a pattern matches
 _PRIOR = 1.0
 # Added to the counted skip edges, where few mentions repeat: equal labels, unequal labels.
-_SKIP_AGREE, _SKIP_DIFFER = 10.0, 0.1
+_SKIP_AGREE, _SKIP_DIFFER = 20.0, 0.05
 _ROUNDS = 10
 _DAMPING = 0.3
-_CONFIDENT = 0.95
+_CONFIDENT = 0.8
 _MIN_KEY = 4
 
 
