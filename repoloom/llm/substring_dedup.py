@@ -242,10 +242,11 @@ def _cut_hot(shared: DataFrame, texts: DataFrame, width: int, max_segments: int)
     hot = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_segments)
     hot = stage(hot.select("minimizer"), "hot")
     if hot.isEmpty():
-        return shared
+        return shared.withColumn("cut", F.lit(False))
     cut = shared.join(hot, "minimizer", "left_semi").withColumn("last", F.lit(0).cast("long"))
     single = texts.join(_wanted(cut), "doc_id").mapInArrow(_single_windows(width), _SEGMENTS_DDL)
-    return stage(shared.join(hot, "minimizer", "left_anti").unionByName(single), "shared")
+    rest = shared.join(hot, "minimizer", "left_anti").withColumn("cut", F.lit(False))
+    return stage(rest.unionByName(single.withColumn("cut", F.lit(True))), "shared")
 
 
 def remove_repeats(
@@ -263,11 +264,11 @@ def remove_repeats(
     shared = stage(rows.join(spread.filter("first < last").select("minimizer"), "minimizer", "left_semi"), "shared")
     shared = _cut_hot(shared.select(_SEGMENTS.names), texts, width, max_segments)
     kinds = shared.groupBy("minimizer", "content").agg(
-        F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("doc_id").alias("last")
+        F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("doc_id").alias("last"), F.first("cut").alias("cut")
     )
-    # A single window of one document only has been compared with all its likes already.
+    # Where all segments are single windows, one that only one document has has no like.
     kinds = stage(
-        kinds.filter("f.windows > 1 or f.doc_id < last or last is null").select(
+        kinds.filter("not cut or f.doc_id < last").select(
             "minimizer", "content", "last", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.windows").alias("windows")
         ),
         "kinds",
