@@ -73,3 +73,27 @@ def test_components_of_paths_stars_and_rings(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_estimates_are_close(spark):
+    """Sketches of sets of all sizes err by far less than the slack allows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from repoloom.llm import textbytes
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (3, 60, 250, 1000, 5000):
+        for _ in range(60):
+            share = int(size * 0.08)
+            common = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            sets = [np.unique(textbytes.mix(np.concatenate([common, rng.integers(0, 1 << 62, share).astype(np.uint64)]))) for _ in range(2)]
+            exact = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+            one, two = (near_dedup.sketch(s, np.array([0, len(s)]))[0].tolist() for s in sets)
+            rows.append((size, exact, tuple(one), tuple(two)))
+    shape = "struct<" + ",".join(f"{name}:bigint" for name in near_dedup._SKETCH) + ">"
+    found = spark.createDataFrame(rows, f"size int, exact double, x {shape}, y {shape}")
+    errors = found.select("size", (near_dedup._estimate("x", "y") - F.col("exact")).alias("e")).toPandas()
+    assert errors.groupby("size").e.std().max() < near_dedup.SLACK / 3.3
+    assert errors.e.abs().max() < 1.3 * near_dedup.SLACK
