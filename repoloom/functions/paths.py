@@ -55,18 +55,40 @@ def normalize(path: Column) -> Column:
     )
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
 
+    none = F.array().cast("array<string>")
+
     def step(kept: Column, part: Column) -> Column:
         # An empty stack behaves as if its top were "..": nothing to step out of.
         top = F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(".."))
-        return (
-            F.when((part == "..") & (top != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1))
-            .when((part == "..") & rooted, kept)
-            .otherwise(F.concat(kept, F.array(part)))
+        return F.when(
+            (part == "..") & (top != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1)
+        ).otherwise(F.concat(kept, F.array(part)))
+
+    def append(kept: Column, block: Column) -> Column:
+        # Collapsed parts begin with their steps up, if any; names follow.
+        up = F.size(F.filter(block, lambda p: p == ".."))
+        names = F.size(F.filter(kept, lambda p: p != ".."))
+        out = F.least(up, names)
+        beyond = F.when(rooted, F.lit(0)).otherwise(up - out)
+        return F.concat(
+            F.slice(kept, F.lit(1), F.size(kept) - out),
+            F.array_repeat(F.lit(".."), beyond),
+            F.slice(block, up + 1, F.size(block) - up),
         )
 
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # Folding copies what has been kept for each part, hence blocks of about the square
+    # root of the number of parts, collapsed on their own first.
+    def collapse(parts: Column) -> Column:
+        some = F.greatest(F.size(parts), F.lit(1))
+        width = F.ceil(F.sqrt(some)).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((some - 1) / width).cast("int"))
+        blocks = F.transform(numbers, lambda i: F.aggregate(F.slice(parts, i * width + 1, width), none, step))
+        return F.aggregate(blocks, none, append)
+
+    # Bound by transforming arrays of one, so that each is computed once.
+    kept = F.get(F.transform(F.array(parts), collapse), F.lit(0))
     full = F.concat(root, F.array_join(kept, "/"))
-    collapsed = F.when(full == "", F.lit(".")).otherwise(full)
+    collapsed = F.coalesce(F.nullif(full, F.lit("")), F.lit("."))
     # Plain paths are the common case and skip the interpreted fold.
     untidy = (path == "") | path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)")
     return F.when(untidy, collapsed).otherwise(path)
@@ -79,11 +101,12 @@ def locate(directory: Column, target: Column) -> Column:
     tidy relative directory. Stepping up is then a matter of cutting the
     directory short; everything else takes the general way.
     """
-    usual = target.rlike(r"^(?:\./)?(?:\.\./)*(?:[^/.][^/]*/)*[^/.][^/]*\z") & ~directory.rlike(
+    climb = F.regexp_extract(target, r"^(?:\./)?((?:\.\./)*+)", 1)
+    names = F.regexp_replace(target, r"^(?:\./)?(?:\.\./)*+", "")
+    # Tested by what must not occur: repeated groups would recurse once per part.
+    usual = ~names.rlike(r"^[/.]|//|/\.|/\z|^\z") & ~directory.rlike(
         r"^/|(?:^|/)\.{1,2}(?:/|\z)|//|/\z"
     )
-    climb = F.regexp_extract(target, r"^(?:\./)?((?:\.\./)*)", 1)
-    names = F.regexp_replace(target, r"^\.{1,2}/(?:\.\./)*", "")
     up = (F.length(climb) / 3).cast("int")
     depth = F.when(directory == "", F.lit(0)).otherwise(
         F.length(directory) - F.length(F.replace(directory, F.lit("/"), F.lit(""))) + 1

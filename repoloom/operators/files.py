@@ -65,4 +65,4 @@ def file_facts(files: DataFrame, settings: Settings) -> DataFrame:
     Both measurements share one scan. Only Python text crosses to Python workers.
     """
     measured = with_tokens(with_text(relevant(files, settings)), settings)
-    return imports.with_imports(measured).drop("text")
+    return imports.with_imports(measured)

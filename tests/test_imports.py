@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from helpers import all_edges
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from repoloom.operators import imports
 from repoloom.settings import Settings
 
+# --- Fixed values: statement patterns, as expected values -------------------
 JS = [r"""(?:import|export)\s+.*?from\s+['"](\.[^'"]+)['"]""", r"""require\(\s*['"](\.[^'"]+)['"]\s*\)"""]
 C = [r'#include\s+"([^"]+)"']
 RUST = [r"use\s+crate::(\w+)"]
+# --- End of fixed values ----------------------------------------------------
 
 PIECES = [
     "import", "export", "from", "require(", ")", "'", '"', "./", "..", "a", " ", "\n", "\u00a0", "\u0085",
@@ -35,11 +38,48 @@ def test_patterns_find_the_same(spark, column, patterns):
     assert sum(map(len, expected)) > 50
 
 
+JS_PIECES = ["import", "export", " ", "  ", "\n", "\t\n", "from", "from './a'", "from\n'./b'", ";", "x", "'./c'", "'", "\u2028", "\x0b", "import\n", "export \n "]
+
+
+def test_starts_on_one_line(spark):
+    pick = random.Random(9)
+    cases = ["".join(pick.choices(JS_PIECES, k=pick.randint(1, 18))) for _ in range(6000)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v string")
+    got = [r["o"] for r in df.select("i", imports.javascript_targets(F.col("v")).alias("o")).orderBy("i").collect()]
+    expected = [[m.group(1) for p in JS for m in re.finditer(p, c)] for c in cases]
+    assert got == expected
+    assert sum(map(len, expected)) > 500
+
+
+@pytest.mark.parametrize("piece", ["import a;export b;", "import from ", "import " + " " * 50, "require( ", "from './x "])
+def test_long_lines_take_linear_time(spark, piece):
+    text = piece * (5_000_000 // len(piece))
+    df = spark.range(1).select(F.lit(1).alias("i")).withColumn("v", F.expr(f"repeat({piece!r}, {len(text) // len(piece)})" if "'" not in piece else f'repeat("{piece}", {len(text) // len(piece)})'))
+    begin = time.time()
+    df.select(F.size(imports.javascript_targets(F.col("v")))).collect()
+    assert time.time() - begin < 20
+
+
+def as_files(spark, sources, language):
+    rows = [(i, f"f{i}", language, s is not None, s) for i, s in enumerate(sources)]
+    return spark.createDataFrame(rows, "i int, path string, language string, readable boolean, text string")
+
+
 def modules(spark, *sources):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, v string")
-    rows = df.select("i", imports.python_imports(F.col("v")).alias("p")).orderBy("i").collect()
-    return [None if r["p"]["modules"] is None else sorted((m["module"], m["level"]) for m in r["p"]["modules"])
-            for r in rows]
+    rows = imports.with_imports(as_files(spark, sources, "python")).orderBy("i").collect()
+    return [None if r["modules"] is None else sorted((m["module"], m["level"]) for m in r["modules"]) for r in rows]
+
+
+def test_text_never_waits_for_python(spark):
+    """No column of whole texts passes the Python step, but for Python source."""
+    from helpers import files
+    from repoloom.operators import files as file_ops
+
+    facts = file_ops.file_facts(files(spark, {"r": {"a.py": "import b", "b.js": "x"}}), Settings())
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    step = next(line for line in plan.split("\n") if "MapInArrow" in line)
+    names = set(re.findall(r"(\w+)#\d+", step))
+    assert "python_text" in names and not names & {"text", "content"}
 
 
 def test_python_forms(spark):
@@ -62,8 +102,7 @@ def test_python_without_a_parse(spark):
 
 def test_python_parser_exhaustion_is_reported(spark):
     deep = "import a\nx = " + "-" * 200_000 + "1"
-    df = spark.createDataFrame([(deep,)], "v string")
-    row = df.select(imports.python_imports(F.col("v")).alias("p")).first()["p"]
+    row = imports.with_imports(as_files(spark, [deep], "python")).first()
     assert row["failure"] and row["modules"] == []
 
 
