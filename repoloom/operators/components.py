@@ -1,24 +1,21 @@
-"""Weakly connected components of all repositories at once.
-
-Most repositories have a graph that fits easily into one task, a few do not.
-The number of edges of each repository is counted first:
-
-* up to `local_limit` edges, a repository is one group of a grouped Arrow step;
-* larger ones take part in randomised contraction over the whole cluster: in
-  each round every node picks the smallest node among itself and its neighbours
-  under a fresh pseudo-random order, all nodes with the same pick merge, and
-  edges inside a merged node disappear. Edges shrink geometrically, so all
-  rounds cost little more than the first. Once every repository is down to
-  `local_limit` edges, the grouped step finishes. (Boegeholz, Brand, Todor:
-  "In-database connected component analysis", 2020.)
-
-The contraction tables hold only 64-bit numbers. A node is (r, v): hashes of its
-repository and its name. That the pairs are unique is checked, not assumed.
+"""Weakly connected components of all repositories at once, one way for all sizes.
+
+Edges are replaced by a spanning forest within every Arrow batch, which has a bounded size
+and needs no grouping; forests keep what is connected and are no larger than their nodes.
+The rest is randomised contraction over the whole cluster: in each round every node picks
+the smallest node among itself and its neighbours under a fresh pseudo-random order, all
+nodes with the same pick merge, and edges inside a merged node disappear. Edges shrink
+geometrically, so all rounds cost little more than the first; it goes on until none is left.
+(Boegeholz, Brand, Todor: "In-database connected component analysis", 2020.)
+
+The tables hold only 64-bit numbers. A node is (r, v): hashes of its repository and its
+name. That the pairs are unique is checked, not assumed.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,113 +23,34 @@ from pyspark.sql import functions as F
 
 from repoloom.sources.staging import StagedTable, Staging
 
-LOCAL_LIMIT = 500_000
 MAX_ROUNDS = 200
 # Rounds after which the merged sizes are written down, to keep plans short.
 ROUNDS_PER_PLAN = 6
-MAX_BROADCAST_KEYS = 2_000_000
 
 
-def component_sizes(
-    edges: DataFrame, staging: Staging, local_limit: int = LOCAL_LIMIT
-) -> DataFrame:
+def component_sizes(edges: DataFrame, staging: Staging, batch_forests: bool = True) -> DataFrame:
     """(repo_id, size) per component of two nodes or more.
 
     `edges` (repo_id, src, dst) should be a staged table, as it is read twice.
     """
     links = edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst")
-    per_repo = links.groupBy("repo_id").agg(F.count(F.lit(1)).alias("links"))
-    large = staging.save(
-        per_repo.filter(F.col("links") > local_limit).select("repo_id"), "large-repos"
-    )
-    if not large.rows:
-        return _grouped_sizes(links)
-    # At most (all links / local_limit) keys; checked all the same.
-    keys = F.broadcast(large.df) if large.rows <= MAX_BROADCAST_KEYS else large.df
-    small = _grouped_sizes(links.join(keys, "repo_id", "left_anti"))
-    return small.unionByName(
-        _contracted_sizes(links.join(keys, "repo_id", "left_semi"), staging, local_limit)
-    )
-
-
-# --- Repositories of checked size: one group each ------------------------------
-
-
-def _root_finder():
-    """A self-contained function for the workers: a component number per node."""
-
-    def roots(first, second, count):
-        import numpy as np
-
-        label = np.arange(count)
-        while True:
-            a, b = label[first], label[second]
-            if (a == b).all():
-                return label
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
-
-    return roots
-
-
-def _grouped_sizes(links: DataFrame) -> DataFrame:
-    roots = _root_finder()
-
-    def sizes(key: tuple, group: pa.Table) -> pa.Table:
-        import numpy
-        import pyarrow
-
-        ends = pyarrow.chunked_array(group["src"].chunks + group["dst"].chunks)
-        named = ends.combine_chunks().dictionary_encode()
-        codes = named.indices.to_numpy()
-        half = len(codes) // 2
-        label = roots(codes[:half], codes[half:], len(named.dictionary))
-        found = numpy.unique(label, return_counts=True)[1]
-        return pyarrow.table({"repo_id": [key[0].as_py()] * len(found), "size": found})
-
-    return links.groupBy("repo_id").applyInArrow(sizes, "repo_id string, size bigint")
-
-
-def _grouped_picks(graph: DataFrame) -> DataFrame:
-    """(r, v, pick) that settles every remaining component in one step."""
-    roots = _root_finder()
-
-    def picks(key: tuple, group: pa.Table) -> pa.Table:
-        import numpy
-        import pyarrow
-
-        ends = numpy.concatenate([group["a"].to_numpy(), group["b"].to_numpy()])
-        nodes, codes = numpy.unique(ends, return_inverse=True)
-        half = len(codes) // 2
-        label = roots(codes[:half], codes[half:], len(nodes))
-        return pyarrow.table(
-            {"r": numpy.full(len(nodes), key[0].as_py()), "v": nodes, "pick": nodes[label]}
-        )
-
-    return graph.groupBy("r").applyInArrow(picks, "r bigint, v bigint, pick bigint")
-
-
-# --- Larger repositories: contraction ------------------------------------------
-
-
-def _contracted_sizes(links: DataFrame, staging: Staging, local_limit: int) -> DataFrame:
     nodes, seed = _numbered_nodes(links, staging)
     pairs = links.select(
         _key(seed, "repo_id").alias("r"), _key(seed, "src").alias("s"), _key(seed, "dst").alias("d")
     )
-    graph = staging.save(_undirected(pairs), "pairs")
+    shrunk = _forests if batch_forests else (lambda graph: graph)
+    graph = staging.save(_undirected(shrunk(pairs)), "pairs")
     sizes = nodes.df.withColumn("size", F.lit(1).cast("bigint"))
     masks = random.Random(20240501)
     used = [nodes]
     rounds = 0
-    while _largest_group(graph, local_limit) > local_limit:
+    while graph.rows:
         if rounds == MAX_ROUNDS:
             raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
         rounds += 1
         scrambled = _scrambler(masks)
         pick = staging.save(_picks(graph.df, scrambled), "picks")
-        smaller = staging.save(_contract(graph.df, pick.df), "pairs")
+        smaller = staging.save(_undirected(shrunk(_contract(graph.df, pick.df))), "pairs")
         graph.drop()
         graph = smaller
         used.append(pick)
@@ -141,14 +59,43 @@ def _contracted_sizes(links: DataFrame, staging: Staging, local_limit: int) -> D
             merged = staging.save(sizes, "sizes")
             used.append(merged)
             sizes = merged.df
-    if graph.rows:
-        sizes = _merge_sizes(sizes, _grouped_picks(graph.df), lambda v: v)
     result = staging.save(sizes.select("repo_id", "size"), "component-sizes")
     for table in (graph, *used):
         table.drop()
     return result.df
 
 
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, s, d): for every node of a batch an edge to the first node of its tree there."""
+    import numpy as np
+
+    for batch in batches:
+        r, s, d = (batch.column(name).to_numpy() for name in ("r", "s", "d"))
+        ends_r, ends = np.concatenate([r, r]), np.concatenate([s, d])
+        order = np.lexsort((ends, ends_r))
+        ends_r, ends = ends_r[order], ends[order]
+        new = np.append(True, (ends_r[1:] != ends_r[:-1]) | (ends[1:] != ends[:-1]))[: len(ends)]
+        code = np.empty(len(ends), dtype=np.int64)
+        code[order] = np.cumsum(new) - 1
+        first, second = code[: len(r)], code[len(r) :]
+        label = np.arange(int(new.sum()))
+        while (label[first] != label[second]).any():
+            a, b = label[first], label[second]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        names_r, names = ends_r[new], ends[new]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names_r[moved]), pa.array(names[moved]), pa.array(names[label[moved]])],
+            names=["r", "s", "d"],
+        )
+
+
+def _forests(pairs: DataFrame) -> DataFrame:
+    return pairs.mapInArrow(_forest_batches, "r bigint, s bigint, d bigint")
+
+
 def _key(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
@@ -170,13 +117,6 @@ def _numbered_nodes(
     raise RuntimeError("node keys are not unique under any tried seed")
 
 
-def _largest_group(graph: StagedTable, local_limit: int) -> int:
-    """Edges of the largest repository; the whole count where that is small already."""
-    if graph.rows <= local_limit:
-        return graph.rows
-    return graph.df.groupBy("r").count().agg(F.max("count")).first()[0]
-
-
 def _scrambler(masks: random.Random):
     """A one-to-one scrambling of 64-bit numbers: a mask, then xor with shifts."""
     mask = masks.getrandbits(63)
@@ -216,14 +156,14 @@ def _picks(graph: DataFrame, scrambled) -> DataFrame:
 
 
 def _contract(graph: DataFrame, pick: DataFrame) -> DataFrame:
-    """Rename both ends of every edge to their picks and drop what falls together.
+    """Rename both ends of every edge to their picks.
 
     Edges and picks are both staged tables, so each join is two plain shuffles;
     the planner can broadcast small picks and split the edges of a hub.
     """
     left = pick.select("r", F.col("v").alias("a"), F.col("pick").alias("s"))
     right = pick.select("r", F.col("v").alias("b"), F.col("pick").alias("d"))
-    return _undirected(graph.join(left, ["r", "a"]).join(right, ["r", "b"]).select("r", "s", "d"))
+    return graph.join(left, ["r", "a"]).join(right, ["r", "b"]).select("r", "s", "d")
 
 
 def _merge_sizes(sizes: DataFrame, pick: DataFrame, scrambled) -> DataFrame:

@@ -30,11 +30,12 @@ def first_gates(
     """Join metadata and snapshots and decide what can be decided without files.
 
     `early_status` is NULL for candidates, whose files are worth reading. Gates
-    mark rows instead of dropping them, since every repository gets an outcome.
+    mark rows instead of dropping them, since every repository gets an outcome. A
+    repository with several snapshots counts as taken if one of them succeeded; one
+    that is listed several times gets one row (see `R.once`).
     """
-    marked = R.with_metadata(named, metadata).join(
-        snapshots.select(F.col("repo_id").alias("id"), "ok"), "id", "left"
-    )
+    taken = snapshots.groupBy(F.col("repo_id").alias("id")).agg(F.max("ok").alias("ok"))
+    marked = R.with_metadata(R.once(named), metadata).join(taken, "id", "left")
     status = (
         F.when(~F.col("has_metadata"), F.lit(STATUS_NO_METADATA))
         .when(R.too_small(F.col("size_kb"), settings.min_size_kb), F.lit(STATUS_SKIPPED))

@@ -18,6 +18,13 @@ def unprocessed(repos: DataFrame, processed: DataFrame) -> DataFrame:
     return repos.join(processed, repos["id"] == processed["repo_id"], "left_anti")
 
 
+def once(repos: DataFrame) -> DataFrame:
+    """One row per repository; which of its rows is taken does not depend on their order."""
+    others = [c for c in repos.columns if c != "id"]
+    rows = repos.groupBy("id").agg(F.max(F.struct(*others)).alias("row"))
+    return rows.select("id", "row.*").select(*repos.columns)
+
+
 def full_name(name: Column, url: Column) -> Column:
     """The stored name, else the URL without its host prefix; NULL if neither helps."""
     from_url = F.replace(url, F.lit(HOST_PREFIX), F.lit(""))

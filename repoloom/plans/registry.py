@@ -276,8 +276,8 @@ def graph_density(spark, sf_dir):
     ).withColumnRenamed("density", "graph_density")
 
 
-def _component_columns(nodes, edges, staging, local_limit=components.LOCAL_LIMIT):
-    sizes = components.component_sizes(edges, staging, local_limit)
+def _component_columns(nodes, edges, staging, batch_forests=True):
+    sizes = components.component_sizes(edges, staging, batch_forests)
     return graph.graph_metrics(nodes, sizes).select(
         "repo_id",
         F.col("components").alias("num_connected_components"),
@@ -292,10 +292,10 @@ def components_query(spark, sf_dir):
 
 
 def components_contracted(spark, sf_dir):
-    """The same with a limit that sends the largest repository through contraction."""
+    """The same by contraction alone, without forests within batches."""
     staging = Staging(spark)
     _, edges, nodes = _code_graph(spark, sf_dir, staging)
-    return _component_columns(nodes, edges, staging, local_limit=1000)
+    return _component_columns(nodes, edges, staging, batch_forests=False)
 
 
 def page_components(spark, sf_dir):
@@ -381,20 +381,24 @@ def status_lookup(spark, sf_dir):
 
 
 def incremental_run(spark, sf_dir):
-    """Two deliveries of the repository list, overlapping by a third, each taken up
-    by the resumed stream; then the whole list once more as a batch, which must
-    not add anything."""
+    """A delivery of the repository list and a second one, overlapping by a third, each
+    taken up by the resumed stream; a third one by a second stream with a checkpoint of
+    its own, into the same results; then the whole list once more as a batch, which
+    must not add anything."""
     staging = Staging(spark)
     arrivals, stored, progress = (staging.path(n) for n in ("arrivals", "results", "progress"))
+    more, other_progress = staging.path("more-arrivals"), staging.path("other-progress")
     listed = views.repos(spark, sf_dir)
     number = F.substring("id", 2, 20).cast("bigint")
     inputs = incremental.Inputs(
         views.metadata(spark, sf_dir), views.snapshots(spark, sf_dir), packed_code(spark, sf_dir)
     )
-    for delivery in (number % 3 < 2, number % 3 > 0):
+    for delivery in (number % 3 == 0, number % 3 < 2):
         listed.filter(delivery).write.mode("append").parquet(arrivals)
         incremental.run_stream(spark, arrivals, inputs, stored, progress, CODE_SETTINGS)
-    incremental.run_and_store(spark, listed, inputs, stored, 1_000_000, CODE_SETTINGS)
+    listed.filter(number % 3 > 0).write.parquet(more)
+    incremental.run_stream(spark, more, inputs, stored, other_progress, CODE_SETTINGS)
+    incremental.run_and_store(spark, listed, inputs, stored, 0, CODE_SETTINGS)
     return _comparable(results.read_results(spark, stored))
 
 
@@ -525,8 +529,8 @@ def corpus_export(spark, sf_dir):
     enough = _document_totals(spark, sf_dir).filter(
         F.col("total_tokens") >= MIN_TOKENS_DOCUMENTS
     )
-    chosen = Staging(spark).save(enough.select("repo_id"), "chosen")
-    kept = tables.files_of(files, chosen.df, chosen.rows, DEFAULTS.max_broadcast_keys)
+    chosen = Staging(spark).save(enough.select("repo_id"), "chosen").df
+    kept = tables.files_of(files, chosen).join(chosen, "repo_id", "left_semi")
     path = Staging(spark).path("corpus.jsonl")
     corpus_io.export_corpus(kept, path)
     return corpus_io.read_corpus(spark, path)

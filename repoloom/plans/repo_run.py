@@ -18,13 +18,8 @@ def stage_facts(
 ) -> DataFrame:
     """Facts of candidates' files, written down: three later steps read them, and
     none of them should scan or parse content again."""
-    keys = candidates.df
-    facts = files_ops.file_facts(
-        files_of(files, keys, candidates.rows, settings.max_broadcast_keys, settings.file_buckets),
-        settings,
-    )
-    if candidates.rows > settings.max_broadcast_keys:
-        facts = facts.join(keys, "repo_id", "left_semi")
+    chosen = files_of(files, candidates.df, settings.file_buckets)
+    facts = files_ops.file_facts(chosen, settings).join(candidates.df, "repo_id", "left_semi")
     return staging.save(facts, "facts").df
 
 
@@ -58,13 +53,10 @@ def run(
         "candidates",
     )
     facts = stage_facts(files, candidates, settings, staging)
-    counted_table = staging.save(totals.token_totals(facts), "totals")
-    counted = counted_table.df
+    counted = staging.save(totals.token_totals(facts), "totals").df
     enough = counted.filter(
         ~totals.too_few_tokens(F.col("total_tokens"), settings.min_tokens)
     ).select("repo_id")
-    if counted_table.rows <= settings.max_broadcast_keys:
-        enough = F.broadcast(enough)
     graphed = facts.join(enough, "repo_id", "left_semi")
     metrics = score.rounded(graph_plan.metrics_from_facts(graphed, settings, staging))
     failures = (

@@ -24,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores if a small input comes as fewer splits than there are cores.
-
-    Large tables have splits enough and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _pick(index: Column, values) -> Column:
     pairs = list(enumerate(values))
     last = F.lit(pairs[-1][1])
@@ -122,7 +113,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, language = F.col("x"), F.col("x") % 4
     unreadable = ~F.col("hot") & (x % ORDERS_PER_REPO == 16) & (F.col("repo") % 7 == 4)
     rows = (
-        spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+        # Keys only: text is made from them after this.
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey")
+        .repartition(spark.sparkContext.defaultParallelism)
         .select(
             k.alias("x"),
             hot.alias("hot"),
@@ -200,7 +194,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 7 == 5, F.concat(F.lit("x.egg-info/"), n, F.lit(".txt")))
         .otherwise(F.concat(F.lit("Makefile"), n))
     )
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo_id"),
         path.alias("path"),
         F.octet_length("text").cast("bigint").alias("size_bytes"),
@@ -217,7 +211,7 @@ _URL = r"^https?://([^/?#]+)(/[^?#]*)?"
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     path = F.regexp_extract(url, _URL, 2)
-    return spread(table(spark, sf_dir, "pages").select("url", "html")).select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract(url, _URL, 1).alias("repo_id"),
         F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
         "html",

@@ -10,11 +10,14 @@ def read_corpus(spark: SparkSession, path: str, array_file: bool = False) -> Dat
     """Column `text`. `.txt` is read by line, any other suffix as JSON.
 
     `array_file` reads documents that are one JSON array; such a file cannot be
-    split, so it is meant for small inputs.
+    split, so it is meant for small inputs. A malformed record fails the read, and
+    so does one without a text.
     """
     if path.rstrip("/").endswith(".txt"):
         return spark.read.text(path).select(F.col("value").alias("text"))
-    return spark.read.schema("text string").option("multiLine", array_file).json(path)
+    records = spark.read.schema("text string").option("multiLine", array_file).option("mode", "FAILFAST").json(path)
+    missing = F.raise_error(F.lit("a record of the corpus has no text"))
+    return records.select(F.coalesce("text", missing.cast("string")).alias("text"))
 
 
 def export_corpus(files: DataFrame, path: str) -> None:

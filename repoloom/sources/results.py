@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +26,14 @@ MEASURED_ONLY = (
 FIRST_INSERT = ("id", "processed_at")
 
 
-def merge_results(rows: DataFrame, order: str = "batch_id") -> DataFrame:
+def merge_results(rows: DataFrame, order: Sequence[str] = ("batch_id",)) -> DataFrame:
     """One row per repository: for each column, the latest value supplied for it.
 
     A failure row supplies no measurements and a completed row no error text, so
-    those keep what an earlier row stored. One partially aggregated grouping; no
-    join and no sort of whole groups.
+    those keep what an earlier row stored. One partially aggregated grouping, without
+    a join. (Strings and maps in its state make it a sorting one.)
     """
+    order = F.struct(*order)
     completed = F.col("processing_status") == STATUS_COMPLETED
     picked = []
     for field in schemas.RESULT:
@@ -38,13 +43,13 @@ def merge_results(rows: DataFrame, order: str = "batch_id") -> DataFrame:
         # A struct keeps "supplied as NULL" apart from "not supplied".
         boxed = F.struct(F.col(name).alias("v"))
         if name in FIRST_INSERT:
-            chosen = F.min_by(boxed, F.col(order))
+            chosen = F.min_by(boxed, order)
         elif name in MEASURED_ONLY:
-            chosen = F.max_by(boxed, F.when(completed, F.col(order)))
+            chosen = F.max_by(boxed, F.when(completed, order))
         elif name == "error_message":
-            chosen = F.max_by(boxed, F.when(~completed, F.col(order)))
+            chosen = F.max_by(boxed, F.when(~completed, order))
         else:
-            chosen = F.max_by(boxed, F.col(order))
+            chosen = F.max_by(boxed, order)
         picked.append(chosen.getField("v").alias(name))
     return rows.groupBy("repo_id").agg(*picked).select(*schemas.RESULT.fieldNames())
 
@@ -70,29 +75,52 @@ def upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
     return merge_results(both)
 
 
-def append_batch(results: DataFrame, path: str, batch_id: int) -> None:
-    """Store one run's rows under their own batch; a repeated batch replaces itself."""
+BATCH_RUNS = "batch"  # stream name of runs that belong to no stream
+STORED_ORDER = ("stored_at", "stream", "batch_id")
+STORED = T.StructType(
+    [*schemas.RESULT.fields]
+    + [T.StructField("stored_at", T.LongType()), T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
+)
+
+
+def append_batch(results: DataFrame, path: str, batch_id: int, stream: str = BATCH_RUNS) -> None:
+    """Store one run's rows under their stream and batch; a repeated batch replaces itself,
+    and nothing else. `stored_at` orders the batches of all streams."""
     (
-        results.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        results.withColumns(
+            {
+                "stored_at": F.lit(time.time_ns()),
+                "stream": F.lit(stream),
+                "batch_id": F.lit(batch_id).cast("bigint"),
+            }
+        )
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("stream", "batch_id")
         .parquet(path)
     )
 
 
 def stored_batches(spark: SparkSession, path: str) -> DataFrame:
     """All stored rows; empty if nothing has been stored yet."""
-    schema = T.StructType(list(schemas.RESULT.fields) + [T.StructField("batch_id", T.LongType())])
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(STORED).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED)
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Write the current result table to a new folder `to`, as one batch in few files.
+    Readers and writers switch to it; the old folder can go when nobody reads it."""
+    rows = read_results(spark, path).hint("rebalance")
+    append_batch(rows, to, 0, BATCH_RUNS)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The current result table."""
-    return merge_results(stored_batches(spark, path))
+    return merge_results(stored_batches(spark, path), STORED_ORDER)
 
 
 def constraint_violations(results: DataFrame) -> DataFrame:

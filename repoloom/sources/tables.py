@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom import schemas
+from repoloom.operators.prefilter import likely_in
 
 
 def read_repos(spark: SparkSession, path: str) -> DataFrame:
@@ -50,20 +51,20 @@ def repo_bucket(repo_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
 
 
-def pack_files(files: DataFrame, path: str, buckets: int, shares: int = 8) -> None:
+def pack_files(files: DataFrame, path: str, buckets: int) -> None:
     """Write the packed file table in folders by repository bucket.
 
     A later run over few repositories then opens only their folders. The one
-    shuffle of content happens here, when files are taken in. Each bucket is
-    written in `shares` parts chosen by path, so that a repository with a large
-    share of all files does not end in one task; within a part rows are sorted,
-    which lets Parquet statistics skip row groups of other repositories.
+    shuffle of content happens here, when files are taken in. The planner splits
+    it by measured size (`spark.sql.adaptive.advisoryPartitionSizeInBytes`), so a
+    repository with a large share of all files is written by many tasks; within
+    a task rows are sorted, which lets Parquet statistics skip row groups of other
+    repositories.
     """
-    share = F.pmod(F.xxhash64("path"), F.lit(shares))
     (
         schemas.conform(files, schemas.FILES)
         .withColumn(BUCKET, repo_bucket(F.col("repo_id"), buckets))
-        .repartition(F.col(BUCKET), share)
+        .hint("rebalance", F.col(BUCKET))
         .sortWithinPartitions(BUCKET, "repo_id")
         .write.mode("append")
         .partitionBy(BUCKET)
@@ -81,24 +82,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*files.columns, BUCKET) if BUCKET in rows.columns else files
 
 
-def files_of(
-    files: DataFrame, repos: DataFrame, rows: int, limit: int, buckets: int | None = None
-) -> DataFrame:
-    """Files of the given repositories, without ever shuffling file content.
-
-    `rows` is the known length of `repos` (repo_id). Up to `limit` keys the list
-    is broadcast, and content of other repositories is never decoded. With the
-    number of `buckets` that the table was packed in, folders without any of the
-    repositories are not even opened; their numbers, no more than `buckets`
-    integers, become a partition filter. Beyond `limit` all files pass, and the
-    caller filters the compact facts instead.
+def files_of(files: DataFrame, repos: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Files of the given repositories and few others, without shuffling file content.
+
+    Content of the others is not decoded, whatever the number of `repos` (repo_id): a
+    filter of fixed size stands in front. The caller semi-joins the compact facts. With
+    the number of `buckets` that the table was packed in, folders without any of the
+    repositories are not even opened; their numbers, no more than `buckets` integers,
+    become a partition filter.
     """
-    if rows > limit:
-        return files.drop(BUCKET)
     if buckets and BUCKET in files.columns:
         numbers = repos.select(repo_bucket(F.col("repo_id"), buckets).alias("b")).distinct()
         files = files.filter(F.col(BUCKET).isin([r["b"] for r in numbers.collect()]))
-    return files.join(F.broadcast(repos), "repo_id", "left_semi").drop(BUCKET)
+    return likely_in(files, repos, ["repo_id"]).drop(BUCKET)
 
 
 def processed_keys(results: DataFrame, retry_statuses: tuple[str, ...] = ()) -> DataFrame:

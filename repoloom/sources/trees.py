@@ -2,9 +2,10 @@
 
 Spark's own file listing hides names that start with `_` or `.`, which loses
 `__init__.py` and hidden folders, so trees get a data source of their own.
-The driver sees repository names only. Tasks list the repositories, the listing
-is spread by top-level entry so that one large repository is shared out, and
-bytes are read only for the rows that survive filters.
+Each task lists the repositories of its own share, chosen by a hash of their names, so the
+driver sees no names. The listing is spread by the entries of two levels, so that one large
+folder is shared out, and comes in bounded chunks. Bytes are read only for the rows that
+survive filters, in chunks bounded by bytes.
 """
 
 from __future__ import annotations
@@ -13,38 +14,49 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SOURCE_NAME = "repository_entries"
+LISTED_ROWS = 10_000
+HELD_BYTES = 64 << 20
 
 
 def register(spark: SparkSession) -> None:
     """Make `spark.read.format("repository_entries").load(root)` available:
-    (repo_id, entry) for every top-level entry of every repository below root."""
+    (repo_id, entry, folder) for every entry of the first two levels of every repository
+    below root; folders of the first level stand for what they hold."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     # Local classes travel to the workers by value; no package install needed there.
-    class Slice(InputPartition):
-        def __init__(self, repos: list):
-            self.repos = repos
+    class Share(InputPartition):
+        def __init__(self, number: int):
+            self.number = number
 
     class Entries(DataSourceReader):
-        def __init__(self, root: str, slices: int):
+        def __init__(self, root: str, shares: int):
             self.root = root
-            self.slices = slices
+            self.shares = shares
 
         def partitions(self):
-            import os
-
-            names = sorted(d.name for d in os.scandir(self.root) if d.is_dir())
-            return [Slice(names[i :: self.slices]) for i in range(min(self.slices, len(names)))]
+            return [Share(i) for i in range(self.shares)]
 
         def read(self, part):
             import os
-
-            for repo in part.repos:
-                for entry in os.scandir(os.path.join(self.root, repo)):
-                    yield repo, entry.name
+            import zlib
+
+            def below(folder):
+                with os.scandir(folder) as found:
+                    yield from found
+
+            for repo in below(self.root):
+                if zlib.crc32(os.fsencode(repo.name)) % self.shares != part.number or not repo.is_dir():
+                    continue
+                for entry in below(repo.path):
+                    if not entry.is_dir(follow_symlinks=False):
+                        yield repo.name, entry.name, False
+                        continue
+                    for inner in below(entry.path):
+                        name = os.path.join(entry.name, inner.name)
+                        yield repo.name, name, inner.is_dir(follow_symlinks=False)
 
     class RepositoryEntries(DataSource):
         @classmethod
@@ -52,47 +64,51 @@ def register(spark: SparkSession) -> None:
             return SOURCE_NAME
 
         def schema(self):
-            return "repo_id string, entry string"
+            return "repo_id string, entry string, folder boolean"
 
         def reader(self, schema):
-            return Entries(self.options["path"], int(self.options.get("slices", "1000")))
+            return Entries(self.options["path"], int(self.options["shares"]))
 
     spark.dataSource.register(RepositoryEntries)
 
 
-def list_tree(spark: SparkSession, root: str, slices: int = 1000) -> DataFrame:
-    """One row per file below `root/<repository>/`, without content."""
+def list_tree(spark: SparkSession, root: str, shares: int | None = None) -> DataFrame:
+    """One row per file below `root/<repository>/`, without content. `shares`: number of
+    listing tasks, by default four per core of the session."""
     register(spark)
+    columns = ["repo_id", "path", "size_bytes", "location"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
+        from itertools import batched
 
         import pandas
 
-        def files(repo, entry):
+        def files(repo, entry, folder):
             base = os.path.join(root, repo)
             start = os.path.join(base, entry)
-            if not os.path.isdir(start):
-                places = [(base, [entry])]
-            elif os.path.islink(start):
-                places = []
+            if folder:
+                places = ((at, names) for at, _, names in os.walk(start))
+            elif os.path.isdir(start):  # a link to a folder is not followed
+                places = ()
             else:
-                places = ((folder, names) for folder, _, names in os.walk(start))
-            for folder, names in places:
+                places = [(os.path.dirname(start), [os.path.basename(start)])]
+            for at, names in places:
                 for name in names:
-                    location = os.path.join(folder, name)
+                    location = os.path.join(at, name)
                     try:
                         size = os.path.getsize(location)
                     except OSError:
                         size = 0
                     yield repo, os.path.relpath(location, base), size, location
 
-        columns = ["repo_id", "path", "size_bytes", "location"]
         for batch in batches:
-            for repo, entry in zip(batch["repo_id"], batch["entry"]):
-                yield pandas.DataFrame(list(files(repo, entry)), columns=columns)
+            for row in batch.itertuples(index=False):
+                for chunk in batched(files(row.repo_id, row.entry, row.folder), LISTED_ROWS):
+                    yield pandas.DataFrame(list(chunk), columns=columns)
 
-    entries = spark.read.format(SOURCE_NAME).option("slices", str(slices)).load(root)
+    tasks = shares or 4 * spark.sparkContext.defaultParallelism
+    entries = spark.read.format(SOURCE_NAME).option("shares", str(tasks)).load(root)
     return entries.repartition("repo_id", "entry").mapInPandas(
         walk, "repo_id string, path string, size_bytes bigint, location string"
     )
@@ -105,8 +121,9 @@ def with_content(listing: DataFrame) -> DataFrame:
     differ widely in size.
     """
 
-    @F.pandas_udf("binary")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    names = ["repo_id", "path", "size_bytes"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas
 
         def load(location):
@@ -116,10 +133,20 @@ def with_content(listing: DataFrame) -> DataFrame:
             except OSError:
                 return None
 
-        for locations in batches:
-            yield pandas.Series([load(x) for x in locations], dtype=object)
+        def frame(rows):
+            return pandas.DataFrame(rows, columns=[*names, "content"])
 
-    spread = listing.repartition("repo_id", "path")
-    return spread.withColumn("content", read("location")).select(
-        "repo_id", "path", "size_bytes", "content"
-    )
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                content = load(row.location)
+                rows.append((row.repo_id, row.path, row.size_bytes, content))
+                held += len(content or b"")
+                if held >= HELD_BYTES:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
+
+    spread = listing.repartition("repo_id", "path").select(*names, "location")
+    return spread.mapInPandas(read, "repo_id string, path string, size_bytes bigint, content binary")

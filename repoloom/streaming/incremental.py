@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +32,23 @@ def run_and_store(
     batch_id: int,
     settings: Settings = Settings(),
     limit: int | None = None,
+    stream: str = results.BATCH_RUNS,
 ) -> None:
     """One batch run: unseen repositories in, their outcome rows stored at `path`.
 
-    Rows that this same batch stored before do not count as seen, and storing
-    replaces them, so a batch that is repeated after a failure ends the same.
+    A batch is known by its stream and its number. Rows that this same batch stored
+    before do not count as seen, and storing replaces them, so a batch that is
+    repeated after a failure ends the same. Rows of other streams stay as they are.
     """
     staging = Staging(spark)
     try:
-        earlier = results.stored_batches(spark, path).filter(F.col("batch_id") != batch_id)
-        stored = results.merge_results(earlier)
+        own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+        earlier = results.stored_batches(spark, path).filter(~own)
+        stored = results.merge_results(earlier, results.STORED_ORDER)
         rows = repo_run.run(
             repos, inputs.metadata, inputs.snapshots, inputs.files, stored, staging, settings, limit
         )
-        results.append_batch(rows, path, batch_id)
+        results.append_batch(rows, path, batch_id, stream)
     finally:
         staging.close()
 
@@ -61,14 +65,16 @@ def run_stream(
     """Take up all repository lists that arrived as Parquet files, then stop.
 
     Returns the finished query. Spark's checkpoint remembers which files are
-    done; storing by batch makes a repeated micro-batch harmless.
+    done; storing by batch makes a repeated micro-batch harmless. A new checkpoint
+    numbers its batches from 0 again, but has a new query id, which is the name
+    of the stream here; so it adds to the results of others.
     """
+    started: Future[str] = Future()
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        # A repository may be listed twice within one micro-batch; which of its
-        # rows is taken must not depend on their order.
-        fresh = batch.groupBy("id").agg(F.max(F.struct(*batch.columns)).alias("row")).select("row.*")
-        run_and_store(batch.sparkSession, fresh, inputs, path, batch_id, settings)
+        run_and_store(
+            batch.sparkSession, batch, inputs, path, batch_id, settings, stream=started.result()
+        )
 
     query = (
         spark.readStream.schema(schemas.REPOS)
@@ -79,5 +85,6 @@ def run_stream(
         .trigger(availableNow=True)
         .start()
     )
+    started.set_result(str(query.id))
     query.awaitTermination()
     return query

@@ -103,11 +103,11 @@ def graphs():
     return sorted(set(pairs))
 
 
-@pytest.mark.parametrize("local_limit", [0, 5, 100, 10_000])
-def test_component_sizes_like_union_find(spark, staging, local_limit):
+@pytest.mark.parametrize("batch_forests", [True, False])
+def test_component_sizes_like_union_find(spark, staging, batch_forests):
     pairs = graphs()
     table = spark.createDataFrame([(*p, 1) for p in pairs], schemas.EDGES).repartition(3)
-    sizes = components.component_sizes(table, staging, local_limit)
+    sizes = components.component_sizes(table, staging, batch_forests)
     assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
 
 

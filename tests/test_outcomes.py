@@ -94,9 +94,8 @@ def run(spark, staging, stored=None, settings=SMALL, **more):
     return rows
 
 
-@pytest.mark.parametrize("broadcast_keys", [2_000_000, 0])
-def test_every_named_repository_has_one_outcome(spark, staging, broadcast_keys):
-    rows = run(spark, staging, settings=Settings(min_tokens=10, max_broadcast_keys=broadcast_keys)).collect()
+def test_every_named_repository_has_one_outcome(spark, staging):
+    rows = run(spark, staging).collect()
     found = {r["repo_id"]: r for r in rows}
     assert len(rows) == len(found)
     assert {k: (r["processing_status"], r["error_message"]) for k, r in found.items()} == {
@@ -122,13 +121,13 @@ def test_every_named_repository_has_one_outcome(spark, staging, broadcast_keys):
 def test_packed_files_are_pruned_by_folder(spark, staging):
     repos, metadata, snapshots, table = outcome_inputs(spark)
     path = staging.path("packed")
-    tables.pack_files(table, path, buckets=16, shares=2)
+    tables.pack_files(table, path, buckets=16)
     packed = tables.read_files(spark, path)
     assert sorted(map(tuple, packed.drop("repo_bucket", "content").collect())) == sorted(
         map(tuple, table.drop("content").collect())
     )
     one = staging.save(spark.createDataFrame([("good",)], "repo_id string"), "one")
-    pruned = tables.files_of(packed, one.df, one.rows, 10, 16)
+    pruned = tables.files_of(packed, one.df, 16)
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*repo_bucket#\d+ (=|IN)", plan)
     assert {r["repo_id"] for r in pruned.collect()} == {"good"}
@@ -215,3 +214,39 @@ def test_constraint_report(spark):
 def test_summary(spark, staging):
     counts = {r[0]: r[1] for r in outcomes.status_counts(run(spark, staging)).collect()}
     assert counts == {"completed": 2, "skipped": 3, "error": 1, "clone_failed": 1, "github_api_failed": 1}
+
+
+def test_streams_keep_each_others_rows(spark, staging):
+    """Batches of a second checkpoint, which start at 0 again, replace nothing."""
+    from repoloom import schemas
+    from repoloom.sources import results
+
+    path = staging.path("results")
+    values = {"string": "x", "bigint": 0, "double": 0.0}
+
+    def rows(repo, score):
+        row = [None if f.nullable else values.get(f.dataType.simpleString()) for f in schemas.RESULT]
+        names = schemas.RESULT.fieldNames()
+        for name, value in (("repo_id", repo), ("dependency_score", score), ("processing_status", "completed"), ("processed_at", T1)):
+            row[names.index(name)] = value
+        return spark.createDataFrame([tuple(row)], schemas.RESULT)
+
+    results.append_batch(rows("a", 1.0), path, 0, "one")
+    results.append_batch(rows("b", 2.0), path, 0, "two")
+    results.append_batch(rows("a", 3.0), path, 0, "three")
+    results.append_batch(rows("b", 4.0), path, 0, "two")
+    found = {r["repo_id"]: r["dependency_score"] for r in results.read_results(spark, path).collect()}
+    assert found == {"a": 3.0, "b": 4.0}
+    compacted = staging.path("compacted")
+    results.compact(spark, path, compacted)
+    assert {r["repo_id"]: r["dependency_score"] for r in results.read_results(spark, compacted).collect()} == found
+
+
+def test_one_row_for_repeated_repositories_and_snapshots(spark):
+    from repoloom.operators import outcomes, repos as repo_ops
+
+    listed = spark.createDataFrame([("a", "o/a", "u1"), ("a", "o/a", "u2"), ("b", "o/b", "u")], "id string, full_name string, url string")
+    metadata = spark.createDataFrame([("o/a", 500, None, None), ("o/b", 500, None, None)], "full_name string, size_kb bigint, language string, default_branch string")
+    snapshots = spark.createDataFrame([("a", False), ("a", True), ("b", False), ("b", False)], "repo_id string, ok boolean")
+    found = outcomes.first_gates(repo_ops.with_names(listed), metadata, snapshots, Settings()).collect()
+    assert sorted((r["id"], r["url"], r["early_status"]) for r in found) == [("a", "u2", None), ("b", "u", "clone_failed")]
