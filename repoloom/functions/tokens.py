@@ -37,6 +37,7 @@ def public_encoder(name: str = "cl100k_base") -> Callable[[], object]:
 
         return tiktoken.get_encoding(name)
 
+    load.__name__ = name
     return load
 
 
@@ -51,6 +52,7 @@ def encoder_counter(load: Callable[[], object]) -> Callable[[Column], Column]:
                 lambda t: None if t is None else len(encoder.encode(t, disallowed_special=()))
             ).astype("Int64")
 
+    count.__name__ = getattr(load, "__name__", "encoder")
     return count
 
 

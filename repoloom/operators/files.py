@@ -54,9 +54,11 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 def with_tokens(files: DataFrame, settings: Settings) -> DataFrame:
-    """Token count of counted, readable files; NULL elsewhere."""
+    """Token count of counted, readable files; NULL elsewhere. `counter` names what counted
+    them, since a token gate means something else under another counter."""
     counter = settings.token_counter or tokens.count_tokens
-    return files.withColumn("tokens", counter(F.when(F.col("counted"), F.col("text"))))
+    counted = counter(F.when(F.col("counted"), F.col("text")))
+    return files.withColumns({"tokens": counted, "counter": F.lit(settings.counter_name)})
 
 
 def file_facts(files: DataFrame, settings: Settings) -> DataFrame:

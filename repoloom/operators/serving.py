@@ -25,11 +25,19 @@ def bucket(value: Column, edges: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), number)
 
 
-def quantile_edges(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> list[float]:
-    """Edges that split `column` into about equal shares (a mergeable sketch, one pass)."""
+def quantile_buckets(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> DataFrame:
+    """Add `bucket`: about equal shares of `column`, numbered from 0; NULL stays NULL.
+
+    Edges come from a mergeable sketch in one pass and join the rows as a single row;
+    they never visit the driver. Equal edges count as one, so a very common value can
+    leave buckets unused.
+    """
     shares = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(column, shares, accuracy)
-    return sorted(set(df.agg(sketch.alias("edges")).first()["edges"] or []))
+    edges = df.agg(F.array_distinct(F.coalesce(sketch, F.array().cast("array<double>"))).alias("edges"))
+    joined = df.withColumn("sole", F.lit(1)).join(edges.withColumn("sole", F.lit(1)), "sole", "left")
+    number = F.size(F.filter("edges", lambda e: e <= F.col(column)))
+    return joined.withColumn("bucket", F.when(F.col(column).isNotNull(), number)).drop("sole", "edges")
 
 
 def sample_position(key: Column, seed: int) -> Column:

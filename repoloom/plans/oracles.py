@@ -429,7 +429,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         # tokens
         "token_count": _query(
-            "SELECT repo_id, path, extension, tokens FROM document_tokens", "document_tokens"
+            "SELECT repo_id, path, extension, tokens, 'pattern' AS counter FROM document_tokens",
+            "document_tokens",
         ),
         "token_totals": _query("SELECT * FROM document_totals", "document_totals"),
         "tokens_by_ext": _query(
@@ -623,6 +624,19 @@ def oracle_sql() -> dict[str, str]:
                 GROUP BY bucket""",
             "metrics", graph=PAGES,
         ),
+        "score_buckets_quantile": _query(
+            """SELECT CAST(bucket AS INTEGER) AS bucket, COUNT(*) AS files,
+                      CAST(MIN(tokens) AS DOUBLE) AS lowest, CAST(MAX(tokens) AS DOUBLE) AS highest
+               FROM (SELECT tokens, (SELECT COUNT(DISTINCT edge) FROM
+                       (SELECT MIN(tokens) AS edge, p FROM
+                          (SELECT tokens, ROW_NUMBER() OVER (ORDER BY tokens) AS r, COUNT(*) OVER () AS n
+                           FROM document_tokens WHERE tokens IS NOT NULL),
+                          (VALUES (0.25), (0.5), (0.75)) AS shares(p)
+                        WHERE r >= p * n GROUP BY p) WHERE edge <= d.tokens) AS bucket
+                     FROM document_tokens d)
+               GROUP BY bucket""",
+            "document_tokens",
+        ),
         "mixture_sample": _query(
             """SELECT repo_id, path, length_bucket FROM (
                  SELECT repo_id, path,

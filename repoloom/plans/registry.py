@@ -36,19 +36,9 @@ DEFAULTS = Settings()
 # The supplied tables give small repositories, so the token gate is scaled to them.
 CODE_SETTINGS = Settings(min_tokens=MIN_TOKENS_CODE)
 
-_packed: dict[tuple[str, str], str] = {}
-
-
 def packed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The code files as the packed table a real run starts from.
-
-    Deriving the text costs more than reading it, so it is written once per
-    application to the shared folder.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _packed:
-        _packed[key] = Staging(spark).save(views.code_files(spark, sf_dir), "code-files").path
-    return spark.read.schema(schemas.FILES).parquet(_packed[key])
+    """The code files, derived from the supplied orders by every query anew."""
+    return views.code_files(spark, sf_dir)
 
 
 def _nine(column: str) -> Column:
@@ -145,7 +135,7 @@ def _document_tokens(spark, sf_dir):
 
 
 def token_count(spark, sf_dir):
-    return _document_tokens(spark, sf_dir).select("repo_id", "path", "extension", "tokens")
+    return _document_tokens(spark, sf_dir).select("repo_id", "path", "extension", "tokens", "counter")
 
 
 def _document_totals(spark, sf_dir):
@@ -481,6 +471,14 @@ def score_buckets(spark, sf_dir):
     )
 
 
+def score_buckets_quantile(spark, sf_dir):
+    """Documents by quarters of their token counts, a hot value included."""
+    counted = _document_tokens(spark, sf_dir).select(F.col("tokens").cast("double").alias("tokens"))
+    return serving.quantile_buckets(counted, "tokens", 4).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("files"), F.min("tokens").alias("lowest"), F.max("tokens").alias("highest")
+    )
+
+
 def mixture_sample(spark, sf_dir):
     # Counts are written down first: the draw looks at them several times.
     measured = _document_tokens(spark, sf_dir).select("repo_id", "path", "tokens")
@@ -581,6 +579,7 @@ def queries() -> dict[str, Query]:
         "topk_score": topk_score,
         "topk_tokens": topk_tokens,
         "score_buckets": score_buckets,
+        "score_buckets_quantile": score_buckets_quantile,
         "mixture_sample": mixture_sample,
         "corpus_json": corpus_json,
         "corpus_text": corpus_text,

@@ -108,6 +108,11 @@ class Settings:
     # Number of buckets the file table was packed in, if it was.
     file_buckets: int | None = None
 
+    @property
+    def counter_name(self) -> str:
+        """Name of the token counter, written beside the counts."""
+        return "pattern" if self.token_counter is None else getattr(self.token_counter, "__name__", "custom")
+
     def __post_init__(self):
         if self.relative_imports not in ("drop", "resolve"):
             raise ValueError("relative_imports must be 'drop' or 'resolve'")

@@ -71,8 +71,10 @@ def test_buckets(spark):
     got = [r[0] for r in df.select(serving.bucket(F.col("v"), (0.25, 0.5))).collect()]
     assert got == [0, 1, 1, 2, None]
     ranged = spark.range(1000).withColumn("v", F.col("id").cast("double"))
-    edges = serving.quantile_edges(ranged, "v", 4)
-    assert [round(e / 250) for e in edges] == [1, 2, 3]
+    shares = serving.quantile_buckets(ranged.union(df.filter("v is null").select(F.lit(0), "v")), "v", 4)
+    counts = {r["bucket"]: r["count"] for r in shares.groupBy("bucket").count().collect()}
+    assert counts.pop(None) == 1 and set(counts) == {0, 1, 2, 3}
+    assert all(abs(n - 250) <= 1 for n in counts.values())
 
 
 def test_mixture_is_stable_and_near_its_rates(spark):
