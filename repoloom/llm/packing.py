@@ -23,8 +23,10 @@ with a null id too; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from repoloom.llm.tables import ids_and_texts, stage
 CAPACITY = 4096
 END = 1
 ROUNDS = 40
-CACHED_WORDS = 200_000
+_RATE = 0.2
+BATCH = 4000
+CACHED_WORDS = 1_500_000
 BUCKET_ROWS = 100_000
 
 _PIECES = pa.schema(
@@ -50,44 +54,128 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # --- Tokens ------------------------------------------------------------------------
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+# ASCII punctuation except for the apostrophe, which can begin a contraction.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
 class WordTokens:
-    """Token ids of whole texts by a tokenizer that drops white space, word by word.
+    """Token ids of whole texts by a tokenizer that lowers case and drops white space.
 
-    Its tokens never cross ASCII white space, so a text's ids are those of its words in
-    order. Ids of words already seen are kept, for at most `CACHED_WORDS` words.
+    Its tokens never cross ASCII white space, nor the border of an ASCII letter and an ASCII
+    mark other than an apostrophe; ASCII words are lowered by it anyway. So a text's ids are
+    those of such parts, in order. (Where a special token may stand in a text, only white
+    space parts it.) Ids of parts already seen are kept, for at most `CACHED_WORDS` parts.
     """
 
     def __init__(self, path: str):
+        # Tasks run side by side already; threads below them would only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for at in range(0, len(keys), 4000):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 4000], add_special_tokens=False)
-            for key, one in zip(keys[at : at + 4000], found):
-                self.known[key] = np.array(one.ids, dtype="<u4").tobytes()
+        self.last_in_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last_in_word[number] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        # Two levels, so that the large one is seldom merged: keys sorted, with the place of
+        # their ids; row k of a level is (key, begin, size).
+        self.levels = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
+        self.ids = np.empty(0, dtype="<u4")
+
+    def _tokenise(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(begins, sizes) of the ids of each text, which are appended to all ids."""
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        flat: list[np.ndarray] = []
+        order: list[int] = []
+        # A text of letters only is one word of the vocabulary, whose last id says so. Many
+        # of them are one call.
+        words = [k for k, text in enumerate(texts) if text.isalpha()]
+        for at in range(0, len(words), BATCH):
+            some = words[at : at + BATCH]
+            line = " ".join([texts[k] for k in some])
+            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last_in_word[ids])
+            if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                sizes[some] = np.diff(ends, prepend=-1)
+                flat.append(ids)
+                order += some
+        left = np.ones(len(texts), dtype=bool)
+        left[order] = False
+        rest = np.flatnonzero(left).tolist()
+        for at in range(0, len(rest), BATCH):
+            some = rest[at : at + BATCH]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+            sizes[some] = [len(ids) for ids in found]
+            flat.append(np.fromiter(chain.from_iterable(found), dtype="<u4"))
+            order += some
+        own = sizes[order]
+        begins = np.empty(len(texts), dtype=np.int64)
+        begins[order] = len(self.ids) + np.cumsum(own) - own
+        self.ids = np.concatenate([self.ids, *flat])
+        return begins, sizes
+
+    def _merge(self, level: int, rows: tuple[np.ndarray, ...]) -> None:
+        joined = [np.concatenate(pair) for pair in zip(self.levels[level], rows)]
+        order = np.argsort(joined[0], kind="stable")
+        self.levels[level] = tuple(column[order] for column in joined)
+
+    def _look_up(self, kinds: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """(begins, sizes) of sorted distinct keys; unknown ones are tokenised."""
+        begins, sizes = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+        missing = np.arange(len(kinds))
+        for keys, begin, size in self.levels:
+            if len(keys) and len(missing):
+                at = np.minimum(np.searchsorted(keys, kinds[missing]), len(keys) - 1)
+                hit = keys[at] == kinds[missing]
+                begins[missing[hit]], sizes[missing[hit]] = begin[at[hit]], size[at[hit]]
+                missing = missing[~hit]
+        if len(missing):
+            begins[missing], sizes[missing] = self._tokenise(text_of(missing))
+            self._merge(1, (kinds[missing], begins[missing], sizes[missing]))
+            if len(self.levels[1][0]) > CACHED_WORDS // 16:
+                self._merge(0, self.levels[1])
+                self.levels[1] = tuple(column[:0] for column in self.levels[1])
+        return begins, sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins)."""
         words = textbytes.find_words(data, offsets, textbytes.SPACE_WORDS)
-        kinds, sample, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        keys = kinds.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        raw = data.tobytes()
-        spans = zip(words.starts[sample[new]].tolist(), words.ends[sample[new]].tolist())
-        self._learn([keys[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-        parts = [self.known[key] for key in keys]
-        sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
-        begins = np.cumsum(sizes) - sizes
-        per_word = sizes[which]
-        ids = flat[textbytes.ranges(begins[which], per_word)]
-        upto = np.concatenate([[0], np.cumsum(per_word)])
-        return ids, upto[words.first]
+        starts, ends, first = words.starts, words.ends, words.first
+        if len(starts) and b"<|" not in data.tobytes():
+            wide = np.maximum.reduceat(data, starts) >= 0x80  # up to the next word: no other such bytes
+            low = textbytes.lowered(data)
+            kept = textbytes.ranges(starts[wide], (ends - starts)[wide])
+            low[kept] = data[kept]
+            data = low
+            letter, mark = _LETTER[data], _MARK[data]
+            border = np.zeros(len(data) + 1, dtype=bool)
+            border[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+            border[offsets] = False  # a border of texts, where no space stands, is a start already
+            begin, end = border.copy(), border
+            begin[starts] = end[ends] = True
+            starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
+            first = np.searchsorted(starts, offsets, side="left")
+        kinds, sample, which = np.unique(
+            textbytes.span_hashes(data, starts, ends), return_index=True, return_inverse=True
+        )
+        if len(self.levels[0][0]) > CACHED_WORDS:
+            self._forget()
+
+        def text_of(new: np.ndarray) -> list[str]:
+            raw = data.tobytes()
+            spans = zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())
+            return [raw[a:b].decode("utf-8", "replace") for a, b in spans]
+
+        begins, sizes = self._look_up(kinds, text_of)
+        per_part = sizes[which]
+        ids = self.ids[textbytes.ranges(begins[which], per_part)]
+        upto = np.concatenate([[0], np.cumsum(per_part)])
+        return ids, upto[first]
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -152,32 +240,43 @@ def _configuration(first: int, choice: np.ndarray) -> dict[int, int]:
     return members
 
 
-def fractional(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
-    """(configuration -> fractional number of sequences, lower bound on the sequences)."""
+def fractional(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float, np.ndarray]:
+    """(configuration -> fractional number of sequences, lower bound on the sequences, prices).
+
+    Prices settle in a first half of the rounds; the second half makes up the solution, an
+    equal share of the counts in each round.
+    """
     capacity = len(counts) - 1
     lengths = np.flatnonzero(counts)
     prices = np.where(counts > 0, np.arange(capacity + 1) / capacity, -np.inf)
     solution: dict[tuple, float] = {}
-    covered = np.zeros(capacity + 1)
     bound = 0.0
-    for r in range(1, rounds + 1):
+    covered, share = np.zeros(capacity + 1), 0.0
+    for r in range(2 * rounds):
+        if r == rounds:
+            covered, share = np.zeros(capacity + 1), 0.0
+        share += 1 / rounds
         best, choice = _knapsack(prices)
         # Prices scaled by the best configuration are a feasible dual solution.
         bound = max(bound, float(counts[lengths] @ prices[lengths]) / best[capacity])
-        target = counts * (r / rounds)
-        for length in lengths[::-1]:
+        target = counts * share
+        for length in lengths[::-1].tolist():
             lack = target[length] - covered[length]
             if lack <= 0:
                 continue
-            members = _configuration(int(length), choice)
-            amount = lack / members[int(length)]
+            members = _configuration(length, choice)
+            amount = lack / members[length]
             for other, n in members.items():
                 covered[other] += amount * n
-            key = tuple(sorted(members.items(), reverse=True))
-            solution[key] = solution.get(key, 0.0) + amount
-        behind = 1 - covered[lengths] / np.maximum(target[lengths], 1e-9)
-        prices[lengths] *= np.exp(0.05 * np.clip(behind, -2, 2))
-    return solution, bound
+            if r >= rounds:
+                key = tuple(sorted(members.items(), reverse=True))
+                solution[key] = solution.get(key, 0.0) + amount
+        # A length is too cheap if its best configuration is below the best of all, and too
+        # dear if it is covered beyond its share.
+        worth = (prices[lengths] + best[capacity - lengths]) / best[capacity]
+        beyond = np.clip(covered[lengths] / target[lengths] - 1, 0, 1)
+        prices[lengths] *= np.exp(_RATE * (1 - worth - beyond))
+    return solution, bound, prices
 
 
 def _largest_first(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -196,47 +295,65 @@ def _largest_first(left: np.ndarray, capacity: int) -> dict[int, int]:
         room -= length
 
 
-def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(members, times) that use every length exactly counts[length] times."""
-    capacity = len(counts) - 1
+def _used_up(counts: np.ndarray, plans) -> list[tuple[dict[int, int], int]]:
+    """Configurations from `plans` (generators of (members, most times) given what is left),
+    each as often as the counts allow, then largest-first ones until nothing is left."""
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[dict[int, int], int]] = []
 
-    def use(members: dict[int, int], most: float) -> bool:
+    def use(members: dict[int, int], most: float) -> int:
         times = int(min([most, *(left[length] // n for length, n in members.items())]))
-        if times <= 0:
-            return False
-        for length, n in members.items():
-            left[length] -= times * n
-        chosen.append((members, times))
-        return True
-
-    if left.any():
-        solution, _ = fractional(left, rounds)
-        fill = lambda key: sum(length * n for length, n in key)
-        for key, amount in sorted(solution.items(), key=lambda kv: (-fill(kv[0]), -kv[1])):
-            if fill(key) == capacity:
-                use(dict(key), np.floor(amount))
-    for _ in range(rounds):
-        if not left.any():
-            break
-        lengths = np.flatnonzero(left)
-        # Longer lengths are worth a little more, so that they go while short ones remain.
-        prices = np.full(capacity + 1, -np.inf)
-        prices[lengths] = lengths * (1 + 0.01 * lengths / capacity)
-        _, choice = _knapsack(prices)
-        used = False
-        for length in lengths[::-1]:
-            members = _configuration(int(length), choice)
-            if sum(k * n for k, n in members.items()) >= capacity - 1:
-                used |= use(members, np.inf)
-        if not used:
-            break
+        if times > 0:
+            for length, n in members.items():
+                left[length] -= times * n
+            chosen.append((members, times))
+        return times
+
+    for plan in plans:
+        for members, most in plan(left):
+            use(members, most)
     while left.any():
-        use(_largest_first(left, capacity), np.inf)
+        use(_largest_first(left, len(counts) - 1), np.inf)
     return chosen
 
 
+def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """(members, times) that use every length exactly counts[length] times: the rounded
+    program, or largest-first filling alone in the rare case that it needs fewer."""
+    if not counts.any():
+        return []
+    capacity = len(counts) - 1
+    solution, _, prices = fractional(counts, rounds)
+    value = lambda key: sum(prices[length] * n for length, n in key)
+    fill = lambda members: sum(length * n for length, n in members.items())
+
+    def rounded(left):
+        for key, amount in sorted(solution.items(), key=lambda kv: (-value(kv[0]), -kv[1])):
+            yield dict(key), np.floor(amount)
+
+    def filled(left):
+        # Longer lengths are worth a little more, so that they go while short ones remain.
+        for _ in range(rounds):
+            lengths = np.flatnonzero(left)
+            if not len(lengths):
+                return
+            worth = np.full(capacity + 1, -np.inf)
+            worth[lengths] = lengths * (1 + 0.01 * lengths / capacity)
+            _, choice = _knapsack(worth)
+            before = left.sum()
+            for length in lengths[::-1].tolist():
+                members = _configuration(length, choice)
+                if fill(members) >= capacity - 1:
+                    yield members, np.inf
+            if left.sum() == before:
+                return
+
+    found = _used_up(counts, [rounded, filled])
+    plain = _used_up(counts, [])
+    total = lambda chosen: sum(times for _, times in chosen)
+    return min(found, plain, key=total)
+
+
 # --- Places ------------------------------------------------------------------------
 
 

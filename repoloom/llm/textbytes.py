@@ -186,6 +186,8 @@ def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0]..starts[0]+lengths[0]-1, starts[1].. and so on."""
+    some = lengths > 0
+    starts, lengths = starts[some], lengths[some]
     total = int(lengths.sum())
     if not total:
         return np.empty(0, dtype=np.int64)
