@@ -10,9 +10,11 @@ which the other one must contain unchanged, near the same place. So every distin
   that can match: segment i starts at most i - 1 places off from the left, and at most
   k + 1 - i places off when seen from the right.
 
-Keys are hashes and lines are 64-bit digests, so that no text is shuffled for the join;
-pairs found are verified on their texts: equal ends are cut off, and Hyyro's banded form of
-the bit-parallel edit distance runs over the rest, with a band of 2k + 1 bits.
+Keys are hashes and lines are 64-bit digests, so that no text is shuffled for the join. The
+texts of lines that meet another line in the index are fetched, and their pairs compared:
+first by the parities of their characters' numbers, of which an edit changes two at most,
+then exactly: equal ends are cut off, and Hyyro's banded form of the bit-parallel edit
+distance runs over the rest, with a band of 2k + 1 bits.
 
 Equal lines are collapsed by partial aggregation before anything else, so a line that a
 third of all documents share is one line. Defined cases: null or empty texts have no lines;
@@ -27,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.llm.tables import ids_and_texts, stage
+from repoloom.llm.tables import fresh, ids_and_texts, members_only, stage
 
 DISTANCE = 2
 MIN_CHARS = 20
@@ -48,37 +50,37 @@ def lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return trimmed.filter(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
 
 
-def _bounds(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 1) of a line: the last ones are longer."""
-    base = F.floor(length / (k + 1)).cast("int")
-    longer = length - base * (k + 1)  # so many segments have one more
-    extra = F.greatest(F.lit(i - 1) - (F.lit(k + 1) - longer), F.lit(0))
-    return (base * (i - 1) + extra + 1).cast("int"), (base + F.when(F.lit(i) > (F.lit(k + 1) - longer), 1).otherwise(0)).cast("int")
-
-
-def _key(length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.col("line").substr(start, size), length.cast("int"), F.lit(i))
-
-
-def _index_keys(k: int) -> Column:
-    n = F.length("line")
-    return F.array(*[_key(n, i, *_bounds(n, i, k)) for i in range(1, k + 2)])
-
-
-def _probe_keys(k: int) -> Column:
-    n = F.length("line")
-    keys = []
-    for shorter in range(k + 1):
-        length = n - shorter
-        for i in range(1, k + 2):
-            start, size = _bounds(length, i, k)
+def _bounds(lag: int, i: int, k: int) -> tuple[Column, Column]:
+    """Start (from 1) and size of segment i (from 1) of a line `lag` shorter than this one:
+    all have `base` characters, the last `more` of them one more."""
+    base, more = F.col(f"base{lag}"), F.col(f"more{lag}")
+    # Segments before this one that have one more: those after the first k + 1 - more.
+    ahead = F.greatest(F.lit(i - 1 - (k + 1)) + more, F.lit(0))
+    return base * (i - 1) + ahead + 1, base + F.when(more > k + 1 - i, 1).otherwise(0)
+
+
+def _with_keys(rows: DataFrame, k: int) -> DataFrame:
+    """Adds `index`: keys of a line's own segments, and `probe`: keys of the places where
+    segments of lines up to k shorter can match. Sizes are columns of their own, so that
+    each is computed once."""
+    rows = rows.withColumn("n", F.length("line"))
+    parts = k + 1
+    rows = rows.select("*", *[F.floor((F.col("n") - lag) / parts).cast("int").alias(f"base{lag}") for lag in range(k + 1)])
+    rows = rows.select("*", *[(F.col("n") - lag - F.col(f"base{lag}") * parts).alias(f"more{lag}") for lag in range(k + 1)])
+
+    def key(lag, i, start, size):
+        return F.xxhash64(F.col("line").substr(start, size), F.col("n") - lag, F.lit(i))
+
+    index = [key(0, i, *_bounds(0, i, k)) for i in range(1, parts + 1)]
+    probe = []
+    for lag in range(k + 1):
+        for i in range(1, parts + 1):
+            start, size = _bounds(lag, i, k)
             # Seen from the left the start moves by at most i - 1, from the right (where
-            # the lines differ by `shorter`) by at most k + 1 - i.
-            for move in range(max(-(i - 1), shorter - (k + 1 - i)), min(i - 1, shorter + (k + 1 - i)) + 1):
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(inside, _key(length, i, at, size)))
-    return F.array_compact(F.array(*keys))
+            # the lines differ by `lag`) by at most k + 1 - i. It stays within the line.
+            for move in range(max(1 - i, lag - (parts - i)), min(i - 1, lag + parts - i) + 1):
+                probe.append(key(lag, i, start + move, size))
+    return rows.select(*rows.columns, F.array(*index).alias("index"), F.array(*probe).alias("probe"))
 
 
 def _common(a: Column, b: Column, most: Column, from_end: bool) -> Column:
@@ -169,11 +171,18 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > k, _long(k + 1)).otherwise(_let(pair, trimmed))
 
 
+def _parities(line: Column) -> Column:
+    """One bit per class of characters: whether their number is odd. An edit changes at most
+    two bits."""
+    bit = lambda c: F.call_function("shiftleft", _long(1), F.ascii(c) % 63)
+    return F.aggregate(_chars(line), _long(0), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
 def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, gone: numbers of the lines that go) of documents that lose any."""
     found = lines(docs, min_chars)
     firsts = stage(
-        found.select("id", "doc_id", "line_no", F.length("line").alias("n"), _index_keys(k).alias("index"), _probe_keys(k).alias("probe"))
+        _with_keys(found, k)
         .groupBy("id")
         .agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"),
@@ -183,22 +192,27 @@ def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS
         ),
         "lines",
     )
-    index = firsts.select(F.explode("index").alias("key"), F.col("id").alias("a"))
-    probe = firsts.select(F.explode("probe").alias("key"), F.col("id").alias("b"))
-    pairs = index.join(probe, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    place = lambda end: firsts.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"))
-    pairs = stage(pairs.join(place("a"), "a").join(place("b"), "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("first_a", "first_b")).alias("w")).select("w.doc_id", "w.line_no").distinct()
-    texts = (
-        wanted.groupBy("doc_id")
-        .agg(F.collect_set("line_no").alias("numbers"))
-        .join(_texts(docs), "doc_id")
-        .select("doc_id", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("all"))
-        .select(F.struct("doc_id", "line_no").alias("at"), F.trim(F.get("all", F.col("line_no"))).alias("line"))
+    own = firsts.select(F.explode("index").alias("key"), F.col("id").alias("a"))
+    other = firsts.select(F.explode("probe").alias("key"), F.col("id").alias("b"))
+    met = (own["key"] == other["key"]) & (own["a"] != other["b"])
+    # Keys by which a line meets another one: few, so that only their lines are fetched.
+    own = stage(own.join(other, met, "left_semi"), "met-own")
+    other = stage(members_only(other, own.select("key").distinct(), ["key"]), "met-other")
+    some = own.select(F.col("a").alias("id")).union(other.select("b")).distinct()
+    places = some.join(firsts.select("id", "first"), "id").select("id", "first", "first.doc_id", "first.line_no")
+    texts = members_only(found.select("doc_id", "line_no", "line"), places, ["doc_id", "line_no"])
+    texts = stage(texts.select("id", "first", "line", _parities(F.col("line")).alias("parities")), "met-lines")
+    with_place = lambda end: texts.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"), F.col("parities").alias(f"p{end}"))
+    own, other = own.join(with_place("a"), "a"), other.join(with_place("b"), "b")
+    pairs = own.join(
+        other,
+        (own["key"] == other["key"])
+        & (F.col("a") != F.col("b"))
+        & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * k),
     )
-    texts = stage(texts, "pair-lines")
-    side = lambda end: texts.select(F.col("at").alias(f"first_{end}"), F.col("line").alias(f"line_{end}"))
-    near = pairs.join(side("a"), "first_a").join(side("b"), "first_b")
+    pairs = pairs.select("a", "b", "first_a", "first_b").distinct()
+    side = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.filter(edit_distance(F.col("line_a"), F.col("line_b"), k) <= k)
     newer = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
     marks = firsts.select("id", "first", "times").join(newer.withColumn("near", F.lit(True)), "id", "left")
@@ -228,13 +242,16 @@ def deduplicate(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS)
 def keep_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` with the remaining lines as text and their length as n_chars; documents of
     which nothing remains go. Other columns and texts without removals stay as they are."""
-    gone = removed_lines(docs, k, min_chars).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    rows = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
-    rows = rows.withColumn("__text", text).filter(F.col("__gone").isNull() | (F.trim("__text") != ""))
-    chosen = {"text": F.col("__text").alias("text")}
+    key, gone, text = (fresh(docs, name) for name in ("gone_id", "gone_lines", "kept_text"))
+    found = removed_lines(docs, k, min_chars).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    rows = docs.join(found, docs["doc_id"] == found[key], "left")
+    changed = F.col(gone).isNotNull()
+    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    rows = rows.withColumn(text, F.when(changed, F.array_join(rest, "\n")).otherwise(F.col("text")))
+    rows = rows.filter(~changed | (F.trim(text) != ""))
+    chosen = {"text": F.col(text).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        chosen["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(kind).alias("n_chars")
+        size = F.when(changed, F.length(text)).otherwise(F.col("n_chars"))
+        chosen["n_chars"] = size.cast(kind).alias("n_chars")
     return rows.select(*[chosen.get(c, F.col(c)) for c in docs.columns])
