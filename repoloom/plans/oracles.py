@@ -70,8 +70,8 @@ _VIEWS = {
         FROM numbered""",
     "statements": """
         SELECT c.*, j,
-               CASE WHEN hot THEN (x // 6 + j * j % 11) * 3
-                    ELSE repo * 150 + (x - repo * 150) // 2 + 2 * (j * j % 11) END AS t
+               CASE WHEN hot THEN (x // 6 + (j * j + j // 7) % 11) * 3
+                    ELSE repo * 150 + (x - repo * 150) // 2 + 2 * ((j * j + j // 7) % 11) END AS t
         FROM code c, range(1, 8) steps(j)
         WHERE j <= x % 7 + 1""",
     "dotted": """

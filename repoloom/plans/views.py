@@ -82,9 +82,12 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth repository has a failed attempt beside its last one."""
     k = F.col("s_suppkey")
+    taken = k % 13 != 0
+    attempts = F.when(k % 6 == 0, F.array(F.lit(False), taken)).otherwise(F.array(taken))
     rows = table(spark, sf_dir, "supplier").select(
-        _repo_id(k).alias("repo_id"), (k % 13 != 0).alias("ok")
+        _repo_id(k).alias("repo_id"), F.explode(attempts).alias("ok")
     )
     return schemas.conform(rows, schemas.SNAPSHOTS)
 
@@ -160,7 +163,7 @@ def _code_path(x: Column) -> Column:
 
 def _target(j: int) -> Column:
     """Number of the file that statement `j` of file `x` points at."""
-    jump = j * j % 11
+    jump = (j * j + j // 7) % 11
     inside = F.expr(
         f"repo * {ORDERS_PER_REPO} + (x - repo * {ORDERS_PER_REPO}) div 2 + {2 * jump}"
     )

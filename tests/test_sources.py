@@ -103,3 +103,13 @@ def test_staging_counts_rows_and_cleans_up(spark):
 def test_session_setting_names_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert named and Staging(spark).root.startswith(named)
+
+
+def test_filter_of_fixed_size_keeps_all_wanted_rows(spark):
+    from repoloom.operators.prefilter import likely_in
+
+    rows = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("k"), F.col("id").alias("v"))
+    wanted = rows.filter("v % 50 = 0").select("k").union(spark.createDataFrame([("none",)], "k string"))
+    passed = {r["v"] for r in likely_in(rows, wanted, ["k"]).collect()}
+    assert set(range(0, 20_000, 50)) <= passed and len(passed) < 450
+    assert likely_in(rows, wanted.limit(0), ["k"]).count() == 0
