@@ -7,13 +7,16 @@ tokens at random (every class in the node by the same draw), and a class follows
 picked token it has, on average 1/similarity of them, so that similar classes stay together
 and others part. Nodes of at most `node_size` classes are compared exhaustively.
 
-* A node that is larger is branched further. At the first level its classes are also compared
-  with its most central ones (those whose tokens are the most frequent in the node), which
-  links large groups of copies at linear cost. A node whose classes are all in one component
-  by then holds no news and ends there; a large node at the last level is compared exhaustively,
-  whatever its size.
-* Compared pairs must pass an estimate from 2-bit token sketches, 3.5 standard errors below
-  the threshold; pairs that pass are confirmed exactly, on the full sets, recomputed from the texts.
+* At the first level the classes of a node of more than `hub_size` are compared with its most
+  central ones first (those whose tokens are the most frequent in the node), which links large
+  groups of copies at linear cost. Pairs that are in one component by then need no comparison,
+  and nodes without other pairs end.
+* A node of more than `node_size` is branched further; one that is as large at the last level
+  is compared exhaustively, whatever its size.
+* Compared pairs must pass an estimate, 3.5 standard errors below the threshold; pairs that
+  pass are confirmed exactly, on the full sets, recomputed from the texts. The estimate comes
+  from a sketch of `BINS` bins: the smallest hash of the set in each bin, as two bits (0: no
+  member). Of small sets it sees nearly all members, so its error is small for any size.
 * `trees`: one tree keeps a pair at the threshold together with probability 1 - 1/e at the
   first level, so 16 trees miss 1e-7 of such pairs (0.1 % at the third level).
 
@@ -41,20 +44,25 @@ from repoloom.llm.tables import ids_and_texts, stage
 SHINGLE = 5
 TOKENS = 128
 TREES = 16
-NODE_SIZE = 64
-LEVELS = 8
+NODE_SIZE = 1024
+HUB_SIZE = 64
+LEVELS = 16
 HUBS = 3
 HUB_TOKENS = 16
-SLACK = 0.13
+BINS = 512
+SLACK = 0.07
 
 _SEEDS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 501)
 _FACTORS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 502) | np.uint64(1)
-_SKETCH = ("lo0", "lo1", "hi0", "hi1")
+_PLACES = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 503)
+_WORDS = BINS // 64
+_SKETCH = tuple(f"{half}{k}" for half in ("lo", "hi") for k in range(_WORDS))
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.binary())]
     + [(name, pa.int64()) for name in _SKETCH]
+    + [("paths", pa.list_(pa.int64()))]
 )
-_SETS_DDL = "doc_id long, n_shingles long, d1 long, d2 long, tokens binary, lo0 long, lo1 long, hi0 long, hi1 long"
+_SETS_DDL = "doc_id long, n_shingles long, d1 long, d2 long, tokens binary, " + ", ".join(f"{name} long" for name in _SKETCH) + ", paths array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,83 +86,102 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return values, np.searchsorted(owner, np.arange(n + 1))
 
 
-def _pack(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits per row as two longs."""
-    longs = np.packbits(bits, axis=1).view(np.int64)
-    return longs[:, 0], longs[:, 1]
-
-
-def _describe(values: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """Digest, minwise tokens and sketch of every set; sets without members get zeros."""
+def sketch(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Columns of longs, one row per set: low bits of all bins, then high bits."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    place = owner * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    # Members are sorted, so the first of each place is its smallest.
+    least = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    code = np.zeros(n * BINS, dtype=np.uint8)
+    code[place[least]] = 1 + (textbytes.mix(values[least], 603) % np.uint64(3)).astype(np.uint8)
+    code = code.reshape(n, BINS)
+    return np.concatenate([np.packbits(code & 1, axis=1).view(np.int64), np.packbits(code >> 1, axis=1).view(np.int64)], axis=1)
+
+
+def _describe(values: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(digest, minwise tokens and sketch of every set, whole tokens); sets without members
+    get zeros."""
     n = len(first) - 1
     sizes = np.diff(first)
     full = np.flatnonzero(sizes)
-    tokens = np.zeros((n, TOKENS), dtype=np.uint32)
+    tokens = np.zeros((n, TOKENS), dtype=np.uint64)
     digest = np.zeros((2, n), dtype=np.uint64)
     if len(full):
         begins = first[:-1][full]
         with np.errstate(over="ignore"):
             for i in range(TOKENS):
                 least = np.minimum.reduceat((values ^ _SEEDS[i]) * _FACTORS[i], begins)
-                tokens[full, i] = textbytes.mix(least, i).astype(np.uint32)
+                tokens[full, i] = textbytes.mix(least, i)
             for k in range(2):
                 digest[k, full] = np.add.reduceat(textbytes.mix(values, 601 + k), begins)
     found = {"n_shingles": sizes, "d1": digest[0].view(np.int64), "d2": digest[1].view(np.int64)}
-    found["lo0"], found["lo1"] = _pack((tokens >> 16) & 1)
-    found["hi0"], found["hi1"] = _pack((tokens >> 17) & 1)
+    found |= dict(zip(_SKETCH, sketch(values, first).T))
+    # 16 bits of a token do for the branching of nodes whose members are alike already.
     found["tokens"] = tokens.astype(np.uint16)
-    return found
+    return found, tokens
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in textbytes.slices(batch, "text"):
-            found = _describe(*shingle_sets(data, offsets))
-            found["tokens"] = [row.tobytes() for row in found["tokens"]]
-            columns = [pa.array(found[name], _SETS.field(name).type) for name in _SETS.names[1:]]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], schema=_SETS)
+def _children(paths: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) for each token that its node picks: one in similarity * TOKENS."""
+    threshold = np.uint64(int(2.0**64 / (similarity * TOKENS)))
+    mark = textbytes.mix((tokens + _PLACES) ^ textbytes.mix(paths, 504)[:, None], 505)
+    picked = mark < threshold
+    return np.nonzero(picked)[0], textbytes.mix(mark[picked], 506).view(np.int64)
+
+
+def _set_batches(roots: list[int], similarity: float):
+    """Sets of texts, with the first nodes that they follow in every tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in textbytes.slices(batch, "text"):
+                found, tokens = _describe(*shingle_sets(data, offsets))
+                found["tokens"] = [row.tobytes() for row in found["tokens"]]
+                rows, nodes = [], []
+                for root in roots:
+                    row, child = _children(np.full(len(tokens), root, dtype=np.uint64), tokens, similarity)
+                    rows.append(row)
+                    nodes.append(child)
+                row, child = np.concatenate(rows), np.concatenate(nodes)
+                child = child[np.argsort(row, kind="stable")]
+                ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(tokens))))
+                columns = [pa.array(found[name], _SETS.field(name).type) for name in _SETS.names[1:-1]]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(child)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], schema=_SETS)
 
+    return run
 
-def _branch(seeds: list[int] | None, similarity: float):
-    """Children of (path, id, tokens) rows; of (id, tokens) rows for all roots in `seeds`."""
-    threshold = np.uint64(int(2.0**64 / (similarity * TOKENS)))
-    schema = pa.schema([("path", pa.int64()), ("id", pa.int64())])
-    places = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 503)
 
-    def children(paths, ids, tokens):
-        with np.errstate(over="ignore"):
-            mark = textbytes.mix((tokens.astype(np.uint64) + places) ^ textbytes.mix(paths, 504)[:, None], 505)
-        row, _ = np.nonzero(mark < threshold)
-        child = textbytes.mix(mark[mark < threshold], 506)
-        return pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row])], schema=schema)
+def _branch(similarity: float):
+    """Children (path, id) of (path, id, tokens) rows."""
+    schema = pa.schema([("path", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                ids = batch.column("id").to_numpy()
                 tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
-                if seeds is None:
-                    yield children(batch.column("path").to_numpy().view(np.uint64), ids, tokens)
-                else:
-                    for seed in seeds:
-                        yield children(np.full(len(ids), seed, dtype=np.uint64), ids, tokens)
+                paths = batch.column("path").to_numpy().view(np.uint64)
+                row, child = _children(paths, tokens.astype(np.uint64), similarity)
+                ids = batch.column("id").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(ids)], schema=schema)
 
     return run
 
 
 def _estimate(a: str, b: str) -> Column:
-    """Similarity of two sketches."""
-    differ = [
-        F.bit_count(
-            F.col(f"{a}.lo{k}").bitwiseXOR(F.col(f"{b}.lo{k}")).bitwiseOR(
-                F.col(f"{a}.hi{k}").bitwiseXOR(F.col(f"{b}.hi{k}"))
-            )
-        )
-        for k in (0, 1)
-    ]
-    # Unequal tokens still agree on two bits in a quarter of the cases.
-    return 1 - (differ[0] + differ[1]) / (TOKENS * 0.75)
+    """Similarity of two sketches: agreeing bins, less those that agree by chance, of all
+    bins that either set fills."""
+    agree, both, either = F.lit(0), F.lit(0), F.lit(0)
+    for k in range(_WORDS):
+        low_a, high_a, low_b, high_b = (F.col(f"{side}.{half}{k}") for side in (a, b) for half in ("lo", "hi"))
+        differ = low_a.bitwiseXOR(low_b).bitwiseOR(high_a.bitwiseXOR(high_b))
+        full_a, full_b = low_a.bitwiseOR(high_a), low_b.bitwiseOR(high_b)
+        agree = agree + F.bit_count(full_a.bitwiseAND(F.bitwise_not(differ)))
+        both = both + F.bit_count(full_a.bitwiseAND(full_b))
+        either = either + F.bit_count(full_a.bitwiseOR(full_b))
+    return (3 * agree - both) / 2 / F.greatest(either, F.lit(1))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -235,12 +262,13 @@ def _nodes(frontier: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(nodes.filter("low < high").select("path", "size"), "path")
 
 
-def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size: int = NODE_SIZE) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size: int = NODE_SIZE, hub_size: int = HUB_SIZE) -> tuple[DataFrame, DataFrame]:
     """(sets of all rows, confirmed links between different sets)."""
     similarity = percent / 100
     texts = ids_and_texts(docs)
-    sets = stage(texts.mapInArrow(_set_batches, _SETS_DDL), "sets")
-    firsts = [F.first(name).alias(name) for name in ("tokens", *_SKETCH)]
+    roots = [int(x) for x in textbytes.mix(np.arange(trees, dtype=np.uint64), 507)]
+    sets = stage(texts.mapInArrow(_set_batches(roots, similarity), _SETS_DDL), "sets")
+    firsts = [F.first(name).alias(name) for name in ("tokens", "paths", *_SKETCH)]
     classes = stage(
         sets.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("d1", "d2", F.col("n_shingles").alias("n"))
@@ -248,28 +276,30 @@ def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size:
         .drop("d1", "d2"),
         "classes",
     )
-    roots = [int(x) for x in textbytes.mix(np.arange(trees, dtype=np.uint64), 507)]
-    frontier = classes.select("id", "tokens").mapInArrow(_branch(roots, similarity), "path long, id long")
+    frontier = classes.select("id", F.explode("paths").alias("path")).distinct()
     labels = links = None
     compared = []
     for level in range(1, LEVELS + 1):
         members = stage(_nodes(frontier, labels), "nodes")
+        if level == 1:
+            crowd = members.filter(F.col("size") > min(hub_size, node_size)).select("path", "id")
+            links = stage(confirmed(_hub_pairs(crowd, classes, percent), texts, percent), "hub-links")
+            labels = stage(components(links), "labels")
         big = members.filter(F.col("size") > node_size)
         last = level == LEVELS or big.isEmpty()
         compared.append(members if last else members.filter(F.col("size") <= node_size))
         if last:
             break
-        if level == 1:
-            links = stage(confirmed(_hub_pairs(big.select("path", "id"), classes, percent), texts, percent), "hub-links")
-            labels = stage(components(links), "labels")
         frontier = (
             big.select("path", "id")
             .join(classes.select("id", "tokens"), "id")
-            .mapInArrow(_branch(None, similarity), "path long, id long")
+            .mapInArrow(_branch(similarity), "path long, id long")
             .distinct()
         )
-    rows = reduce(DataFrame.unionByName, [m.select("path", "id") for m in compared])
-    rows = _labelled(rows, labels).join(classes.select("id", "n", *_SKETCH), "id")
+    members = stage(reduce(DataFrame.unionByName, [m.select("path", "id") for m in compared]), "compared")
+    # A pair is compared in the first of the nodes that it shares; a class has few nodes.
+    own = members.groupBy("id").agg(F.collect_set("path").alias("nodes"))
+    rows = _labelled(members, labels).join(own, "id").join(classes.select("id", "n", *_SKETCH), "id")
     pairs = (
         rows.alias("x")
         .join(
@@ -277,18 +307,18 @@ def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size:
             (F.col("x.path") == F.col("y.path"))
             & (F.col("x.id") < F.col("y.id"))
             & (F.col("x.label") != F.col("y.label"))
-            & _alike("x", "y", percent),
+            & _alike("x", "y", percent)
+            & (F.col("x.path") == F.array_min(F.array_intersect("x.nodes", "y.nodes"))),
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
     )
     found = confirmed(pairs, texts, percent)
-    return sets, found if links is None else found.unionByName(links).distinct()
+    return sets, found.unionByName(links).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES, node_size: int = NODE_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES, node_size: int = NODE_SIZE, hub_size: int = HUB_SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept."""
-    sets, links = linked_classes(docs, percent, trees, node_size)
+    sets, links = linked_classes(docs, percent, trees, node_size, hub_size)
     labels = components(links)
     reps = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(
         F.min("doc_id").alias("rep")
