@@ -160,9 +160,7 @@ class WordTokens:
             begin[starts] = end[ends] = True
             starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
             first = np.searchsorted(starts, offsets, side="left")
-        kinds, sample, which = np.unique(
-            textbytes.span_hashes(data, starts, ends), return_index=True, return_inverse=True
-        )
+        kinds, sample, which = textbytes.distinct(textbytes.span_hashes(data, starts, ends))
         if len(self.levels[0][0]) > CACHED_WORDS:
             self._forget()
 

@@ -196,3 +196,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     steps[0] = starts[0]
     steps[ends] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(steps)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, an index of each, which of them each value is)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
