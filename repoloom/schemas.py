@@ -39,6 +39,7 @@ METADATA = _struct(
 SNAPSHOTS = _struct("repo_id string!; ok boolean!; error string")
 FILES = _struct("repo_id string!; path string!; size_bytes bigint!; content binary")
 EDGES = _struct("repo_id string!; src string!; dst string!; n bigint!")
+# --- Fixed values: columns of the result table -------------------------------
 RESULT = _struct(
     "id string!; repo_id string!; full_name string!; url string!; github_size_kb bigint!;"
     "primary_language string; default_branch string; total_code_tokens bigint!;"
@@ -49,6 +50,7 @@ RESULT = _struct(
     "largest_component_fraction double; conference string; year int; paper_title string;"
     "processing_status string!; error_message string; processed_at timestamp!"
 )
+# --- End of fixed values ----------------------------------------------------
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
