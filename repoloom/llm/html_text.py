@@ -4,9 +4,13 @@ The standard library's parser streams a page as events. They give a list of line
 block of text, with the number of tags in it and the container it lies in. The ratio of
 characters to tags per line is smoothed with a Gaussian; lines above one standard deviation
 form the clusters of content. The main container is found from the body down, as long as one
-child holds most of the clustered text, and no deeper than an article or main element. Its
-blocks are the result, short ones too; blocks outside the clusters that consist mostly of
-links are not.
+child holds all lines that reach the threshold by themselves and do not consist mostly of
+links, and no deeper than an article or main element; lists, tables, quotes and figures are
+parts of a text and never the container. Its blocks are the result, short ones too, with the
+clustered lines outside it, all blocks between the first and the last of these, and the
+blocks next to them that lie directly in a container around them. Blocks that consist mostly
+of links stay if they reach the threshold by themselves, between clustered lines, in an article
+or main element, and in a container with clustered text of its own; elsewhere they go.
 
 Elements that are boilerplate by what they are (navigation, footers, asides, forms, scripts,
 styles) or by name (class or id: adverts, menus, sidebars, notices, comments) hold no lines.
@@ -52,8 +56,9 @@ NAMES = frozenset(
     "subscribe subscription comment comments disqus share sharing social related recommended widget toolbar pagination".split()
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Containers that can hold a whole text with its headings.
+WHOLE = frozenset("html body article main section div center header".split())
 _SPACE = re.compile(r"\s+")
-_SHARE = 0.6
 _LINKS = 0.5
 _SIGMA = 1.0
 
@@ -172,29 +177,66 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     sizes = np.array([len(text) for text, _, _, _ in lines], dtype=float)
-    score = smoothed(sizes / np.array([tags for _, tags, _, _ in lines]))
-    content = score >= score.std()
-    # Clustered characters below every container, children before parents.
-    below = np.zeros(len(parser.parents))
-    np.add.at(below, [c for _, _, _, c in lines], sizes * content)
+    tags = np.array([tags for _, tags, _, _ in lines])
+    score = smoothed(sizes / tags)
+    linked = np.array([part for _, _, part, _ in lines]) > _LINKS * sizes
+    owner = np.array([c for _, _, _, c in lines])
+    content = (score >= score.std()) & ~linked
+    # Smoothing lifts the neighbours of a text, too; these do not say where it ends.
+    alone = (score >= score.std()) & (sizes / tags >= score.std())
+    strong = content & alone
+    if not strong.any():
+        strong = content
+    kept = _inside(parser, owner, main := _main(parser, owner, strong))
+    if content.any():
+        first, last = np.flatnonzero(content)[[0, -1]]
+        if parser.kinds[main] not in ("article", "main"):
+            own = np.isin(owner, owner[content])
+            whole = parser.kinds[main] not in ("root", "html", "body") and (content & (owner == main)).any()
+            kept &= ~linked | alone | own | (owner == main) | whole
+        kept[first : last + 1] = True
+        _extend(kept, linked, owner, parser.parents, main)
+    return "\n".join(text for (text, _, _, _), keep in zip(lines, kept) if keep)
+
+
+def _main(parser: _Lines, owner: np.ndarray, strong: np.ndarray) -> int:
+    """The lowest container that holds every strong line."""
+    # Strong lines below every container, children before parents.
+    below = np.zeros(len(parser.parents), dtype=np.int64)
+    np.add.at(below, owner, strong)
     for c in range(len(below) - 1, 0, -1):
         below[parser.parents[c]] += below[c]
     main = 0
-    while parser.kinds[main] not in ("article", "main"):
-        children = [c for c in range(main + 1, len(below)) if parser.parents[c] == main]
-        best = max(children, key=lambda c: below[c], default=None)
-        if best is None or below[best] <= _SHARE * below[main] or parser.kinds[best] in ("li", "p", "tr", "td", "th"):
-            break
-        main = best
-    inside = np.zeros(len(below), dtype=bool)
+    if below[0]:
+        # Containers that hold all of them are nested, each after the one around it.
+        for c in np.flatnonzero(below == below[0])[1:]:
+            if parser.kinds[main] in ("article", "main") or parser.kinds[c] not in WHOLE:
+                break
+            main = int(c)
+    return main
+
+
+def _inside(parser: _Lines, owner: np.ndarray, main: int) -> np.ndarray:
+    """Which lines lie in a container."""
+    inside = np.zeros(len(parser.parents), dtype=bool)
     inside[main] = True
-    for c in range(main + 1, len(below)):
+    for c in range(main + 1, len(inside)):
         inside[c] = inside[parser.parents[c]]
-    return "\n".join(
-        text
-        for (text, _, linked, c), clustered in zip(lines, content)
-        if inside[c] and (clustered or linked <= _LINKS * len(text))
-    )
+    return inside[owner]
+
+
+def _extend(kept: np.ndarray, linked: np.ndarray, owner: np.ndarray, parents: list[int], main: int):
+    """Keep the lines next to the kept ones that lie directly around the main container."""
+    around = set()
+    while main >= 0:
+        around.add(main)
+        main = parents[main]
+    first, last = np.flatnonzero(kept)[[0, -1]]
+    for lines in (range(first - 1, -1, -1), range(last + 1, len(kept))):
+        for k in lines:
+            if linked[k] or owner[k] not in around:
+                break
+            kept[k] = True
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -39,6 +39,43 @@ def test_very_long_page():
     assert len(main_text(page("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>"))) > 5000 * 200
 
 
+LI = "<li>" + LONG + "</li>"
+PARTS = {
+    "list": "<ul>" + LI * 8 + "</ul>",
+    "table": "<table>" + f"<tr><td>{LONG}</td><td>{LONG}</td></tr>" * 4 + "</table>",
+    "quote": "<blockquote>" + f"<p>{LONG}</p>" * 8 + "</blockquote>",
+    "terms": "<dl>" + f"<dt>Term</dt><dd>{LONG}</dd>" * 8 + "</dl>",
+    "figure": "<figure>" + f"<div>{LONG}</div>" * 8 + "</figure>",
+    "section": "<section>" + f"<p>{LONG}</p>" * 8 + "</section>",
+}
+LINKS = "<div><ul>" + "".join(f'<li><a href="{k}">Link {k}</a></li>' for k in range(20)) + "</ul></div>"
+
+
+def words(html):
+    return [x for b in re.split(r"</?(?:p|h1|h2|li|ul|td|tr|table|div|dl|dt|dd|section|article|blockquote|figure)\b[^>]*>", html) if (x := re.sub(r"<[^>]+>", "", b).strip())]
+
+
+@pytest.mark.parametrize("kind", PARTS)
+@pytest.mark.parametrize("intro", ["An intro.", LONG])
+def test_a_large_part_is_not_the_whole_text(kind, intro):
+    content = f"<div id=content><h1>Title</h1><p>{intro}</p>{PARTS[kind]}<p>The end.</p></div>"
+    assert main_text(page(content, LINKS, LINKS)).split("\n") == words(content)
+
+
+@pytest.mark.parametrize("tag", ["section", "article", "div"])
+def test_text_in_several_parts_is_kept(tag):
+    content = f"<{tag}><h1>One</h1>" + f"<p>{LONG}</p>" * 7 + f"</{tag}><{tag}><h2>Two</h2>" + f"<p>{LONG}</p>" * 3 + f"</{tag}>"
+    assert main_text(page(content, LINKS, LINKS)).split("\n") == words(content)
+    assert main_text(page(f"<div>{content}</div>", LINKS, LINKS)).split("\n") == words(content)
+
+
+def test_link_lines_inside_the_text_are_kept():
+    content = f'<div id=content><p>{LONG}</p><p>{LONG}</p>' + '<ul><li><a href="x">A reference</a></li></ul>' * 9 + f'<p>{LONG}</p><p>See <a href="y">another reference</a></p></div>'
+    assert main_text(page(content, LINKS, LINKS)).split("\n") == words(content)
+    article = f"<article><p>{LONG}</p>{LINKS}</article>"
+    assert main_text(page(article, LINKS, LINKS)).split("\n") == words(article)
+
+
 @pytest.mark.skipif(not os.path.exists(PAGES), reason="supplied tables not present")
 def test_supplied_pages(spark):
     rows = spark.read.parquet(PAGES)
