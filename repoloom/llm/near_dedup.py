@@ -13,10 +13,11 @@ and others part. Nodes of at most `node_size` classes are compared exhaustively.
   and nodes without other pairs end.
 * A node of more than `node_size` is branched further; one that is as large at the last level
   is compared exhaustively, whatever its size.
-* Compared pairs must pass an estimate, 3.5 standard errors below the threshold; pairs that
-  pass are confirmed exactly, on the full sets, recomputed from the texts. The estimate comes
-  from a sketch of `BINS` bins: the smallest hash of the set in each bin, as two bits (0: no
-  member). Of small sets it sees nearly all members, so its error is small for any size.
+* Compared pairs must pass an estimate, so far below the threshold that at most `MISS` of the
+  pairs at the threshold fail (`slack`); pairs that pass are confirmed exactly, on the full
+  sets, recomputed from the texts. The estimate comes from a sketch of `BINS` bins: the
+  smallest hash of the set in each bin, as two bits (0: no member). Small sets fill few bins,
+  where single collisions weigh much; they have a wider slack.
 * `trees`: one tree keeps a pair at the threshold together with probability 1 - 1/e at the
   first level, so 16 trees miss 1e-7 of such pairs (0.1 % at the third level).
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,9 @@ LEVELS = 16
 HUBS = 3
 HUB_TOKENS = 16
 BINS = 512
-SLACK = 0.07
+MISS = 1e-7
+SMALL = 64
+SMALL_SLACK = 0.45
 
 _SEEDS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 501)
 _FACTORS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 502) | np.uint64(1)
@@ -65,6 +69,20 @@ _SETS = pa.schema(
 _SETS_DDL = "doc_id long, n_shingles long, d1 long, d2 long, tokens binary, " + ", ".join(f"{name} long" for name in _SKETCH) + ", paths array<long>"
 
 
+def slack(percent: int) -> float:
+    """How far below the threshold an estimate may be, so that at most `MISS` of the pairs at
+    the threshold are lost: all bins filled and each agreeing by itself is the worst case."""
+    p = percent / 100
+    agrees = p + (1 - p) / 3
+    below, least = 0.0, 0
+    while (below := below + comb(BINS, least) * agrees**least * (1 - agrees) ** (BINS - least)) <= MISS:
+        least += 1
+    return p - (3 * least - BINS) / 2 / BINS + 1e-9
+
+
+SLACK = slack(80)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, one text after the other, and where each begins."""
     words = textbytes.find_words(textbytes.lowered(data), offsets, textbytes.SPACE_WORDS)
@@ -187,7 +205,8 @@ def _estimate(a: str, b: str) -> Column:
 def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow the similarity."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (small * 100 >= large * percent) & (_estimate(a, b) >= percent / 100 - SLACK)
+    margin = F.when(large <= SMALL, SMALL_SLACK).otherwise(slack(percent))
+    return (small * 100 >= large * percent) & (_estimate(a, b) >= percent / 100 - margin)
 
 
 def _confirm(percent: int):

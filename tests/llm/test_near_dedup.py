@@ -97,3 +97,22 @@ def test_estimates_are_close(spark):
     errors = found.select("size", (near_dedup._estimate("x", "y") - F.col("exact")).alias("e")).toPandas()
     assert errors.groupby("size").e.std().max() < near_dedup.SLACK / 3.3
     assert errors.e.abs().max() < 1.3 * near_dedup.SLACK
+
+
+@pytest.mark.parametrize("common,extra,pairs", [(4, 1, 6000), (8, 2, 6000), (4000, 1000, 6000)])
+def test_no_pair_at_the_threshold_fails_the_estimate(spark, common, extra, pairs):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(common)
+    small, large = [], []
+    for _ in range(pairs):
+        members = rng.integers(0, 1 << 64, common + extra, dtype=np.uint64)
+        for found, part in ((small, members[:common]), (large, members)):
+            found.append(near_dedup.sketch(np.sort(part), np.array([0, len(part)]))[0])
+    names = [f"{side}_{name}" for side in "xy" for name in near_dedup._SKETCH]
+    rows = spark.createDataFrame(pd.DataFrame(np.concatenate([small, large], axis=1), columns=names))
+    side = lambda s, n: F.struct(F.lit(n).alias("n"), *(F.col(f"{s}_{name}").alias(name) for name in near_dedup._SKETCH)).alias(s)
+    rows = rows.select(side("x", common), side("y", common + extra))
+    assert rows.filter(near_dedup._alike("x", "y", 80)).count() == pairs
