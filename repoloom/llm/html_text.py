@@ -13,7 +13,10 @@ of links stay if they reach the threshold by themselves, between clustered lines
 or main element, and in a container with clustered text of its own; elsewhere they go.
 
 Elements that are boilerplate by what they are (navigation, footers, asides, forms, scripts,
-styles) or by name (class or id: adverts, menus, sidebars, notices, comments) hold no lines.
+styles) or by name (class or id: adverts, menus, sidebars, notices, comments) hold no lines. A
+name does not count if the element holds an article or main, or, on a page without one
+outside named elements, more than half of the text. Where HTML lets an end tag be missing
+(head, p, li, dt, dd, option, parts of tables), the next start tag ends the element.
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line break.
 
@@ -55,6 +58,25 @@ NAMES = frozenset(
     "navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices popup modal overlay newsletter "
     "subscribe subscription comment comments disqus share sharing social related recommended widget toolbar pagination".split()
 )
+# Elements that do not end an open head.
+HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
+# Start tags, the open elements that they end, and the elements beyond which they end none.
+OMITTED = (
+    (
+        frozenset(
+            "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 "
+            "h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+        ),
+        frozenset(["p"]),
+        frozenset("table td th li dd dt caption object button div section article main".split()),
+    ),
+    (frozenset(["li"]), frozenset(["li"]), frozenset("ul ol menu".split())),
+    (frozenset("dt dd".split()), frozenset("dt dd".split()), frozenset(["dl"])),
+    (frozenset("option optgroup".split()), frozenset(["option"]), frozenset("select datalist".split())),
+    (frozenset("td th".split()), frozenset("td th".split()), frozenset("tr table".split())),
+    (frozenset(["tr"]), frozenset("tr td th".split()), frozenset(["table"])),
+    (frozenset("tbody thead tfoot".split()), frozenset("tbody thead tfoot tr td th caption".split()), frozenset(["table"])),
+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Containers that can hold a whole text with its headings.
 WHOLE = frozenset("html body article main section div center header".split())
@@ -64,71 +86,93 @@ _SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page: text, number of tags, characters in links, container."""
+    """Blocks of a page: parts, number of tags, container. A part is a text, whether it is in
+    a link, and the innermost element around it that is boilerplate by its name."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # element, container, skipped
+        self.stack: list[tuple[str, int, bool, int]] = []  # element, container, skipped, named
         self.parents: list[int] = [-1]
         self.kinds: list[str] = ["root"]
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.around: list[int] = []  # of named elements: the named one around
+        self.holds: list[bool] = []  # of named elements: an article or main
+        self.blocks: list[tuple[list[tuple[str, bool, int]], int, int]] = []
+        self.parts: list[tuple[str, bool, int]] = []
+        self.tags = self.links = 0
 
-    def _inside(self) -> tuple[int, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, False)
+    def _inside(self) -> tuple[int, bool, int]:
+        return self.stack[-1][1:] if self.stack else (0, False, -1)
 
     def _flush(self):
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, max(self.tags, 1), self.linked, self._inside()[0]))
+        if any(text.strip() for text, _, _ in self.parts):
+            self.blocks.append((self.parts, self.tags, self._inside()[0]))
             self.tags = 0
-        self.parts, self.linked = [], 0
+        self.parts = []
 
-    def _named(self, tag: str, attrs) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            return False
+    def _hidden(self, attrs) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "style" and "display:none" in (value or "").replace(" ", "").lower():
                 return True
-            if name in ("class", "id", "role") and NAMES & {w.lower() for w in _WORDS.findall(value or "")}:
-                return True
         return False
 
+    def _named(self, attrs) -> bool:
+        return any(name in ("class", "id", "role") and NAMES & {w.lower() for w in _WORDS.findall(value or "")} for name, value in attrs)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._flush()
         self.tags += 1
+        self._end_omitted(tag)
+        container, skipped, named = self._inside()
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", False, named))
         if tag == "a":
             self.links += 1
-        container, skipped = self._inside()
         if tag in VOID:
             return
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
+        skip = by_name = False
+        if tag == "header" and not any(t in ("article", "main") for t, _, _, _ in self.stack):
             skip = True
-        else:
-            skip = tag in SKIPPED or self._named(tag, attrs)
+        elif tag in SKIPPED:
+            skip = True
+        elif tag not in ("html", "body", "article", "main"):
+            skip = self._hidden(attrs)
+            by_name = not skip and not skipped and self._named(attrs)
+        elif tag in ("article", "main") and not skipped and not self._named(attrs):
+            # A comment that is an article of its own protects no element around it.
+            while named >= 0:
+                self.holds[named] = True
+                named = self.around[named]
+            named = self._inside()[2]
+        if by_name:
+            self.around.append(named)
+            self.holds.append(False)
+            named = len(self.around) - 1
         if tag in CONTAINERS and not skipped:
-            if tag == "li":
-                self._close_sibling("li", ("ul", "ol", "menu"))
-                container, skipped = self._inside()
             self.parents.append(container)
             self.kinds.append(tag)
-            self.stack.append((tag, len(self.parents) - 1, skipped or skip))
-        elif skip or skipped and tag in CONTAINERS | SKIPPED:
-            self.stack.append((tag, container, True))
-
-    def _close_sibling(self, tag, lists):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in lists:
-                return
+            self.stack.append((tag, len(self.parents) - 1, skip, named))
+        elif skip or by_name or skipped and tag in CONTAINERS | SKIPPED:
+            self.stack.append((tag, container, skipped or skip, named))
+
+    def _end_omitted(self, tag):
+        """End the elements whose end tag may be missing before this start tag."""
+        if self.stack and self.stack[-1][0] == "head" and tag not in HEAD:
+            self._end(len(self.stack) - 1)
+        for starts, ends, bounds in OMITTED:
+            if tag not in starts:
+                continue
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in bounds:
+                    break
+                if self.stack[k][0] in ends:
+                    self._end(k)
+
+    def _end(self, k: int):
+        self._flush()
+        del self.stack[k:]
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -145,16 +189,50 @@ class _Lines(HTMLParser):
             self.links = max(0, self.links - 1)
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                self._flush()
-                del self.stack[k:]
+                self._end(k)
                 break
 
     def handle_data(self, data):
-        if self._inside()[1]:
-            return
-        self.parts.append(data)
-        if self.links:
-            self.linked += len(data)
+        _, skipped, named = self._inside()
+        if not skipped:
+            self.parts.append((data, self.links > 0, named))
+
+    def dropped(self) -> list[bool]:
+        """Which named elements are boilerplate: those that hold no article or main, and not
+        most of the text of a page that has no article or main outside them."""
+        own, total, safe = [0] * len(self.around), 0, 0
+        inner = {c for c in range(len(self.kinds)) if self.kinds[c] in ("article", "main")}
+        for c in range(len(self.kinds)):
+            if self.parents[c] in inner:
+                inner.add(c)
+        for parts, _, container in self.blocks:
+            for text, _, named in parts:
+                size = len(text.strip())
+                total += size
+                if named >= 0:
+                    own[named] += size
+                if container in inner and (named < 0 or self.holds[named]):
+                    safe += size
+        for k in range(len(own) - 1, -1, -1):
+            if self.around[k] >= 0:
+                own[self.around[k]] += own[k]
+        gone = []
+        for k, size in enumerate(own):
+            up = self.around[k]
+            gone.append(up >= 0 and gone[up] or not (self.holds[k] or not safe and 2 * size > total))
+        return gone
+
+    def lines(self) -> list[tuple[str, int, int, int]]:
+        """(text, tags, characters in links, container) without the dropped elements."""
+        gone, found, before = self.dropped(), [], 0
+        for parts, tags, container in self.blocks:
+            kept = [(text, link) for text, link, named in parts if named < 0 or not gone[named]]
+            text = _SPACE.sub(" ", "".join(text for text, _ in kept)).strip()
+            before += tags
+            if text:
+                found.append((text, max(before, 1), sum(len(text) for text, link in kept if link), container))
+                before = 0
+        return found
 
 
 def smoothed(ratios: np.ndarray, sigma: float = _SIGMA) -> np.ndarray:
@@ -173,7 +251,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser._flush()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     sizes = np.array([len(text) for text, _, _, _ in lines], dtype=float)

@@ -76,6 +76,28 @@ def test_link_lines_inside_the_text_are_kept():
     assert main_text(page(article, LINKS, LINKS)).split("\n") == words(article)
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "page-with-nav", "social-science"])
+def test_names_of_wrappers_do_not_drop_the_text(name):
+    side = '<div class="sidebar"><p>Aside.</p></div>'
+    for tag in ("article", "div"):
+        content = f"<div class={name}><{tag}><h1>Title</h1>" + f"<p>{LONG}</p>" * 3 + f"</{tag}>{side}</div>"
+        assert main_text(page(content)).split("\n") == ["Title"] + [LONG.strip()] * 3
+    comments = f'<div id="comments"><article class="comment"><p>{LONG}</p><p>{LONG}</p></article></div>'
+    assert main_text(page(f"<main><h1>Title</h1><p>{LONG}</p>{comments}</main>")) == f"Title\n{LONG.strip()}"
+
+
+def test_missing_end_tags():
+    text = f"<h1>Title</h1><p>{LONG}<p>{LONG}"
+    want = f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    assert main_text(f"<html><head><title>T</title><body>{text}") == want
+    assert main_text(f"<html><head><title>T</title><div>{text}</div>") == want
+    assert main_text(page(f"<div><p class=notice>Note<h1>Title</h1><p>{LONG}<p>{LONG}</div>")) == want
+    items = f"<ul><li class=promo>Buy<li>{LONG}<li>{LONG}</ul>"
+    assert main_text(page(f"<div>{items}</div>")) == f"{LONG.strip()}\n{LONG.strip()}"
+    cells = f"<table><tr><td class=ad>Buy<td>{LONG}<tr><td>{LONG}</table>"
+    assert main_text(page(f"<div>{cells}</div>")) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 @pytest.mark.skipif(not os.path.exists(PAGES), reason="supplied tables not present")
 def test_supplied_pages(spark):
     rows = spark.read.parquet(PAGES)
