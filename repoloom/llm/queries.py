@@ -19,11 +19,14 @@ from repoloom.llm import (
     quality_classifier,
     quality_rules,
     substring_dedup,
+    token_alignment,
 )
 from repoloom.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -81,5 +84,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pair = token_alignment.Pair(tokenizer_path(BYTE_LEVEL), public_tokenizers.PATTERN, tokenizer_path(PIECE_MODEL))
+    return token_alignment.align(read(spark, sf_dir, "documents"), pair)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
