@@ -20,6 +20,7 @@ from repoloom.llm import (
     quality_rules,
     substring_dedup,
     token_alignment,
+    whitening,
 )
 from repoloom.llm.tables import read
 
@@ -91,5 +92,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(read(spark, sf_dir, "documents"), pair)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
