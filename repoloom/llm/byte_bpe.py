@@ -24,13 +24,13 @@ can't clash. An empty table gives an empty table. An unknown id fails in decodin
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,67 +45,46 @@ MARGIN = 8
 CACHE = 1 << 18
 
 
+class Known(dict):
+    """Ids of the pieces seen so far; others are encoded when asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) > CACHE:
+            self.clear()
+        ids = self[piece] = tuple(self.encode(piece))
+        return ids
+
+    def all(self, pieces: list[str]) -> np.ndarray:
+        """The ids of all pieces, one after the other."""
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), dtype=np.int32)
+
+
+def merger(ranks: dict[bytes, int]):
+    """A function from one piece, whole, to its ids by these ranks."""
+    return tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class ByteBpe:
-    """Merges by rank: the adjacent pair of lowest rank first, of equal ones the leftmost."""
+    """Ids of pieces by a rank file, and the bytes of ids."""
 
     def __init__(self, rank_file: str):
-        self.ranks: dict[bytes, int] = {}
+        ranks: dict[bytes, int] = {}
         with open(rank_file, "rb") as lines:
             for line in lines:
                 token, _, rank = line.strip().partition(b" ")
                 if token:
-                    self.ranks[base64.b64decode(token)] = int(rank)
-        self.longest = max(map(len, self.ranks))
-        tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
+                    ranks[base64.b64decode(token)] = int(rank)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
             tokens[rank] = token
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token, in n log n steps."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
-        end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here
-        before = list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            """Queue the pair of the part at i and its successor."""
-            if i >= 0 and end[i] < n:
-                stop = end[end[i]]
-                rank = self.ranks.get(piece[i:stop]) if stop - i <= self.longest else None
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, stop))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
-                continue  # one of the two has been merged since
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            offer(before[i])
-        found, i = [], 0
-        while i < n:
-            found.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(found)
-
-    def encode(self, pieces: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for piece in set(pieces).difference(self.known):
-            self.known[piece] = self.merged(piece.encode("utf-8"))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), dtype=np.int32)
+        self.known = Known(merger(ranks))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all ids, one after the other."""
@@ -216,7 +195,7 @@ def _encode(rank_file: str, pattern: str):
         bpe, compiled = load(rank_file), regex.compile(pattern)
         for whole in batches:
             for batch, _, _ in slices(whole, "part"):
-                found = [bpe.encode(compiled.findall(text)) for text in batch.column("part").to_pylist()]
+                found = [bpe.known.all(compiled.findall(text)) for text in batch.column("part").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "i")), _lists(found)], schema=_TOKENS)
 
     return run
@@ -237,7 +216,7 @@ def _encode_shares(rank_file: str, pattern: str):
                         if stop is not None and match.start() >= stop:
                             break
                         pieces.append(match.group())
-                    found.append(bpe.encode(pieces))
+                    found.append(bpe.known.all(pieces))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "i")), _lists(found)], schema=_TOKENS)
 
     return run
