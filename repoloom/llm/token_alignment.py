@@ -25,13 +25,14 @@ are not used, so their names can't clash. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,36 +41,21 @@ from repoloom.llm.textbytes import ranges, slices
 
 BLOCK_BYTES = 1 << 22
 RUN_BYTES = 1 << 19
-# Words whose ids are kept per Python worker.
-CACHE = 1 << 18
-
 
 # --- Tokenizers --------------------------------------------------------------------
 
 
 class Tokens:
-    """Ids of whole texts, looked up by parts that the tokenizer encodes independently."""
-
-    separator: regex.Pattern
-    pieces: list[bytes]
+    """A tokenizer's ids of a space and a text, and the bytes of its ids."""
 
-    def _finish(self) -> None:
-        self.sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
+    def __init__(self, pieces: list[bytes]):
+        self.count = len(pieces)
+        self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _parts(self, parts: list[str]) -> list[list[int]]:
-        raise NotImplementedError
+        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.separator.findall(" " + text)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(parts).difference(self.known))
-        if new:
-            self.known.update(zip(new, map(tuple, self._parts(new))))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, parts)), dtype=np.int64)
+        raise NotImplementedError
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all tokens, joined."""
@@ -85,53 +71,94 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteLevel(Tokens):
-    """A byte-level tokenizer file; encodes a space and the text."""
+    """A byte-level tokenizer file. Where its merges come in the order of their ids, as in the
+    usual ones, ids serve as ranks; else its own library encodes."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.separator = regex.compile(pattern)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         letters = _byte_letters()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.pieces = [b""] * (max(vocabulary.values()) + 1)
-        for token, number in vocabulary.items():
+        pieces = [b""] * (max(model["vocab"].values()) + 1)
+        for token, number in model["vocab"].items():
             if all(c in letters for c in token):
-                self.pieces[number] = bytes(letters[c] for c in token)
-        self._finish()
+                pieces[number] = bytes(letters[c] for c in token)
+        super().__init__(pieces)
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        made = [model["vocab"][m.replace(" ", "")] for m in merges]
+        if made == sorted(set(made)):
+            ranks = {p: k for k, p in enumerate(pieces) if p}
+            ranked = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self._encode = lambda text: ranked.encode_to_numpy(text, disallowed_special=())
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self._encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _parts(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode(self, text: str) -> np.ndarray:
+        return self._encode(" " + text).astype(np.int64)
 
 
 class Pieces(Tokens):
-    """A sentence-piece model; encodes the text, to which it adds a space itself."""
+    """A sentence-piece model, which puts a space before the text itself.
 
-    # No piece goes on behind a space after another character (checked), so no merge does.
-    separator = regex.compile(r" +[^ ]*")
+    Its merges are those of ranks, where letters are first made from their bytes: a byte
+    prefix of a letter is a part of its own with the lowest ranks, then come letters, then
+    longer pieces by falling score. Prefixes that no letter took are spelled in byte ids
+    afterwards. Pieces that the merges don't give back whole, and texts that the model changes
+    before it encodes them, are left to its own library.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = []
-        for k in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(k)
-            if self.model.is_byte(k):
-                self.pieces.append(bytes([int(piece[1:-1], 16)]))
-            elif self.model.is_control(k) or self.model.is_unknown(k):
-                self.pieces.append(b"")
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces, of_byte, letters, longer = [], {}, {}, []
+        for k in range(model.get_piece_size()):
+            name = model.id_to_piece(k)
+            if model.is_byte(k):
+                pieces.append(bytes([int(name[1:-1], 16)]))
+                of_byte[pieces[k]] = k
+            elif model.is_control(k) or model.is_unknown(k) or model.is_unused(k):
+                pieces.append(b"")
             else:
-                self.pieces.append(piece.replace("▁", " ").encode("utf-8"))
-        if any(regex.search(rb"[^ ] ", p) for p in self.pieces):
-            self.separator = regex.compile(r"(?s) .*")
-        self._finish()
+                pieces.append(name.replace("▁", " ").encode("utf-8"))
+                if len(name) == 1:
+                    letters[pieces[k]] = k
+                else:
+                    longer.append(k)
+        super().__init__(pieces)
+        prefixes = sorted({p[:n] for p in letters for n in range(2, len(p))}, key=lambda p: (len(p), p))
+        parts = [bytes([b]) for b in range(256)] + prefixes + sorted(p for p in letters if len(p) > 1)
+        parts += [pieces[k] for k in sorted(longer, key=lambda k: -model.get_score(k))]
+        spelled = [[letters[p]] if p in letters else [of_byte[bytes([b])] for b in p] for p in parts[: 256 + len(prefixes)]]
+        spelled += [[letters[p]] for p in parts[256 + len(prefixes) :] if p in letters]
+        spelled += [[k] for k in sorted(longer, key=lambda k: -model.get_score(k))]
+        self.spelled_sizes = np.array([len(x) for x in spelled])
+        self.is_prefix = self.spelled_sizes > 1
+        self.spelled_first = np.cumsum(self.spelled_sizes) - self.spelled_sizes
+        self.spelled = np.array([k for x in spelled for k in x], dtype=np.int64)
+        # If no piece goes on behind a space that follows another character, no merge does.
+        by_words = not any(regex.search(rb"[^ ] ", p) for p in pieces)
+        self.ranked = tiktoken.Encoding(
+            "pieces",
+            pat_str=r" +[^ ]*|[^ ]+" if by_words else r"(?s:.+)",
+            mergeable_ranks={p: k for k, p in enumerate(parts)},
+            special_tokens={},
+        )
+        words = [pieces[k].decode()[1:] for k in longer if pieces[k][:1] == b" "]
+        odd = [w for w, ids in zip(words, model.encode(words, num_threads=1)) if w and len(ids) != 1]
+        self.odd = regex.compile("|".join(regex.escape(f" {w}") + r"(?= |$)" for w in odd)) if odd else None
 
-    def _parts(self, parts: list[str]) -> list[list[int]]:
-        # The model adds no space to an empty text.
-        found = self.model.encode([p[1:] for p in parts], num_threads=1)
-        return [ids if len(p) > 1 else [self.model.piece_to_id("▁")] for p, ids in zip(parts, found)]
+    def encode(self, text: str) -> np.ndarray:
+        spaced = " " + text
+        if "▁" in text or self.model.normalize(text) != spaced.replace(" ", "▁") or (self.odd and self.odd.search(spaced)):
+            return np.array(self.model.encode(text), dtype=np.int64)
+        found = self.ranked.encode_to_numpy(spaced, disallowed_special=())
+        if not self.is_prefix[found].any():
+            return self.spelled[self.spelled_first[found]]
+        return self.spelled[ranges(self.spelled_first[found], self.spelled_sizes[found])]
 
 
 @dataclass(frozen=True)
@@ -177,6 +204,8 @@ class Rows:
         """Row r has the columns starts[r]..ends[r] - 1."""
         first = np.zeros(len(starts) + 1, dtype=np.int64)
         np.cumsum(ends - starts, out=first[1:])
+        if (starts[1:] == ends[:-1]).all():
+            return cls(first, np.arange(starts[0], ends[-1]), width)
         return cls(first, ranges(starts, ends - starts), width)
 
     def transposed(self) -> "Rows":
@@ -185,14 +214,19 @@ class Rows:
         first = np.zeros(self.width + 1, dtype=np.int64)
         np.cumsum(np.bincount(self.columns, minlength=self.width), out=first[1:])
         rows = np.repeat(np.arange(height), np.diff(self.first))
-        return Rows(first, rows[np.argsort(self.columns, kind="stable")], height)
+        if (np.diff(self.columns) < 0).any():
+            rows = rows[np.argsort(self.columns, kind="stable")]
+        return Rows(first, rows, height)
 
     def times(self, right: "Rows") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, value) of the product's entries, by rows: each entry of a left row
         fetches a row of the right matrix, and what a row fetched is merged by column."""
         sizes = np.diff(right.first)[self.columns]
-        fetched = right.columns[ranges(right.first[self.columns], sizes)]
-        rows = np.repeat(np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)), sizes)
+        rows = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        if (sizes == 1).all():
+            fetched = right.columns[right.first[self.columns]]
+        else:
+            fetched, rows = right.columns[ranges(right.first[self.columns], sizes)], np.repeat(rows, sizes)
         key = rows * right.width + fetched
         if len(key) and (np.diff(key) < 0).any():
             key = np.sort(key)
@@ -203,7 +237,9 @@ class Rows:
 
 def group_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     """Byte offsets at which tokens of both end (sorted inputs without repeats)."""
-    return a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+    ends = np.zeros(max(a_ends[-1:].tolist() + b_ends[-1:].tolist(), default=0) + 1, dtype=bool)
+    ends[b_ends] = True
+    return a_ends[ends[a_ends]]
 
 
 def _runs(a_ends: np.ndarray, b_ends: np.ndarray, groups: np.ndarray, most: int) -> Iterator[tuple[slice, slice, int]]:
@@ -252,7 +288,7 @@ _BLOCK = pa.schema(
 
 
 def _narrow(tokens: Tokens) -> np.dtype:
-    return np.dtype("<u2" if len(tokens.pieces) <= 1 << 16 else "<u4")
+    return np.dtype("<u2" if tokens.count <= 1 << 16 else "<u4")
 
 
 def _tokenise(pair: Pair, block_bytes: int):
@@ -333,14 +369,14 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, names: tuple) -> str:
     """`a1,a2|b1;a3|b2,b3`: for each group the ids of both sides, decimal and in order.
-    `names[s][m]` are the decimal ids of side s, followed by a comma (m = 0) or, for the last
-    of a group (m = 1), by the sign that ends that side."""
+    `names` has for each side all decimal ids followed by a comma, then all followed by the
+    sign that ends that side of a group."""
     a_rank = np.arange(len(a_ids)) + np.searchsorted(b_group, a_group, side="left")
     b_rank = np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, side="right")
     out = np.empty(len(a_ids) + len(b_ids), dtype=object)
     for ids, group, rank, side in ((a_ids, a_group, a_rank, names[0]), (b_ids, b_group, b_rank, names[1])):
         last = np.append(group[1:] != group[:-1], True)[: len(group)]
-        out[rank] = np.where(last, side[1][ids], side[0][ids])
+        out[rank] = side[ids + last * (len(side) // 2)]
     return "".join(out.tolist())[:-1]
 
 
@@ -349,13 +385,11 @@ _named: dict[tuple[int, int], tuple] = {}
 
 def _names(tokens: tuple[Tokens, Tokens]) -> tuple:
     """The decimal ids that `group_text` joins, made once per Python worker."""
-
-    def column(n: int, sign: str) -> np.ndarray:
-        return np.array([f"{k}{sign}" for k in range(n)], dtype=object)
-
-    key = tuple(len(t.pieces) for t in tokens)
+    key = tuple(t.count for t in tokens)
     if key not in _named:
-        _named[key] = tuple((column(n, ","), column(n, sign)) for n, sign in zip(key, "|;"))
+        _named[key] = tuple(
+            np.array([f"{k}{sign}" for sign in signs for k in range(n)], dtype=object) for n, signs in zip(key, (",|", ",;"))
+        )
     return _named[key]
 
 
@@ -381,10 +415,12 @@ def _measure(pair: Pair):
             block = Block(row, tokens)
             n = len(block.docs)
             a_first, b_first = block.first
+            doc_of = np.repeat(np.arange(n), np.diff(a_first))
             sums = np.zeros((3, n), dtype=np.int64)
             for i, j, _ in overlap_links(*block.sizes):
-                doc = np.searchsorted(a_first, i, side="right") - 1
-                at = np.searchsorted(codes, block.codes(i, j))
+                doc = doc_of[i]
+                some, which = np.unique(block.codes(i, j), return_inverse=True)
+                at = np.searchsorted(codes, some)[which]
                 # Tokens come in order, so a document's links of a run are neighbours.
                 begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 for k, values in enumerate((np.ones(len(i), np.int64), best[at].astype(np.int64), count[at])):
