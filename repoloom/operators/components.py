@@ -5,8 +5,10 @@ and needs no grouping; forests keep what is connected and are no larger than the
 The rest is randomised contraction over the whole cluster: in each round every node picks
 the smallest node among itself and its neighbours under a fresh pseudo-random order, all
 nodes with the same pick merge, and edges inside a merged node disappear. Edges shrink
-geometrically, so all rounds cost little more than the first; it goes on until none is left.
-(Boegeholz, Brand, Todor: "In-database connected component analysis", 2020.)
+geometrically, so all rounds cost little more than the first. (Boegeholz, Brand, Todor:
+"In-database connected component analysis", 2020.) Once at most `FINAL_EDGES` are left, a
+bounded number for graphs of any size, one task settles them all: the many rounds over next
+to nothing at the end would only cost the start of their jobs.
 
 The tables hold only 64-bit numbers. A node is (r, v): hashes of its repository and its
 name. That the pairs are unique is checked, not assumed.
@@ -26,9 +28,13 @@ from repoloom.sources.staging import StagedTable, Staging
 MAX_ROUNDS = 200
 # Rounds after which the merged sizes are written down, to keep plans short.
 ROUNDS_PER_PLAN = 6
+# Edges (24 bytes each) that one task takes at the end.
+FINAL_EDGES = 1 << 20
 
 
-def component_sizes(edges: DataFrame, staging: Staging, batch_forests: bool = True) -> DataFrame:
+def component_sizes(
+    edges: DataFrame, staging: Staging, batch_forests: bool = True, final_edges: int = FINAL_EDGES
+) -> DataFrame:
     """(repo_id, size) per component of two nodes or more.
 
     `edges` (repo_id, src, dst) should be a staged table, as it is read twice.
@@ -44,7 +50,7 @@ def component_sizes(edges: DataFrame, staging: Staging, batch_forests: bool = Tr
     masks = random.Random(20240501)
     used = [nodes]
     rounds = 0
-    while graph.rows:
+    while graph.rows > final_edges:
         if rounds == MAX_ROUNDS:
             raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
         rounds += 1
@@ -59,39 +65,58 @@ def component_sizes(edges: DataFrame, staging: Staging, batch_forests: bool = Tr
             merged = staging.save(sizes, "sizes")
             used.append(merged)
             sizes = merged.df
+    if graph.rows:
+        pick = staging.save(graph.df.coalesce(1).mapInArrow(_settled, "r bigint, v bigint, pick bigint"), "picks")
+        used.append(pick)
+        sizes = _merge_sizes(sizes, pick.df, lambda v: v)
     result = staging.save(sizes.select("repo_id", "size"), "component-sizes")
     for table in (graph, *used):
         table.drop()
     return result.df
 
 
-def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(r, s, d): for every node of a batch an edge to the first node of its tree there."""
+def _trees(r, s, d):
+    """(r, node, root) of all nodes that the edges (r, s, d) name: arrays of equal length,
+    where nodes have the same root if and only if they are connected."""
     import numpy as np
 
+    ends_r, ends = np.concatenate([r, r]), np.concatenate([s, d])
+    order = np.lexsort((ends, ends_r))
+    ends_r, ends = ends_r[order], ends[order]
+    new = np.append(True, (ends_r[1:] != ends_r[:-1]) | (ends[1:] != ends[:-1]))[: len(ends)]
+    code = np.empty(len(ends), dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    first, second = code[: len(r)], code[len(r) :]
+    label = np.arange(int(new.sum()))
+    while (label[first] != label[second]).any():
+        a, b = label[first], label[second]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    names = ends[new]
+    return ends_r[new], names, names[label]
+
+
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, s, d): for every node of a batch an edge to the first node of its tree there."""
     for batch in batches:
-        r, s, d = (batch.column(name).to_numpy() for name in ("r", "s", "d"))
-        ends_r, ends = np.concatenate([r, r]), np.concatenate([s, d])
-        order = np.lexsort((ends, ends_r))
-        ends_r, ends = ends_r[order], ends[order]
-        new = np.append(True, (ends_r[1:] != ends_r[:-1]) | (ends[1:] != ends[:-1]))[: len(ends)]
-        code = np.empty(len(ends), dtype=np.int64)
-        code[order] = np.cumsum(new) - 1
-        first, second = code[: len(r)], code[len(r) :]
-        label = np.arange(int(new.sum()))
-        while (label[first] != label[second]).any():
-            a, b = label[first], label[second]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        names_r, names = ends_r[new], ends[new]
+        r, node, root = _trees(*(batch.column(name).to_numpy() for name in ("r", "s", "d")))
+        moved = node != root
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names_r[moved]), pa.array(names[moved]), pa.array(names[label[moved]])],
-            names=["r", "s", "d"],
+            [pa.array(r[moved]), pa.array(node[moved]), pa.array(root[moved])], names=["r", "s", "d"]
         )
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, v, pick) of all nodes of the last edges, which the caller bounds."""
+    import numpy as np
+
+    held = [[batch.column(name).to_numpy() for name in ("r", "a", "b")] for batch in batches]
+    if held:
+        found = _trees(*(np.concatenate(column) for column in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["r", "v", "pick"])
+
+
 def _forests(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_forest_batches, "r bigint, s bigint, d bigint")
 

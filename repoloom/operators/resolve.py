@@ -39,12 +39,20 @@ def absolute_name(module: Column, level: Column, directory: Column, relative: st
     return F.when(level == 0, module).otherwise(followed)
 
 
-def with_dotted_prefixes(names: DataFrame) -> DataFrame:
-    """A row per prefix `module` of `name`: `a.b.c` gives `a`, `a.b` and `a.b.c`."""
-    dots = F.length("name") - F.length(F.replace("name", F.lit("."), F.lit("")))
-    counted = names.withColumn("parts", F.explode(F.sequence(F.lit(1), dots + 1)))
-    prefix = F.call_function("substring_index", F.col("name"), F.lit("."), F.col("parts"))
-    return counted.withColumn("module", prefix).drop("parts")
+def _parts(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+
+
+def with_dotted_prefixes(names: DataFrame, most: Column | None = None) -> DataFrame:
+    """A row per prefix `module` of `name`: `a.b.c` gives `a`, `a.b` and `a.b.c`; none of
+    more than `most` parts."""
+    parts = _parts(F.col("name"))
+    longest = parts if most is None else F.least(parts, most)
+    # Cut to the longest prefix first, so that no prefix costs more than that one.
+    cut = F.call_function("substring_index", F.col("name"), F.lit("."), longest)
+    counted = names.withColumns({"module": cut, "parts": F.explode(F.sequence(F.lit(1), longest))})
+    prefix = F.call_function("substring_index", F.col("module"), F.lit("."), F.col("parts"))
+    return counted.withColumn("module", prefix).select(*names.columns, "module")
 
 
 def python_occurrences(facts: DataFrame, relative: str) -> DataFrame:
@@ -59,11 +67,15 @@ def python_occurrences(facts: DataFrame, relative: str) -> DataFrame:
 def longest_prefix_targets(names: DataFrame, index: DataFrame) -> DataFrame:
     """(repo_id, name, dst): the indexed file of the longest prefix of each name.
 
-    Equality on exploded prefixes instead of a condition on pairs; names without
+    Equality on exploded prefixes instead of a condition on pairs, with no more prefixes
+    than the repository's deepest module has parts, however long a name is; names without
     any indexed prefix (third-party modules) drop out in the join.
     """
+    deepest = index.groupBy("repo_id").agg(F.max(_parts(F.col("module"))).alias("deepest"))
+    bounded = names.select("repo_id", "name").join(deepest, "repo_id")
     return (
-        with_dotted_prefixes(names.select("repo_id", "name"))
+        with_dotted_prefixes(bounded, F.col("deepest"))
+        .select("repo_id", "name", "module")
         .join(index, ["repo_id", "module"])
         .groupBy("repo_id", "name")
         .agg(F.max_by("path", F.length("module")).alias("dst"))

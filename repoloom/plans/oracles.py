@@ -561,6 +561,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'passed', passed FROM counts""",
         "status_lookup": f"""SELECT repo_id, full_name, error_message FROM ({outcomes})
             WHERE processing_status IN ('skipped', 'error')""",
+        "stored_results": outcomes,
+        "stored_constraints": f"""
+            WITH stored AS ({outcomes})
+            SELECT rule, CAST(violations AS BIGINT) AS violations FROM (
+            SELECT 'unique repo_id' AS rule, COUNT(*) - COUNT(DISTINCT repo_id) AS violations FROM stored
+            UNION ALL SELECT 'not null full_name', COUNT_IF(full_name IS NULL) FROM stored
+            UNION ALL SELECT 'not null url', COUNT_IF(url IS NULL) FROM stored
+            UNION ALL SELECT 'not null dependency_score', COUNT_IF(dependency_score IS NULL) FROM stored
+            UNION ALL SELECT 'not null ' || c, 0
+            FROM (VALUES ('id'), ('repo_id'), ('github_size_kb'), ('total_code_tokens'), ('total_code_files'),
+                         ('total_code_bytes'), ('internal_import_count'), ('unique_internal_imports'),
+                         ('processing_status'), ('processed_at')) names(c))""",
         "incremental_run": _outcomes("TRUE"),
         "result_constraints": _query(
             """SELECT rule, CAST(violations AS BIGINT) AS violations FROM (

@@ -266,8 +266,8 @@ def graph_density(spark, sf_dir):
     ).withColumnRenamed("density", "graph_density")
 
 
-def _component_columns(nodes, edges, staging, batch_forests=True):
-    sizes = components.component_sizes(edges, staging, batch_forests)
+def _component_columns(nodes, edges, staging, **choices):
+    sizes = components.component_sizes(edges, staging, **choices)
     return graph.graph_metrics(nodes, sizes).select(
         "repo_id",
         F.col("components").alias("num_connected_components"),
@@ -282,10 +282,10 @@ def components_query(spark, sf_dir):
 
 
 def components_contracted(spark, sf_dir):
-    """The same by contraction alone, without forests within batches."""
+    """The same with contraction down to a few thousand edges, without forests before."""
     staging = Staging(spark)
     _, edges, nodes = _code_graph(spark, sf_dir, staging)
-    return _component_columns(nodes, edges, staging, batch_forests=False)
+    return _component_columns(nodes, edges, staging, batch_forests=False, final_edges=4096)
 
 
 def page_components(spark, sf_dir):
@@ -367,10 +367,38 @@ def run_progress(spark, sf_dir):
     )
 
 
+def _stored_in_runs(spark, sf_dir):
+    """The outcome rows in a stored table, as days leave it: a named run of every second
+    repository, the same run again after it was refused for repeated rows, a compaction, and
+    a run without a name for the others."""
+    staging = Staging(spark)
+    rows = staging.save(_outcome_rows(spark, sf_dir), "outcomes").df
+    path = staging.path("results")
+    early = F.substring("repo_id", 2, 20).cast("bigint") % 2 == 0
+    results.store(rows.filter(early & (F.col("processing_status") != "skipped")), path, "day 1")
+    if not rows.filter(early).isEmpty():
+        try:
+            results.store(rows.filter(early).unionByName(rows.filter(early)), path, "day 1")
+            raise AssertionError("repeated repositories were stored")
+        except results.ConstraintError:
+            pass
+    results.store(rows.filter(early), path, "day 1")
+    results.compact(spark, path)
+    results.store(rows.filter(~early), path)
+    return path
+
+
+def stored_results(spark, sf_dir):
+    return _comparable(results.read_results(spark, _stored_in_runs(spark, sf_dir)))
+
+
+def stored_constraints(spark, sf_dir):
+    return results.constraint_violations(results.read_results(spark, _stored_in_runs(spark, sf_dir)))
+
+
 def status_lookup(spark, sf_dir):
-    return serving.with_status(_outcome_rows(spark, sf_dir), "skipped", "error").select(
-        "repo_id", "full_name", "error_message"
-    )
+    found = results.lookup(spark, _stored_in_runs(spark, sf_dir), "skipped", "error")
+    return found.select("repo_id", "full_name", "error_message")
 
 
 def incremental_run(spark, sf_dir):
@@ -391,7 +419,7 @@ def incremental_run(spark, sf_dir):
         incremental.run_stream(spark, arrivals, inputs, stored, progress, CODE_SETTINGS)
     listed.filter(number % 3 > 0).write.parquet(more)
     incremental.run_stream(spark, more, inputs, stored, other_progress, CODE_SETTINGS)
-    incremental.run_and_store(spark, listed, inputs, stored, 0, CODE_SETTINGS)
+    incremental.run_and_store(spark, listed, inputs, stored, CODE_SETTINGS)
     return _comparable(results.read_results(spark, stored))
 
 
@@ -454,8 +482,15 @@ def upsert_latest(spark, sf_dir):
 
 
 def topk_score(spark, sf_dir):
-    ranked = serving.top_by(score.rounded(_page_metrics(spark, sf_dir)), "dependency_score", 20)
-    return ranked.select("repo_id", "dependency_score")
+    scored = score.rounded(_page_metrics(spark, sf_dir))
+    path = Staging(spark).path("results")
+    rows = _result_like(
+        scored, id=F.col("repo_id"), repo_id=F.col("repo_id"), dependency_score=F.col("dependency_score"),
+        processing_status=F.lit("completed"), processed_at=F.current_timestamp(),
+    )
+    results.store(rows, path)
+    results.compact(spark, path)
+    return results.top_scores(spark, path, 20).select("repo_id", "dependency_score")
 
 
 def topk_tokens(spark, sf_dir):
@@ -576,6 +611,8 @@ def queries() -> dict[str, Query]:
         "run_summary": run_summary,
         "run_progress": run_progress,
         "status_lookup": status_lookup,
+        "stored_results": stored_results,
+        "stored_constraints": stored_constraints,
         "incremental_run": incremental_run,
         "result_constraints": result_constraints,
         "upsert_latest": upsert_latest,

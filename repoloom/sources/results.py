@@ -1,17 +1,25 @@
-"""Result rows: merge by repository, append-only batches, contract checks."""
+"""Result rows: merge by repository, a versioned table of runs, contract checks.
+
+Each run is stored in a folder of its own, split by status and by score band and sorted by
+score within, and counted while it is written. It becomes part of the table only if its rows
+keep the contract. Reads merge runs by repository; a compacted table holds each repository
+once, so lookups read only the partitions they ask for.
+"""
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoloom import schemas
 from repoloom.settings import STATUS_COMPLETED
+from repoloom.sources.staging import delete_path
+from repoloom.sources.versions import Run, Version, VersionedTable
 
 # Columns a failure row does not supply: an older value stays in place.
 MEASURED_ONLY = (
@@ -26,14 +34,16 @@ MEASURED_ONLY = (
 FIRST_INSERT = ("id", "processed_at")
 
 
-def merge_results(rows: DataFrame, order: Sequence[str] = ("batch_id",)) -> DataFrame:
+def merge_results(rows: DataFrame, order: Sequence[str] = ("batch_id",), merged: str | None = None) -> DataFrame:
     """One row per repository: for each column, the latest value supplied for it.
 
     A failure row supplies no measurements and a completed row no error text, so
-    those keep what an earlier row stored. One partially aggregated grouping, without
-    a join. (Strings and maps in its state make it a sorting one.)
+    those keep what an earlier row stored. Rows flagged by `merged` are the result of an
+    earlier merge and supply every column. One partially aggregated grouping, without a
+    join. (Strings and maps in its state make it a sorting one.)
     """
     order = F.struct(*order)
+    whole = F.col(merged) if merged else F.lit(False)
     completed = F.col("processing_status") == STATUS_COMPLETED
     picked = []
     for field in schemas.RESULT:
@@ -45,9 +55,9 @@ def merge_results(rows: DataFrame, order: Sequence[str] = ("batch_id",)) -> Data
         if name in FIRST_INSERT:
             chosen = F.min_by(boxed, order)
         elif name in MEASURED_ONLY:
-            chosen = F.max_by(boxed, F.when(completed, order))
+            chosen = F.max_by(boxed, F.when(completed | whole, order))
         elif name == "error_message":
-            chosen = F.max_by(boxed, F.when(~completed, order))
+            chosen = F.max_by(boxed, F.when(~completed | whole, order))
         else:
             chosen = F.max_by(boxed, order)
         picked.append(chosen.getField("v").alias(name))
@@ -75,64 +85,169 @@ def upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
     return merge_results(both)
 
 
-BATCH_RUNS = "batch"  # stream name of runs that belong to no stream
-STORED_ORDER = ("stored_at", "stream", "batch_id")
+# --- The stored table -----------------------------------------------------------------
+
+STORED_ORDER = ("stored_at", "run")
+BANDS = 10
+PARTITIONS = ("processing_status", "band")
 STORED = T.StructType(
     [*schemas.RESULT.fields]
-    + [T.StructField("stored_at", T.LongType()), T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
+    + [T.StructField("stored_at", T.LongType()), T.StructField("run", T.StringType())]
+    + [T.StructField("merged", T.BooleanType()), T.StructField("folder", T.StringType()), T.StructField("band", T.IntegerType())]
 )
+REQUIRED = [f.name for f in schemas.RESULT if not f.nullable]
+
+
+class ConstraintError(ValueError):
+    """Rows that break the result contract; nothing was stored. `violations`: rows per rule."""
+
+    def __init__(self, violations: dict[str, int]):
+        super().__init__(", ".join(f"{rule}: {n}" for rule, n in sorted(violations.items())))
+        self.violations = violations
+
 
+def score_band(score: Column) -> Column:
+    """0 to BANDS - 1, rising with a score between 0 and 1."""
+    return F.coalesce(F.least(F.greatest(F.floor(score * BANDS), F.lit(0)), F.lit(BANDS - 1)), F.lit(0)).cast("int")
 
-def append_batch(results: DataFrame, path: str, batch_id: int, stream: str = BATCH_RUNS) -> None:
-    """Store one run's rows under their stream and batch; a repeated batch replaces itself,
-    and nothing else. `stored_at` orders the batches of all streams."""
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+
+def _counts(rows: DataFrame) -> dict[str, int]:
+    """Rows, rows per band, and per rule of the contract the rows that break it, in one
+    grouping by repository with partial sums."""
+    nulls = {f"not null {name}": F.count_if(F.col(name).isNull()) for name in REQUIRED}
+    bands = {f"band {b}": F.count_if(F.col("band") == b) for b in range(BANDS)}
+    columns = nulls | bands
+    per_repo = rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in columns.items()))
+    totals = per_repo.agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.col("rows") - 1).alias("unique repo_id"),
+        *(F.sum(F.col(f"`{name}`")).alias(name) for name in columns),
+    ).first()
+    return {name: value or 0 for name, value in totals.asDict().items()}
+
+
+def _write(rows: DataFrame, table: VersionedTable, run: str, stored_at: int, merged: bool) -> Run:
+    """Write rows of the result layout into a folder that no version lists yet, and count
+    what was written; rows that break the contract delete the folder and raise."""
+    folder = table.new_folder()
+    stored = Run(run, folder, stored_at, 0, merged)
+    extra = {"stored_at": F.lit(stored_at), "run": F.lit(run), "merged": F.lit(merged), "band": score_band(F.col("dependency_score"))}
     (
-        results.withColumns(
-            {
-                "stored_at": F.lit(time.time_ns()),
-                "stream": F.lit(stream),
-                "batch_id": F.lit(batch_id).cast("bigint"),
-            }
-        )
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stream", "batch_id")
-        .parquet(path)
+        rows.withColumns(extra)
+        .hint("rebalance", *PARTITIONS)
+        .sortWithinPartitions(*PARTITIONS, F.desc("dependency_score"), "repo_id")
+        .write.partitionBy(*PARTITIONS)
+        .parquet(table.folder(stored))
+    )
+    counts = _counts(table.read(STORED, [stored]))
+    broken = {rule: n for rule, n in counts.items() if n and rule.startswith(("not null ", "unique "))}
+    if broken:
+        delete_path(table.spark, table.folder(stored))
+        raise ConstraintError(broken)
+    return Run(run, folder, stored_at, counts["rows"], merged, tuple(counts[f"band {b}"] for b in range(BANDS)))
+
+
+def store(results: DataFrame, path: str, run: str | None = None) -> Version:
+    """Add one run's rows to the table at `path`; returns the new version.
+
+    Without a `run` the library gives it an id of its own, so no other run is touched. A
+    caller that may repeat a run after a failure names it: the later rows then replace those
+    that the same run stored before, and only those. Rows that break the contract raise
+    ConstraintError and leave the table as it is.
+    """
+    table = VersionedTable(results.sparkSession, path)
+    written = _write(
+        results.select(*schemas.RESULT.fieldNames()), table, run or uuid.uuid4().hex, time.time_ns(), merged=False
     )
+    return table.commit(lambda runs: [*(r for r in runs if r.id != written.id), written])
+
+
+def _rows_of(table: VersionedTable, runs: Sequence[Run]) -> DataFrame:
+    some = [r for r in runs if r.rows]
+    return table.read(STORED, some) if some else table.spark.createDataFrame([], _nullable(STORED))
+
 
+def stored_rows(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows of all runs of a version (the latest by default); empty if there is none."""
+    table = VersionedTable(spark, path)
+    return _rows_of(table, table.version(version).runs)
 
-def stored_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All stored rows; empty if nothing has been stored yet."""
-    try:
-        return spark.read.schema(STORED).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STORED)
 
+def merged_rows(stored: DataFrame) -> DataFrame:
+    """The result table that stored rows add up to."""
+    return merge_results(stored, STORED_ORDER, "merged")
 
-def compact(spark: SparkSession, path: str, to: str) -> None:
-    """Write the current result table to a new folder `to`, as one batch in few files.
-    Readers and writers switch to it; the old folder can go when nobody reads it."""
-    rows = read_results(spark, path).hint("rebalance")
-    append_batch(rows, to, 0, BATCH_RUNS)
 
+def read_results(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The result table as of a version, the latest by default."""
+    return merged_rows(stored_rows(spark, path, version))
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The current result table."""
-    return merge_results(stored_batches(spark, path), STORED_ORDER)
+
+def compact(spark: SparkSession, path: str) -> Version:
+    """Replace the runs of the latest version by one merged table. Readers of older versions
+    keep theirs; runs stored meanwhile stay beside it."""
+    table = VersionedTable(spark, path)
+    done = table.version().runs
+    if not done:
+        return table.version()
+    base = _write(merged_rows(_rows_of(table, done)), table, f"merged-{uuid.uuid4().hex}", max(r.stored_at for r in done), True)
+    gone = {r.folder for r in done}
+    return table.commit(lambda runs: [base, *(r for r in runs if r.folder not in gone)])
+
+
+def _current(table: VersionedTable, version: Version, wanted: Column) -> DataFrame:
+    """Rows of the merged table that `wanted` (over partition columns) lets through.
+
+    Repositories that only the merged base knows come from its wanted partitions alone; the
+    few that later runs touch are merged in full first.
+    """
+    columns = schemas.RESULT.fieldNames()
+    base, later = ([r for r in version.runs if r.merged == flag] for flag in (True, False))
+    settled = _rows_of(table, base)
+    if not later:
+        return settled.filter(wanted).select(*columns)
+    changed = _rows_of(table, later)
+    keys = changed.select("repo_id").distinct()
+    untouched = settled.filter(wanted).join(keys, "repo_id", "left_anti").select(*columns)
+    touched = merged_rows(changed.unionByName(settled.join(keys, "repo_id", "left_semi")))
+    touched = touched.withColumn("band", score_band(F.col("dependency_score"))).filter(wanted)
+    return untouched.unionByName(touched.select(*columns))
+
+
+def lookup(spark: SparkSession, path: str, *statuses: str, version: int | None = None) -> DataFrame:
+    """Result rows with one of these statuses."""
+    table = VersionedTable(spark, path)
+    return _current(table, table.version(version), F.col("processing_status").isin(*statuses))
+
+
+def top_scores(spark: SparkSession, path: str, k: int, version: int | None = None) -> DataFrame:
+    """The k rows of the highest score, ties by repository. The counts of each run say which
+    score bands can hold them, and no others are read."""
+    table = VersionedTable(spark, path)
+    held = table.version(version)
+    later = sum(r.rows for r in held.runs if not r.merged)
+    above, lowest = 0, BANDS
+    # Later runs may have taken away as many rows as they have.
+    while lowest and above < k + later:
+        lowest -= 1
+        above += sum(r.bands[lowest] for r in held.runs if r.merged)
+    rows = _current(table, held, F.col("band") >= lowest)
+    return rows.orderBy(F.desc("dependency_score"), "repo_id").limit(k)
 
 
 def constraint_violations(results: DataFrame) -> DataFrame:
     """Per rule of the result contract, how many rows break it (all 0 if sound)."""
-    required = [f.name for f in schemas.RESULT if not f.nullable]
     per_repo = results.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("copies"),
-        *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"null_{c}") for c in required],
+        *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"null_{c}") for c in REQUIRED],
     )
     totals = per_repo.agg(
         F.sum(F.col("copies") - 1).alias("unique repo_id"),
-        *[F.sum(f"null_{c}").alias(f"not null {c}") for c in required],
+        *[F.sum(f"null_{c}").alias(f"not null {c}") for c in REQUIRED],
     )
     return totals.unpivot([], totals.columns, "rule", "violations").select(
         "rule", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")

@@ -29,26 +29,25 @@ def run_and_store(
     repos: DataFrame,
     inputs: Inputs,
     path: str,
-    batch_id: int,
     settings: Settings = Settings(),
     limit: int | None = None,
-    stream: str = results.BATCH_RUNS,
+    run: str | None = None,
 ) -> None:
-    """One batch run: unseen repositories in, their outcome rows stored at `path`.
+    """One run: unseen repositories in, their outcome rows stored at `path`.
 
-    A batch is known by its stream and its number. Rows that this same batch stored
-    before do not count as seen, and storing replaces them, so a batch that is
-    repeated after a failure ends the same. Rows of other streams stay as they are.
+    Rows that a run of the same name stored before do not count as seen, and storing
+    replaces them, so a named run that is repeated after a failure ends the same. Rows of
+    other runs stay as they are; a run without a name is never repeated.
     """
     staging = Staging(spark)
     try:
-        own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-        earlier = results.stored_batches(spark, path).filter(~own)
-        stored = results.merge_results(earlier, results.STORED_ORDER)
+        earlier = results.stored_rows(spark, path)
+        if run:
+            earlier = earlier.filter(F.col("run") != run)
         rows = repo_run.run(
-            repos, inputs.metadata, inputs.snapshots, inputs.files, stored, staging, settings, limit
+            repos, inputs.metadata, inputs.snapshots, inputs.files, results.merged_rows(earlier), staging, settings, limit
         )
-        results.append_batch(rows, path, batch_id, stream)
+        results.store(rows, path, run)
     finally:
         staging.close()
 
@@ -65,16 +64,14 @@ def run_stream(
     """Take up all repository lists that arrived as Parquet files, then stop.
 
     Returns the finished query. Spark's checkpoint remembers which files are
-    done; storing by batch makes a repeated micro-batch harmless. A new checkpoint
-    numbers its batches from 0 again, but has a new query id, which is the name
-    of the stream here; so it adds to the results of others.
+    done; runs named by query and batch make a repeated micro-batch harmless. A new
+    checkpoint numbers its batches from 0 again, but has a new query id, so it adds to
+    the results of others.
     """
     started: Future[str] = Future()
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        run_and_store(
-            batch.sparkSession, batch, inputs, path, batch_id, settings, stream=started.result()
-        )
+        run_and_store(batch.sparkSession, batch, inputs, path, settings, run=f"{started.result()}/{batch_id}")
 
     query = (
         spark.readStream.schema(schemas.REPOS)

@@ -103,11 +103,11 @@ def graphs():
     return sorted(set(pairs))
 
 
-@pytest.mark.parametrize("batch_forests", [True, False])
-def test_component_sizes_like_union_find(spark, staging, batch_forests):
+@pytest.mark.parametrize("batch_forests, final_edges", [(True, 0), (False, 0), (False, 200), (True, 1 << 20), (False, 1 << 20)])
+def test_component_sizes_like_union_find(spark, staging, batch_forests, final_edges):
     pairs = graphs()
     table = spark.createDataFrame([(*p, 1) for p in pairs], schemas.EDGES).repartition(3)
-    sizes = components.component_sizes(table, staging, batch_forests)
+    sizes = components.component_sizes(table, staging, batch_forests, final_edges)
     assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
 
 

@@ -155,13 +155,13 @@ def test_second_run_adds_nothing(spark, staging):
     repos, metadata, snapshots, table = outcome_inputs(spark)
     inputs = incremental.Inputs(metadata, snapshots, table)
     path = staging.path("results")
-    incremental.run_and_store(spark, repos, inputs, path, 1, SMALL)
+    incremental.run_and_store(spark, repos, inputs, path, SMALL, run="one")
     first = {r["repo_id"]: r.asDict() for r in results.read_results(spark, path).collect()}
-    incremental.run_and_store(spark, repos, inputs, path, 2, SMALL)
+    incremental.run_and_store(spark, repos, inputs, path, SMALL)
     second = {r["repo_id"]: r.asDict() for r in results.read_results(spark, path).collect()}
     assert len(first) == 8 and first == second
-    # The same batch again replaces itself.
-    incremental.run_and_store(spark, repos, inputs, path, 1, SMALL)
+    # The same run again replaces itself.
+    incremental.run_and_store(spark, repos, inputs, path, SMALL, run="one")
     third = {r["repo_id"]: r.asDict() for r in results.read_results(spark, path).collect()}
     drop = lambda rows: {k: {c: v for c, v in r.items() if c != "processed_at"} for k, r in rows.items()}
     assert drop(third) == drop(first)
@@ -216,32 +216,6 @@ def test_summary(spark, staging):
     assert counts == {"completed": 2, "skipped": 3, "error": 1, "clone_failed": 1, "github_api_failed": 1}
 
 
-def test_streams_keep_each_others_rows(spark, staging):
-    """Batches of a second checkpoint, which start at 0 again, replace nothing."""
-    from repoloom import schemas
-    from repoloom.sources import results
-
-    path = staging.path("results")
-    values = {"string": "x", "bigint": 0, "double": 0.0}
-
-    def rows(repo, score):
-        row = [None if f.nullable else values.get(f.dataType.simpleString()) for f in schemas.RESULT]
-        names = schemas.RESULT.fieldNames()
-        for name, value in (("repo_id", repo), ("dependency_score", score), ("processing_status", "completed"), ("processed_at", T1)):
-            row[names.index(name)] = value
-        return spark.createDataFrame([tuple(row)], schemas.RESULT)
-
-    results.append_batch(rows("a", 1.0), path, 0, "one")
-    results.append_batch(rows("b", 2.0), path, 0, "two")
-    results.append_batch(rows("a", 3.0), path, 0, "three")
-    results.append_batch(rows("b", 4.0), path, 0, "two")
-    found = {r["repo_id"]: r["dependency_score"] for r in results.read_results(spark, path).collect()}
-    assert found == {"a": 3.0, "b": 4.0}
-    compacted = staging.path("compacted")
-    results.compact(spark, path, compacted)
-    assert {r["repo_id"]: r["dependency_score"] for r in results.read_results(spark, compacted).collect()} == found
-
-
 def test_one_row_for_repeated_repositories_and_snapshots(spark):
     from repoloom.operators import outcomes, repos as repo_ops
 
