@@ -399,7 +399,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         # files
         "file_scan": _query(
-            "SELECT repo_id, path, size_bytes, MD5(text) AS digest FROM document_files",
+            """SELECT 'packed' AS held, repo_id, path, size_bytes, MD5(text) AS digest FROM document_files
+               UNION ALL
+               SELECT 'tree', repo_id, 'src/main/x/' || path, size_bytes, MD5(text) FROM document_files""",
             "document_files",
         ),
         "file_features": _query(

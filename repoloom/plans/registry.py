@@ -26,7 +26,7 @@ from repoloom.operators import (
 from repoloom.plans import graph_plan, repo_run, views
 from repoloom.plans.oracles import MIN_TOKENS_CODE, MIN_TOKENS_DOCUMENTS
 from repoloom.settings import Settings
-from repoloom.sources import corpus as corpus_io, results, tables
+from repoloom.sources import corpus as corpus_io, results, tables, trees
 from repoloom.sources.staging import Staging
 from repoloom.streaming import incremental
 
@@ -97,9 +97,18 @@ def size_gate(spark, sf_dir):
 
 
 def file_scan(spark, sf_dir):
-    return views.document_files(spark, sf_dir).select(
-        "repo_id", "path", "size_bytes", F.md5("content").alias("digest")
-    )
+    """The documents as files, written as source trees (everything far below one folder) and
+    as a packed table, and read back from both."""
+    staging = Staging(spark)
+    files = views.document_files(spark, sf_dir)
+    root, packed = (staging.path(n).removeprefix("file:") for n in ("trees", "packed"))
+    below = files.withColumn("path", F.concat(F.lit("src/main/x/"), F.col("path")))
+    staging.save(trees.write_tree(below, root), "written")
+    tables.pack_files(files, packed, 16)
+    scanned = trees.with_content(trees.list_tree(spark, root, staging=staging, walked=100)).withColumn("held", F.lit("tree"))
+    stored = tables.read_files(spark, packed).withColumn("held", F.lit("packed"))
+    columns = ("held", "repo_id", "path", "size_bytes", F.md5("content").alias("digest"))
+    return scanned.select(*columns).unionByName(stored.select(*columns))
 
 
 def file_features(spark, sf_dir):

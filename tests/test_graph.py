@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from helpers import metrics
+from pyspark.sql import functions as F
 
 from repoloom import schemas
 from repoloom.operators import components, score
@@ -111,6 +112,19 @@ def test_component_sizes_like_union_find(spark, staging, batch_forests, final_ed
     assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
 
 
+def test_prefixes_are_bounded_by_the_index(spark):
+    """A name of 10,000 parts costs no more rows than the deepest module has parts."""
+    from repoloom.operators import resolve
+
+    index = spark.createDataFrame([("r", "a", "a.py"), ("r", "a.b.c", "a/b/c.py"), ("s", "a", "a.py")], "repo_id string, module string, path string")
+    long = ".".join(["a", "b", "c"] + ["x"] * 9_997)
+    names = spark.createDataFrame([("r", long), ("r", "a.b"), ("r", "z"), ("s", long), ("t", "a")], "repo_id string, name string")
+    found = {(r["repo_id"], len(r["name"])): r["dst"] for r in resolve.longest_prefix_targets(names, index).collect()}
+    assert found == {("r", len(long)): "a/b/c.py", ("r", 3): "a.py", ("s", len(long)): "a.py"}
+    cut = resolve.with_dotted_prefixes(names.filter(F.length("name") > 9).withColumn("deepest", F.lit(3)), F.col("deepest"))
+    assert sorted({r["module"] for r in cut.collect()}) == ["a", "a.b", "a.b.c"] and cut.count() == 6
+
+
 def test_no_edges_at_all(spark, staging):
     empty = spark.createDataFrame([], schemas.EDGES)
     assert components.component_sizes(empty, staging).collect() == []

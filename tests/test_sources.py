@@ -30,6 +30,30 @@ def test_tree_keeps_hidden_and_underscored_names(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("walked", [1, 7, 10_000])
+def test_tree_of_any_shape(spark, tmp_path, walked):
+    """One deep chain, one wide folder, empty folders and links: each file once, however
+    little a task may walk before it hands folders back."""
+    wanted = {("deep", "/".join(f"d{k}" for k in range(n)) + f"/f{n}.py") for n in range(1, 12)}
+    wanted |= {("wide", f"x/y/{k}.c") for k in range(50)} | {("wide", f"x/{k}/z.c") for k in range(20)}
+    for repo, path in wanted:
+        where = tmp_path / repo / path
+        where.parent.mkdir(parents=True, exist_ok=True)
+        where.write_text(path)
+    (tmp_path / "empty" / "a" / "b").mkdir(parents=True)
+    os.symlink(tmp_path / "wide", tmp_path / "deep" / "link")  # a loop, were it followed
+    found = trees.list_tree(spark, str(tmp_path), shares=3, walked=walked).collect()
+    assert sorted((r["repo_id"], r["path"]) for r in found) == sorted(wanted)
+
+
+def test_written_trees_are_read_back(spark, tmp_path):
+    rows = [("a", "p/q.py", 3, b"abc"), ("a", "p/q.py", 3, b"abc"), ("b", ".hid/_x", 0, b""), ("b", "none", 0, None)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, size_bytes bigint, content binary")
+    assert sum(r["files"] for r in trees.write_tree(files, str(tmp_path)).collect()) == 3
+    loaded = trees.with_content(trees.list_tree(spark, str(tmp_path))).collect()
+    assert sorted((r["repo_id"], r["path"], bytes(r["content"])) for r in loaded) == [("a", "p/q.py", b"abc"), ("b", ".hid/_x", b"")]
+
+
 def test_unreadable_file_has_no_content(spark, tmp_path):
     (tmp_path / "r").mkdir()
     os.symlink(tmp_path / "nowhere", tmp_path / "r" / "gone.py")
