@@ -12,9 +12,9 @@ BlockMatrix with the whitening matrix, whose columns are eigenvectors over roots
 Distinct vectors come from an aggregation with partial sums; blocks are dealt by number. A
 vector that a third of all rows share therefore weighs no more than others. The driver gets
 the row count of each input partition, the sums, and one covariance matrix; MLlib also keeps
-the coordinates (not the contents) of all blocks there, one per 2^18 entries.
+the coordinates (not the contents) of all blocks there, one per 2^16 entries (`rows_per_block`).
 
-Parameters: `components` (4), `scale` (256), `rows_per_block` (2^18 entries by default).
+Parameters: `components` (4), `scale` (256), `rows_per_block` (2^16 entries by default).
 
 Defined results. Rows whose vector is null, empty, or holds a null or a non-finite entry are
 dropped. Vectors of several lengths cannot be one matrix: the most frequent length stays, of
@@ -31,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from repoloom.llm.tables import stage
+from repoloom.sources.staging import Staging
 
 COMPONENTS = 4
 SCALE = 256
-BLOCK_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 16  # 512 KB, below what a JVM's collector takes for huge
 # Blocks that one task of a product's middle dimension adds up.
-BLOCKS_PER_SPLIT = 8
+BLOCKS_PER_SPLIT = 32
 _PARTITION_SHIFT = 33  # of monotonically_increasing_id
 _LONG = np.iinfo(np.int64).max
 
@@ -113,7 +116,13 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     return (x.astype(object) - np.array(whole, dtype=object)).astype(np.float64) - part
 
 
-_BLOCKS_DDL = "block int, vec_id array<long>, deviation array<long>, fit array<boolean>, x binary, fit_x binary"
+_ROWS_DDL = "block int, vec_id array<long>, deviation array<long>, fit array<boolean>, x array<double>, fit_x array<double>"
+
+
+def _one_list(values: np.ndarray) -> pa.Array:
+    """A matrix by columns, as one list."""
+    flat = pa.array(values.flatten("F"))
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
 def _block_rows(n: int, sums: list[int]):
@@ -131,8 +140,8 @@ def _block_rows(n: int, sums: list[int]):
                 "vec_id": pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())),
                 "deviation": pa.array([deviations(x, n, sums)], pa.list_(pa.int64())),
                 "fit": pa.array([fit.tolist()], pa.list_(pa.bool_())),
-                "x": pa.array([np.asfortranarray(values).tobytes("F")], pa.binary()),
-                "fit_x": pa.array([np.asfortranarray(np.where(fit[:, None], values, 0.0)).tobytes("F")], pa.binary()),
+                "x": _one_list(values),
+                "fit_x": _one_list(np.where(fit[:, None], values, 0.0)),
             }
         )
 
@@ -157,14 +166,35 @@ def _numbered(rows: DataFrame, first_blocks: DataFrame, height: int) -> DataFram
     return rows.withColumn("block", (F.col("low") + F.floor(place / height)).cast("int")).drop("p", "low")
 
 
-def block_matrix(blocks: DataFrame, column: str, height: int, width: int) -> BlockMatrix:
-    """A BlockMatrix of one column of blocks, from float64 entries by columns."""
+def _as_matrix(column: str, width: int) -> Column:
+    """Entries by columns in the stored layout of MLlib's matrices."""
+    fields = {
+        "type": F.lit(1).cast("tinyint"),
+        "numRows": (F.size(column) / width).cast("int"),
+        "numCols": F.lit(width),
+        "colPtrs": F.lit(None).cast("array<int>"),
+        "rowIndices": F.lit(None).cast("array<int>"),
+        "values": F.col(column),
+        "isTransposed": F.lit(False),
+    }
+    return F.struct(*(value.alias(name) for name, value in fields.items())).alias(column)
+
+
+def _staged_blocks(blocks: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """The blocks written to the shared folder, and where; `x` and `fit_x` are matrices."""
+    path = Staging(blocks.sparkSession).path("blocks")
+    place = F.struct(F.col("block").cast("long").alias("_1"), F.lit(0).cast("long").alias("_2")).alias("place")
+    blocks.withColumns({"place": place, "x": _as_matrix("x", width), "fit_x": _as_matrix("fit_x", width)}).write.parquet(path)
+    return blocks.sparkSession.read.parquet(path), path
 
-    def block(row):
-        values = np.frombuffer(row[1], dtype=np.float64)
-        return (row[0], 0), DenseMatrix(len(values) // width, width, values)
 
-    return BlockMatrix(blocks.select("block", column).rdd.map(block), height, width)
+def block_matrix(spark: SparkSession, path: str, column: str, height: int, width: int) -> BlockMatrix:
+    """A BlockMatrix of one staged column of matrices. They are read as such, so that no
+    entry passes through Python, as it would in the constructor from an RDD."""
+    place = StructType([StructField("_1", LongType()), StructField("_2", LongType())])
+    schema = StructType([StructField("place", place), StructField(column, MatrixUDT())])
+    blocks = spark.read.schema(schema).parquet(path)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, height, width, 0, 0), height, width)
 
 
 def multiply(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -236,10 +266,10 @@ def whiten(
     first_blocks = _first_blocks(rows, height)
     numbered = _numbered(rows, first_blocks, height)
     firsts = _numbered(fit.select("row"), first_blocks, height)
-    blocks = numbered.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_block_rows(n, sums), _BLOCKS_DDL)
-    blocks = stage(blocks, "blocks")
+    blocks = numbered.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_block_rows(n, sums), _ROWS_DDL)
+    blocks, path = _staged_blocks(blocks, width)
     splits = blocks.count() // BLOCKS_PER_SPLIT + 1
-    fitted = block_matrix(blocks, "fit_x", height, width)
+    fitted = block_matrix(spark, path, "fit_x", height, width)
     scatter = multiply(fitted.transpose(), fitted, splits).toLocalMatrix().toArray()
     covariance = scatter / n
     values, directions = principal(covariance, components)
@@ -249,7 +279,7 @@ def whiten(
 
     whitening = DenseMatrix(width, kept, (directions / np.sqrt(values)).flatten("F"))
     whitening = BlockMatrix(spark.sparkContext.parallelize([((0, 0), whitening)], 1), width, kept)
-    projected = block_matrix(blocks, "x", height, width).multiply(whitening)
+    projected = block_matrix(spark, path, "x", height, width).multiply(whitening)
     projected = projected.blocks.map(lambda b: (b[0][0], b[1].toArray().flatten("F").tolist()))
     projected = spark.createDataFrame(projected, "block int, whitened array<double>")
     done = blocks.select("block", "vec_id", "deviation", "fit").join(projected, "block")
