@@ -291,6 +291,18 @@ def _narrow(tokens: Tokens) -> np.dtype:
     return np.dtype("<u2" if tokens.count <= 1 << 16 else "<u4")
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids take most of what is written and shuffled here, so they are compressed."""
+    return pa.compress(ids.tobytes(), codec="zstd", asbytes=True) if len(ids) else b""
+
+
+def _unpacked(packed: bytes, count: int, kind: np.dtype) -> np.ndarray:
+    if not count:
+        return np.empty(0, np.int64)
+    plain = pa.decompress(packed, decompressed_size=count * kind.itemsize, codec="zstd")
+    return np.frombuffer(plain, dtype=kind).astype(np.int64)
+
+
 def _tokenise(pair: Pair, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pair.load()
@@ -299,11 +311,11 @@ def _tokenise(pair: Pair, block_bytes: int):
                 found = [tokenise(text.as_py(), *tokens) for text in batch.column("text")]
                 columns = []
                 for side in (0, 1):
-                    columns.append(np.cumsum([0, *(len(f[side]) for f in found)]).astype("<i8"))
+                    columns.append(np.cumsum([0, *(len(f[side]) for f in found)]).astype("<i8").tobytes())
                 for side in (0, 1):
-                    columns.append(np.concatenate([f[side] for f in found]).astype(_narrow(tokens[side])))
+                    columns.append(_packed(np.concatenate([f[side] for f in found]).astype(_narrow(tokens[side]))))
                 docs = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([docs, *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=_BLOCK)
+                yield pa.RecordBatch.from_arrays([docs, *(pa.array([bytes(c)], pa.binary()) for c in columns)], schema=_BLOCK)
 
     return run
 
@@ -320,7 +332,8 @@ class Block:
     def __init__(self, row: dict, tokens: tuple[Tokens, Tokens]):
         self.docs = pa.array(row["docs"], pa.int64())
         self.first = [np.frombuffer(row[n], dtype="<i8") for n in ("a_first", "b_first")]
-        self.ids = [np.frombuffer(row[n], dtype=_narrow(t)).astype(np.int64) for n, t in zip(("a_ids", "b_ids"), tokens)]
+        packed = (row["a_ids"], row["b_ids"])
+        self.ids = [_unpacked(p, int(f[-1]), _narrow(t)) for p, f, t in zip(packed, self.first, tokens)]
         self.sizes = [t.sizes[i] for t, i in zip(tokens, self.ids)]
 
     def codes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
