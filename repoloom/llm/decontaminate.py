@@ -5,27 +5,32 @@ letters and digits one space. All windows of all items go into one automaton, an
 text is scanned once; hits are mapped back to words and to byte offsets of the original.
 
 The automaton is sent to the tasks, so its size is bounded: items are taken in blocks of
-at most `block_bytes` of text. A benchmark is far below one block; a larger one is scanned
-block by block and the hits are merged per document, with the same result.
+about `block_bytes` of text, of which the driver holds one at a time. A benchmark is far
+below one block. Of a larger one, each further block is a scan of its own whose few hits
+are written down by the text's digest; they meet the rows of the first scan there, so the
+result has one row per row of documents whatever the number of blocks.
 
 Defined cases: null or empty texts and items have no words and no hits; an item of fewer
 words than a window is one window; items that repeat the same text are all reported, an
-item id that occurs twice is reported once; a window inside a window counts for both; other
-columns are ignored; an empty table on either side gives no hits.
+item id that occurs twice is reported once; a window inside a window counts for both; rows
+with a null id or an id that repeats are judged each by its own text; items without an id
+are left out; other columns are ignored; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.llm import textbytes
-from repoloom.llm.tables import ids_and_texts
+from repoloom.llm.tables import fresh, ids_and_texts, stage
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -36,13 +41,14 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ARROW = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("digest", pa.string()),
         ("n_words", pa.int64()),
         ("items", pa.list_(pa.string())),
         ("word_runs", _RUNS),
         ("hit_spans", _SPAN),
     ]
 )
-_SCAN = "doc_id long, n_words long, items array<string>, word_runs array<struct<start:long,end:long>>, hit_spans array<struct<start:long,end:long>>"
+_SCAN = "doc_id long, digest string, n_words long, items array<string>, word_runs array<struct<start:long,end:long>>, hit_spans array<struct<start:long,end:long>>"
 
 
 def item_windows(texts: list[str | None], width: int) -> dict[str, list[int]]:
@@ -146,6 +152,7 @@ def _scan_with(shared, width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("digest"),
                         pa.array(counts, pa.int64()),
                         pa.array(items, pa.list_(pa.string())),
                         pa.array(as_structs(runs), _RUNS),
@@ -166,34 +173,41 @@ def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
+def _scan_block(texts: DataFrame, block: DataFrame, width: int) -> tuple[DataFrame, Broadcast]:
+    """Hits of one block in every row of texts, and what the tasks hold for it."""
+    rows = block.orderBy("item_id", "text").collect()
+    token = hashlib.sha256(repr([tuple(r) for r in rows]).encode()).hexdigest()
+    shared = texts.sparkSession.sparkContext.broadcast((token, [r["item_id"] for r in rows], [r["text"] for r in rows]))
+    return texts.mapInArrow(_scan_with(shared, width), _SCAN), shared
+
+
+def _scan_texts(texts: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
+    """Hits in every row (doc_id, digest, text). Digests may be null in a scan of one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    first, *others = _blocks(items.filter("item_id is not null and text is not null"), block_bytes)
+    if not others:
+        return _scan_block(texts, first, width)[0]
+    texts = texts.withColumn("digest", F.sha2("text", 256))
+    parts = []
+    for k, block in enumerate([first, *others]):
+        found, shared = _scan_block(texts, block, width)
+        # Equal texts have equal hits.
+        few = found.filter(F.size("items") > 0).drop("doc_id", "n_words").dropDuplicates(["digest"])
+        parts.append(stage(few if k else found, "block"))
+        shared.destroy()
+    merged = reduce(DataFrame.unionByName, parts[1:])
+    lists = ("items", "word_runs", "hit_spans")
+    merged = merged.groupBy("digest").agg(*[F.flatten(F.collect_list(name)).alias(f"more_{name}") for name in lists])
+    both = [F.concat(F.col(name), F.coalesce(f"more_{name}", F.array())).alias(name) for name in lists]
+    joined = parts[0].join(merged, "digest", "left").select("doc_id", "digest", "n_words", *both)
+    return joined.withColumn("items", F.array_sort(F.array_distinct("items")))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, items, word_runs (hit words, end exclusive), hit_spans (bytes of
     the original text): one row per row of `docs`."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter("item_id is not null and text is not null")
-    blocks = _blocks(items, block_bytes)
-    texts = ids_and_texts(docs)
-    if len(blocks) > 1:
-        texts = texts.select("doc_id", "text")
-    parts = []
-    for k, block in enumerate(blocks):
-        rows = block.orderBy("item_id", "text").collect()
-        digest = hashlib.sha256(repr([tuple(r) for r in rows]).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast((digest, [r["item_id"] for r in rows], [r["text"] for r in rows]))
-        parts.append(texts.mapInArrow(_scan_with(shared, width), _SCAN))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    # Rows that share a doc_id with another row have the same text in each block.
-    return merged.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("word_runs")).alias("word_runs"),
-        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
-    )
+    texts = ids_and_texts(docs).withColumn("digest", F.lit(None).cast("string"))
+    return _scan_texts(texts, benchmark, width, block_bytes).drop("digest")
 
 
 def _n_hit():
@@ -206,9 +220,9 @@ def _n_hit():
     return F.aggregate(F.array_sort("word_runs"), zero, step, lambda acc: acc["n"])
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_spans."""
-    return scan(docs, benchmark, width).select(
+    return scan(docs, benchmark, width, block_bytes).select(
         "doc_id",
         "n_words",
         _n_hit().alias("n_hit"),
@@ -220,7 +234,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without any window of the benchmark, all columns kept."""
-    bad = judge(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("__bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` without any window of the benchmark, all columns kept. Rows are
+    known by the digest of their text, which alone decides."""
+    texts = ids_and_texts(docs).withColumn("digest", F.sha2("text", 256))
+    name = fresh(docs, "bad_digest")
+    found = _scan_texts(texts, benchmark, width, block_bytes).filter(F.size("items") > 0)
+    bad = found.select(F.col("digest").alias(name)).distinct()
+    return docs.join(bad, F.sha2(docs["text"].cast("string"), 256) == bad[name], "left_anti")

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from repoloom.llm import decontaminate
 from samples import frame, prose
 
@@ -60,13 +63,24 @@ def test_hits_match_all_windows(spark):
             assert sum(len(words(p)) for p in parts) == r["n_hit"]
 
 
-def test_blocks_give_the_same(spark):
+@pytest.mark.parametrize("block_bytes", [60, 300])
+def test_blocks_give_the_same(spark, block_bytes):
     rows, items = case()
-    rows = [(i, t) for i, t in rows if i is not None and i != 62]
+    rows += [(None, None), (None, rows[0][1]), (63, rows[3][1]), (63, rows[3][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    whole = decontaminate.scan(frame(spark, rows), benchmark).select("doc_id", "n_words", decontaminate._n_hit().alias("n"), "items")
-    parts = decontaminate.scan(frame(spark, rows), benchmark, block_bytes=300).select("doc_id", "n_words", decontaminate._n_hit().alias("n"), "items")
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    found = decontaminate.judge(frame(spark, rows), benchmark, block_bytes=block_bytes)
+    assert digest(found) == brute(rows, items)
+
+
+@pytest.mark.parametrize("block_bytes", [4, 8 << 20])
+def test_rows_are_kept_by_their_text(spark, block_bytes):
+    benchmark = spark.createDataFrame([(1, "a b"), (2, "c"), (None, "d")], "item_id long, text string")
+    rows = [(None, "x a b"), (None, "x"), (None, None), (7, "c"), (7, "d"), (8, ""), (9, "A, B"), (9, "b a")]
+    docs = frame(spark, rows).withColumn("bad_digest", F.lit(1)).withColumn("digest", F.lit("d"))
+    kept = decontaminate.keep_clean(docs, benchmark, block_bytes=block_bytes)
+    assert kept.columns == docs.columns
+    clean = [(None, "x"), (None, None), (7, "d"), (8, ""), (9, "b a")]
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, frame(spark, clean).select("doc_id", "text").collect()))
 
 
 def test_empty_tables(spark):
