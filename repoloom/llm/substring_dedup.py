@@ -12,11 +12,14 @@ document that has them. Every document then meets the reports on its own segment
 
 A minimizer with more than `max_segments` different segments is cut into single windows
 first, of which those of one document go: what many documents share is then one segment
-each. Shards are sized by their words, so memory per task is bounded.
-
-Defined cases: null or empty texts have no words; ids are unique (rows that repeat id and
-text get the same result); rows with a null id keep all words; texts below `width` words
-lose nothing; an empty table gives an empty result; other columns are ignored.
+each. Equal windows have equal content, so these are dealt by content too. Shards are sized
+by their words; the most that stays together is one minimizer's `max_segments` segments.
+
+Defined cases: null or empty texts have no words; rows that share an id are one document,
+whatever their texts: each loses what a smaller id has, nothing for the sake of another
+(inside, rows are known by id and a hash of the text); rows with a null id keep all words;
+texts below `width` words lose nothing; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ SHARD_WORDS = 400_000
 MAX_SEGMENTS = 20_000
 
 _SEGMENTS = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("minimizer", pa.int64()), ("content", pa.int64())]
+    [("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("minimizer", pa.int64()), ("content", pa.int64())]
 )
-_SEGMENTS_DDL = "doc_id long, start int, windows int, minimizer long, content long"
+_SEGMENTS_DDL = "doc_id long, key long, start int, windows int, minimizer long, content long"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,6 +90,7 @@ def _segment_batches(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(doc)),
+                        part.column("key").take(pa.array(doc)),
                         pa.array(start.astype(np.int32)),
                         pa.array(windows.astype(np.int32)),
                         pa.array(minimizer.view(np.int64)),
@@ -99,20 +103,20 @@ def _segment_batches(width: int):
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]):
-    """(wanted segment rows, word hashes, first words) of rows (text, wanted)."""
+    """(id, key, wanted segments, word hashes) of rows (doc_id, key, text, wanted)."""
     for whole in batches:
         for batch, data, offsets in textbytes.slices(whole, "text"):
             words = textbytes.find_words(data, offsets, textbytes.SPACE_WORDS)
             hashes = words.hashes()
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                yield batch.column("doc_id")[i].as_py(), wanted, hashes[words.first[i] : words.first[i + 1]]
+                yield batch.column("doc_id")[i].as_py(), batch.column("key")[i].as_py(), wanted, hashes[words.first[i] : words.first[i + 1]]
 
 
 def _single_windows(width: int):
     """Wanted segments as one row per window."""
 
     def run(batches):
-        for doc_id, wanted, hashes in _chosen(batches):
+        for doc_id, key, wanted, hashes in _chosen(batches):
             for w in wanted:
                 start = np.arange(w["start"], w["start"] + w["windows"])
                 content = textbytes.sequence_hashes(hashes, start, start + width)
@@ -120,6 +124,7 @@ def _single_windows(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(start), doc_id, dtype=np.int64)),
+                        pa.array(np.full(len(start), key, dtype=np.int64)),
                         pa.array(start.astype(np.int32)),
                         pa.array(one),
                         pa.array(np.full(len(start), w["minimizer"], dtype=np.int64)),
@@ -132,18 +137,18 @@ def _single_windows(width: int):
 
 
 _FETCHED = pa.schema(
-    [("minimizer", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary())]
+    [("shard", pa.int64()), ("minimizer", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary())]
 )
-_FETCHED_DDL = "minimizer long, content long, first long, last long, words binary"
+_FETCHED_DDL = "shard long, minimizer long, content long, first long, last long, words binary"
 
 
 def _fetch(width: int):
     """Wanted segments with their words (as hashes)."""
 
     def run(batches):
-        for doc_id, wanted, hashes in _chosen(batches):
+        for doc_id, _, wanted, hashes in _chosen(batches):
             rows = [
-                (w["minimizer"], w["content"], doc_id, w["last"], hashes[w["start"] : w["start"] + w["windows"] + width - 1].tobytes())
+                (w["shard"], w["minimizer"], w["content"], doc_id, w["last"], hashes[w["start"] : w["start"] + w["windows"] + width - 1].tobytes())
                 for w in wanted
             ]
             columns = [pa.array(values, _FETCHED.field(k).type) for k, values in enumerate(zip(*rows))]
@@ -230,10 +235,12 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def _wanted(rows: DataFrame) -> DataFrame:
-    """Per document the list of its wanted segments; bounded by the document itself."""
-    fields = F.struct("start", "windows", "minimizer", "content", "last")
-    return rows.groupBy("doc_id").agg(F.collect_list(fields).alias("wanted"))
+def _with_wanted(texts: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """Texts with the list of their wanted segments, which is bounded by the text; rows that
+    repeat id and text are one."""
+    fields = F.struct("start", "windows", "minimizer", "content", *more)
+    wanted = rows.groupBy("doc_id", "key").agg(F.collect_set(fields).alias("wanted"))
+    return texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
 
 
 def _cut_hot(shared: DataFrame, texts: DataFrame, width: int, max_segments: int) -> DataFrame:
@@ -243,8 +250,8 @@ def _cut_hot(shared: DataFrame, texts: DataFrame, width: int, max_segments: int)
     hot = stage(hot.select("minimizer"), "hot")
     if hot.isEmpty():
         return shared.withColumn("cut", F.lit(False))
-    cut = shared.join(hot, "minimizer", "left_semi").withColumn("last", F.lit(0).cast("long"))
-    single = texts.join(_wanted(cut), "doc_id").mapInArrow(_single_windows(width), _SEGMENTS_DDL)
+    cut = shared.join(hot, "minimizer", "left_semi")
+    single = _with_wanted(texts, cut).mapInArrow(_single_windows(width), _SEGMENTS_DDL)
     rest = shared.join(hot, "minimizer", "left_anti").withColumn("cut", F.lit(False))
     return stage(rest.unionByName(single.withColumn("cut", F.lit(True))), "shared")
 
@@ -258,34 +265,34 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, one space apart); with
     `with_text` also those words as kept_text."""
-    texts = ids_and_texts(docs)
+    texts = ids_and_texts(docs).withColumn("key", F.xxhash64("text"))
     rows = stage(texts.filter("doc_id is not null").mapInArrow(_segment_batches(width), _SEGMENTS_DDL), "segments")
     spread = rows.groupBy("minimizer").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = stage(rows.join(spread.filter("first < last").select("minimizer"), "minimizer", "left_semi"), "shared")
     shared = _cut_hot(shared.select(_SEGMENTS.names), texts, width, max_segments)
     kinds = shared.groupBy("minimizer", "content").agg(
-        F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("doc_id").alias("last"), F.first("cut").alias("cut")
+        F.min(F.struct("doc_id", "key", "start", "windows")).alias("f"), F.max("doc_id").alias("last"), F.first("cut").alias("cut")
     )
     # Where all segments are single windows, one that only one document has has no like.
     kinds = stage(
         kinds.filter("not cut or f.doc_id < last").select(
-            "minimizer", "content", "last", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.windows").alias("windows")
+            "minimizer", "content", "last", "cut", "f.doc_id", "f.key", "f.start", "f.windows"
         ),
         "kinds",
     )
     size = kinds.agg(F.coalesce(F.sum(F.col("windows") + (width - 1)), F.lit(0)).alias("n")).first()["n"]
     shards = -(-size // shard_words) or 1
-    fetched = texts.join(_wanted(kinds), "doc_id").mapInArrow(_fetch(width), _FETCHED_DDL)
-    reports = fetched.groupBy(F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")).applyInArrow(
-        _search_shard(width), _REPORTS_DDL
-    )
+    dealt = F.when(F.col("cut"), F.xxhash64("minimizer", "content")).otherwise(F.xxhash64("minimizer"))
+    kinds = kinds.withColumn("shard", F.pmod(dealt, F.lit(shards)))
+    fetched = _with_wanted(texts, kinds, "last", "shard").mapInArrow(_fetch(width), _FETCHED_DDL)
+    reports = fetched.groupBy("shard").applyInArrow(_search_shard(width), _REPORTS_DDL)
     reports = stage(reports.filter(F.size("runs") > 0), "reports")
     runs = (
         shared.join(reports, ["minimizer", "content"])
-        .select("doc_id", "start", F.explode("runs").alias("r"))
+        .select("doc_id", "key", "start", F.explode("runs").alias("r"))
         .filter(F.col("r.least") < F.col("doc_id"))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("r.at")).alias("at"), F.col("r.windows").alias("windows"))).alias("runs"))
+        .groupBy("doc_id", "key")
+        .agg(F.collect_set(F.struct((F.col("start") + F.col("r.at")).alias("at"), F.col("r.windows").alias("windows"))).alias("runs"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(runs, "doc_id", "left").mapInArrow(_remove(width, with_text), schema)
+    return texts.join(runs, ["doc_id", "key"], "left").mapInArrow(_remove(width, with_text), schema)

@@ -52,6 +52,16 @@ def test_removals_match_all_windows(spark, width, options):
     assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in found) == brute(rows, width)
 
 
+@pytest.mark.parametrize("options", [{}, {"max_segments": 1, "shard_words": 50}])
+def test_repeated_ids_and_rows(spark, options):
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (40, 25, 60)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, None), (5, texts[0]), (5, texts[0]), (4, f"{texts[2]} {texts[1]}"), (4, "")]
+    rows += [(6, f"{texts[0]} z {texts[1]}"), (6, texts[2]), (7, texts[2]), (7, texts[2]), (None, texts[0]), (None, texts[0])]
+    found = substring_dedup.remove_repeats(frame(spark, rows), 12, **options).collect()
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in found) == brute(rows, 12)
+
+
 def test_text_and_empty_table(spark):
     rows = [(1, "a b c d"), (2, "x a b c y")]
     found = substring_dedup.remove_repeats(frame(spark, rows), 3, with_text=True).collect()
