@@ -8,7 +8,7 @@ picked token it has, on average 1/similarity of them, so that similar classes st
 and others part. Nodes of at most `node_size` classes are compared exhaustively.
 
 * At the first level the classes of a node of more than `hub_size` are compared with its most
-  central ones first (those whose tokens are the most frequent in the node), which links large
+  central ones first (those with most of the node's most frequent tokens), which links large
   groups of copies at linear cost. Pairs that are in one component by then need no comparison,
   and nodes without other pairs end.
 * A node of more than `node_size` is branched further; one that is as large at the last level
@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 
 from repoloom.llm import textbytes
 from repoloom.llm.links import components
-from repoloom.llm.tables import ids_and_texts, stage
+from repoloom.llm.tables import fresh, ids_and_texts, stage
 
 SHINGLE = 5
 TOKENS = 128
@@ -248,9 +248,13 @@ def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     """Every class of a large node with the node's most central classes."""
     token = F.expr(f"transform(sequence(0, {HUB_TOKENS - 1}), i -> substring(tokens, 2 * i + 1, 2))")
     shown = members.join(classes.select("id", token.alias("shown")), "id")
-    shown = shown.select("path", "id", F.posexplode("shown").alias("i", "value"))
-    often = shown.groupBy("path", "i", "value").agg(F.count(F.lit(1)).alias("n"))
-    score = shown.join(often, ["path", "i", "value"]).groupBy("path", "id").agg(F.sum("n").alias("score"))
+    often = shown.select("path", F.posexplode("shown").alias("i", "value")).groupBy("path", "i", "value").agg(F.count(F.lit(1)).alias("n"))
+    # The most frequent token of each place: one short list per node.
+    usual = often.groupBy("path", "i").agg(F.max(F.struct("n", "value")).alias("most")).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("i", F.col("most.value").alias("value")))).alias("usual")
+    )
+    agree = F.expr("aggregate(zip_with(shown, usual, (t, u) -> int(t = u.value)), 0, (n, x) -> n + x)")
+    score = shown.join(usual, "path").select("path", "id", agree.alias("score"))
     ranked = score.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), "id")))
     # Three hubs of a node, and of the same node in another tree, are often the same.
     hubs = ranked.filter(F.col("r") <= HUBS).select("path", F.col("id").alias("hub"))
@@ -351,5 +355,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES, node
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs` without the near copies of a document with a smaller id; of rows
     that repeat an id all stay or go together."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
