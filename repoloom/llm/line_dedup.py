@@ -18,8 +18,10 @@ distance runs over the rest, with a band of 2k + 1 bits.
 
 Equal lines are collapsed by partial aggregation before anything else, so a line that a
 third of all documents share is one line. Defined cases: null or empty texts have no lines;
-rows with a null id keep all lines; rows that repeat an id count as one document; an empty
-table gives an empty result; other columns are ignored.
+rows with a null id keep all lines; rows that share an id come at one place in the order, by
+line number and then a hash of the text, and each loses its own lines only (rows that repeat
+id and text lose the same ones, also where a line is new); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +40,14 @@ _STEPS = [1 << k for k in range(24, -1, -1)]
 
 def _texts(docs: DataFrame) -> DataFrame:
     rows = ids_and_texts(docs)
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no from 0, line trimmed) of all lines that are compared."""
+    """(doc_id, key, line_no from 0, line trimmed) of all lines that are compared."""
     exploded = _texts(docs).filter("doc_id is not null").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        "doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     trimmed = exploded.withColumn("line", F.trim("line"))
     return trimmed.filter(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
@@ -179,13 +182,13 @@ def _parities(line: Column) -> Column:
 
 
 def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, gone: numbers of the lines that go) of documents that lose any."""
+    """(doc_id, key, gone: numbers of the lines that go) of documents that lose any."""
     found = lines(docs, min_chars)
     firsts = stage(
         _with_keys(found, k)
         .groupBy("id")
         .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
+            F.min(F.struct("doc_id", "line_no", "key")).alias("first"),
             F.count(F.lit(1)).alias("times"),
             F.first("index").alias("index"),
             F.first("probe").alias("probe"),
@@ -199,9 +202,9 @@ def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS
     own = stage(own.join(other, met, "left_semi"), "met-own")
     other = stage(members_only(other, own.select("key").distinct(), ["key"]), "met-other")
     some = own.select(F.col("a").alias("id")).union(other.select("b")).distinct()
-    places = some.join(firsts.select("id", "first"), "id").select("id", "first", "first.doc_id", "first.line_no")
-    texts = members_only(found.select("doc_id", "line_no", "line"), places, ["doc_id", "line_no"])
-    texts = stage(texts.select("id", "first", "line", _parities(F.col("line")).alias("parities")), "met-lines")
+    places = some.join(firsts.select("id", "first"), "id").select("id", "first", "first.doc_id", "first.line_no", "first.key")
+    texts = members_only(found.select("doc_id", "line_no", "key", "line"), places, ["doc_id", "line_no", "key"])
+    texts = stage(texts.dropDuplicates(["id"]).select("id", "first", "line", _parities(F.col("line")).alias("parities")), "met-lines")
     with_place = lambda end: texts.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"), F.col("parities").alias(f"p{end}"))
     own, other = own.join(with_place("a"), "a"), other.join(with_place("b"), "b")
     pairs = own.join(
@@ -217,15 +220,15 @@ def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS
     newer = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
     marks = firsts.select("id", "first", "times").join(newer.withColumn("near", F.lit(True)), "id", "left")
     marks = marks.filter("near or times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = found.select("id", "doc_id", "line_no").join(marks, "id")
-    gone = gone.filter(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = found.select("id", "doc_id", "line_no", "key").join(marks, "id")
+    gone = gone.filter(F.col("near") | (F.struct("doc_id", "line_no", "key") != F.col("first")))
+    return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
 
 
 def deduplicate(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text: one row per row of `docs`."""
     gone = removed_lines(docs, k, min_chars)
-    rows = _texts(docs).join(gone, "doc_id", "left")
+    rows = _texts(docs).join(gone, ["doc_id", "key"], "left")
     every = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     rows = rows.select("doc_id", every.alias("every"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("every")).otherwise(
@@ -242,9 +245,11 @@ def deduplicate(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS)
 def keep_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` with the remaining lines as text and their length as n_chars; documents of
     which nothing remains go. Other columns and texts without removals stay as they are."""
-    key, gone, text = (fresh(docs, name) for name in ("gone_id", "gone_lines", "kept_text"))
-    found = removed_lines(docs, k, min_chars).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    rows = docs.join(found, docs["doc_id"] == found[key], "left")
+    key, content, gone, text = (fresh(docs, name) for name in ("gone_id", "gone_key", "gone_lines", "kept_text"))
+    found = removed_lines(docs, k, min_chars)
+    found = found.select(F.col("doc_id").alias(key), F.col("key").alias(content), F.col("gone").alias(gone))
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.join(found, (docs["doc_id"] == found[key]) & (own == found[content]), "left")
     changed = F.col(gone).isNotNull()
     rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
     rows = rows.withColumn(text, F.when(changed, F.array_join(rest, "\n")).otherwise(F.col("text")))

@@ -88,3 +88,16 @@ def test_stage_keeps_columns(spark):
     found = sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in kept.collect())
     assert found == [("1", f"{line}\nown words here", 47), ("2", "other", 5), ("4", None, None), ("5", "", 0), ("None", line, 32)]
     assert line_dedup.keep_lines(frame(spark, [])).count() == line_dedup.deduplicate(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    x, y, z = (c * 30 for c in "xyz")
+    rows = [(1, f"{x}\n{y}"), (2, f"{z}\n{x}"), (2, f"own\nshort\n{y}"), (2, None), (3, z), (4, f"{z}x\nend"), (4, f"{z}x\nend")]
+    expected = [(1, f"{x}\n{y}"), (2, z), (2, "own\nshort"), (2, ""), (3, ""), (4, "end"), (4, "end")]
+    docs = frame(spark, rows).withColumn("key", F.lit(0)).withColumn("gone_key", F.lit("k"))
+    found = line_dedup.deduplicate(docs).select("doc_id", "kept_text").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    kept = line_dedup.keep_lines(docs)
+    assert kept.columns == docs.columns
+    texts = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert sorted(texts) == sorted((i, t) for i, t in expected if (i, t) != (3, ""))
