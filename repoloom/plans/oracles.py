@@ -663,6 +663,29 @@ def oracle_sql() -> dict[str, str]:
                                      ELSE 1000 END""",
             "document_tokens",
         ),
+        "mixture_tokens": _query(
+            """SELECT * FROM (WITH placed AS (
+                 SELECT repo_id, path, tokens,
+                        CASE WHEN tokens >= 120 THEN 2 WHEN tokens >= 60 THEN 1 ELSE 0 END
+                            AS length_bucket,
+                        CAST('0x' || SUBSTR(MD5('7:' || repo_id || '/' || path), 1, 8) AS BIGINT)
+                            % 10000 AS position
+                 FROM document_tokens),
+               weights(length_bucket, weight) AS (VALUES (0, 1), (1, 3), (2, 2)),
+               sums AS (
+                 SELECT p.length_bucket, position, weight,
+                        SUM(SUM(tokens)) OVER (PARTITION BY p.length_bucket ORDER BY position) AS upto,
+                        SUM(SUM(tokens)) OVER (PARTITION BY p.length_bucket) AS total
+                 FROM placed p JOIN weights w USING (length_bucket) GROUP BY 1, 2, 3),
+               scarce AS (SELECT total, weight FROM sums WHERE total > 0
+                          ORDER BY total / weight, length_bucket LIMIT 1),
+               cuts AS (SELECT length_bucket, MAX(position) AS last FROM sums
+                        WHERE upto * (SELECT weight FROM scarce) <= (SELECT total FROM scarce) * weight
+                        GROUP BY 1)
+               SELECT repo_id, path, length_bucket FROM placed JOIN cuts USING (length_bucket)
+               WHERE position <= last)""",
+            "document_tokens",
+        ),
         # corpus
         "corpus_json": "SELECT text FROM conversations",
         "corpus_text": r"""SELECT REGEXP_REPLACE(text, '[\r\n]+', ' ', 'g') AS text

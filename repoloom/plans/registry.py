@@ -526,6 +526,10 @@ def score_buckets_quantile(spark, sf_dir):
     )
 
 
+MIXTURE_EDGES = (60, 120)
+MIXTURE_WEIGHTS = {0: 1, 1: 3, 2: 2}
+
+
 def mixture_sample(spark, sf_dir):
     # Counts are written down first: the draw looks at them several times.
     measured = _document_tokens(spark, sf_dir).select("repo_id", "path", "tokens")
@@ -537,6 +541,17 @@ def mixture_sample(spark, sf_dir):
     return drawn.select("repo_id", "path", "length_bucket")
 
 
+def mixture_tokens(spark, sf_dir):
+    """Documents drawn so that short, middle and long ones give 1, 3 and 2 parts of the tokens."""
+    measured = _document_tokens(spark, sf_dir).select(
+        "repo_id", "path", "tokens", F.concat_ws("/", "repo_id", "path").alias("key"),
+        serving.bucket(F.col("tokens"), MIXTURE_EDGES).alias("length_bucket"),
+    )
+    lengths = Staging(spark).save(measured, "lengths").df
+    drawn = serving.mixture_by_tokens(lengths, "key", "length_bucket", "tokens", MIXTURE_WEIGHTS, seed=7)
+    return drawn.select("repo_id", "path", "length_bucket")
+
+
 # --- Corpus ----------------------------------------------------------------------------------
 
 
@@ -630,6 +645,7 @@ def queries() -> dict[str, Query]:
         "score_buckets": score_buckets,
         "score_buckets_quantile": score_buckets_quantile,
         "mixture_sample": mixture_sample,
+        "mixture_tokens": mixture_tokens,
         "corpus_json": corpus_json,
         "corpus_text": corpus_text,
         "corpus_tokenize": corpus_tokenize,
