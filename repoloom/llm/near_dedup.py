@@ -18,6 +18,11 @@ and others part. Nodes of at most `node_size` classes are compared exhaustively.
   sets, recomputed from the texts. The estimate comes from a sketch of `BINS` bins: the
   smallest hash of the set in each bin, as two bits (0: no member). Small sets fill few bins,
   where single collisions weigh much; they have a wider slack.
+* A node in which more than `CROWD` pairs per class pass the estimate (texts on one template,
+  below the threshold or above) is a crowd. Its classes travel once each, not once per pair: they
+  are dealt to blocks of about `BLOCK_CLASSES` classes and `BLOCK_SHINGLES` shingles, and the exact
+  sizes of all intersections of two blocks come from one product of their incidence matrices. Of the
+  links in two blocks a spanning forest is kept.
 * `trees`: one tree keeps a pair at the threshold together with probability 1 - 1/e at the
   first level, so 16 trees miss 1e-7 of such pairs (0.1 % at the third level).
 
@@ -41,7 +46,7 @@ from pyspark.sql import Window as W
 
 from repoloom.llm import textbytes
 from repoloom.llm.links import components
-from repoloom.llm.tables import fresh, ids_and_texts, stage
+from repoloom.llm.tables import fresh, ids_and_texts, members_only, stage
 
 SHINGLE = 5
 TOKENS = 128
@@ -55,6 +60,9 @@ BINS = 512
 MISS = 1e-7
 SMALL = 64
 SMALL_SLACK = 0.45
+CROWD = 8
+BLOCK_CLASSES = 512
+BLOCK_SHINGLES = 1 << 19
 
 _SEEDS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 501)
 _FACTORS = textbytes.mix(np.arange(TOKENS, dtype=np.uint64), 502) | np.uint64(1)
@@ -239,11 +247,127 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
-    side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = members_only(texts, ids, ["doc_id"])
+    side = lambda end: wanted.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
+def shared_counts(one: np.ndarray, owner_one: np.ndarray, n_one: int, two: np.ndarray, owner_two: np.ndarray, n_two: int) -> np.ndarray:
+    """Sizes of all intersections of n_one with n_two sets, given as members and their owners.
+    Members that many sets hold are columns of two dense incidence matrices, `width` at a time;
+    the pairs that hold another member are counted one by one."""
+    kinds, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+    at_one, at_two = place[: len(one)], place[len(one) :]
+    n_kinds = len(kinds)
+    order_one, order_two = np.argsort(at_one, kind="stable"), np.argsort(at_two, kind="stable")
+    own_one, own_two = owner_one[order_one], owner_two[order_two]
+    first_one, first_two = (np.searchsorted(at[order], np.arange(n_kinds + 1)) for at, order in ((at_one, order_one), (at_two, order_two)))
+    often_one, often_two = np.diff(first_one), np.diff(first_two)
+    both = often_one * often_two
+    counts = np.zeros(n_one * n_two, dtype=np.float32)
+    table = counts.reshape(n_one, n_two)
+    width, common = 1024, np.flatnonzero(both > n_one * n_two // 64)
+    for k in range(0, len(common), width):
+        some = common[k : k + width]
+        sides = []
+        for first, own, often, n in ((first_one, own_one, often_one, n_one), (first_two, own_two, often_two, n_two)):
+            held = np.zeros((n, len(some)), dtype=np.float32)
+            held[own[textbytes.ranges(first[some], often[some])], np.repeat(np.arange(len(some)), often[some])] = 1
+            sides.append(held)
+        table += sides[0] @ sides[1].T
+    rare = np.flatnonzero((both > 0) & (both <= n_one * n_two // 64))
+    rows = textbytes.ranges(first_one[rare], often_one[rare])
+    partners = np.repeat(often_two[rare], often_one[rare])
+    starts = np.repeat(first_two[rare], often_one[rare])
+    ends = np.cumsum(partners)
+    begin = 0
+    while begin < len(rows):
+        # About a million pairs at a time; one row has at most n_two.
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (1 << 20), side="right")))
+        x = np.repeat(own_one[rows[begin:end]], partners[begin:end])
+        y = own_two[textbytes.ranges(starts[begin:end], partners[begin:end])]
+        counts += np.bincount(x * n_two + y, minlength=len(counts)).astype(np.float32)
+        begin = end
+    return table
+
+
+def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric table that connect all that its links connect."""
+    found, open_ = [], np.ones(len(linked), dtype=bool)
+    for root in range(len(linked)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        waiting = [root]
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(linked[at] & open_).tolist()
+            open_[new] = False
+            found += [(at, other) for other in new]
+            waiting += new
+    return found
+
+
+def _block_links(percent: int):
+    """Links (a, b) of the rows (i, j, block, id, text) of two blocks, or of one with itself."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        values, owners, sizes = [], [], []
+        for batch in table.to_batches():
+            for part, data, offsets in textbytes.slices(batch, "text"):
+                members, first = shingle_sets(data, offsets)
+                owners.append(np.repeat(np.arange(part.num_rows), np.diff(first)) + sum(map(len, sizes)))
+                values.append(members)
+                sizes.append(np.diff(first))
+        values, owners, sizes = (np.concatenate(x) for x in (values, owners, sizes))
+        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        linked = np.zeros((len(ids), len(ids)), dtype=bool)
+        if len(rows) and len(columns):
+            place = np.zeros(len(ids), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            place[columns] = np.arange(len(columns))
+            sides = []
+            for own, chosen in ((block == i, rows), (block == j, columns)):
+                held = own[owners]
+                sides += [values[held], place[owners[held]], len(chosen)]
+            shared = shared_counts(*sides).astype(np.int64)
+            either = sizes[rows][:, None] + sizes[columns][None, :] - shared
+            alike = (shared > 0) & (100 * shared >= percent * either) & (ids[rows][:, None] != ids[columns][None, :])
+            linked[np.ix_(rows, columns)] = alike
+            linked |= linked.T
+        forest = np.array(spanning_forest(linked), dtype=np.int64).reshape(-1, 2)
+        ends = np.sort(ids[forest], axis=1)
+        return pa.Table.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], schema=schema)
+
+    return run
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of pairs (path, a, b), those of crowds block by block."""
+    pairs = stage(pairs, "pairs")
+    ends = pairs.select("path", F.explode(F.array("a", "b")).alias("id")).groupBy("path", "id").agg(F.count(F.lit(1)).alias("met"))
+    crowds = ends.groupBy("path").agg(F.sum("met").alias("met"), F.count(F.lit(1)).alias("size")).filter(F.col("met") > 2 * CROWD * F.col("size"))
+    sizes = classes.groupBy("id").agg(F.sum("n").alias("n"))
+    members = stage(ends.join(crowds.select("path"), "path", "left_semi").select("path", "id").join(sizes, "id"), "crowds")
+    # Blocks are dealt by hash, so that no node is sorted or counted in one task.
+    blocks = members.groupBy("path").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    dealt = members.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = members_only(texts, members.select(F.col("id").alias("doc_id")).distinct(), ["doc_id"])
+    rows = dealt.join(wanted, dealt["id"] == wanted["doc_id"]).select("path", "i", "j", "block", "id", "text")
+    crowded = rows.groupBy("path", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    few = pairs.join(crowds.select("path"), "path", "left_anti").select("a", "b").distinct()
+    return confirmed(few, texts, percent).unionByName(crowded)
+
+
 def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Every class of a large node with the node's most central classes."""
     token = F.expr(f"transform(sequence(0, {HUB_TOKENS - 1}), i -> substring(tokens, 2 * i + 1, 2))")
@@ -286,7 +410,7 @@ def _nodes(frontier: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size: int = NODE_SIZE, hub_size: int = HUB_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(sets of all rows, confirmed links between different sets)."""
+    """(sets of all rows, confirmed links that connect all similar sets)."""
     similarity = percent / 100
     texts = ids_and_texts(docs)
     roots = [int(x) for x in textbytes.mix(np.arange(trees, dtype=np.uint64), 507)]
@@ -333,10 +457,9 @@ def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size:
             & _alike("x", "y", percent)
             & (F.col("x.path") == F.array_min(F.array_intersect("x.nodes", "y.nodes"))),
         )
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .select("x.path", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
-    found = confirmed(pairs, texts, percent)
-    return sets, found.unionByName(links).distinct()
+    return sets, _links(pairs, classes, texts, percent).unionByName(links).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES, node_size: int = NODE_SIZE, hub_size: int = HUB_SIZE) -> DataFrame:

@@ -116,3 +116,57 @@ def test_no_pair_at_the_threshold_fails_the_estimate(spark, common, extra, pairs
     side = lambda s, n: F.struct(F.lit(n).alias("n"), *(F.col(f"{s}_{name}").alias(name) for name in near_dedup._SKETCH)).alias(s)
     rows = rows.select(side("x", common), side("y", common + extra))
     assert rows.filter(near_dedup._alike("x", "y", 80)).count() == pairs
+
+
+def crowd(rng, size, words, noise):
+    """Texts that differ from one template in `noise` words of their own each."""
+    template = prose(rng, words)
+    return [(k, edited(rng, template, noise)) for k in range(size)]
+
+
+def test_shared_counts_and_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    one, two = ([np.unique(rng.integers(0, top, n)).astype(np.uint64) for n, top in shape] for shape in (
+        [(40, 50), (3, 9), (500, 5000), (1, 2)] * 20, [(30, 50), (600, 5000), (2, 2)] * 30))
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    found = near_dedup.shared_counts(*flat(one), *flat(two))
+    assert found.tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    assert near_dedup.shared_counts(*none, 2, *flat(two)).sum() == 0
+
+    linked = rng.random((60, 60)) < 0.02
+    linked |= linked.T
+    forest = near_dedup.spanning_forest(linked)
+    assert all(linked[a, b] for a, b in forest)
+    parts = lambda links: len({frozenset(c) for c in _components(60, links)})
+    assert parts(forest) == parts(list(zip(*np.nonzero(linked)))) == 60 - len(forest)
+
+
+def _components(n, links):
+    groups = [{k} for k in range(n)]
+    for a, b in links:
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for k in groups[b]:
+                groups[k] = groups[a]
+    return groups
+
+
+@pytest.mark.parametrize("blocks", [16, 512])
+def test_crowds_below_and_at_the_threshold(spark, monkeypatch, blocks):
+    """Nearly all pairs pass the estimate; few of them are links."""
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", blocks)
+    rng = random.Random(11)
+    rows = crowd(rng, 120, 300, 7)
+    rows += [(500 + k, edited(rng, rows[k][1], 3)) for k in range(0, 60, 5)] + [(900, None), (None, rows[0][1]), (901, rows[3][1])]
+    paired = []
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: (paired.append(pairs.count()), confirmed(pairs, *rest))[1])
+    found = near_dedup.near_duplicates(frame(spark, rows), 85).collect()
+    want = brute([r for r in rows if r[0] is not None], 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None} == want
+    assert len({c for _, c in want.values()}) > 60 and sum(paired) < 60 * len(rows)
+
+
+confirmed = near_dedup.confirmed
