@@ -12,10 +12,12 @@ blocks next to them that lie directly in a container around them. Blocks that co
 of links stay if they reach the threshold by themselves, between clustered lines, in an article
 or main element, and in a container with clustered text of its own; elsewhere they go.
 
-Elements that are boilerplate by what they are (navigation, footers, asides, forms, scripts,
-styles) or by name (class or id: adverts, menus, sidebars, notices, comments) hold no lines. A
-name does not count if the element holds an article or main, or, on a page without one
-outside named elements, more than half of the text. Where HTML lets an end tag be missing
+Elements that are boilerplate by what they are (navigation, footers, asides, scripts, styles)
+or by name (class or id: adverts, menus, sidebars, notices, comments) hold no lines, nor do
+forms, dialogs and hidden elements. A name, form, dialog or hidden element does not count if
+it holds an article or main, or, on a page without one outside such elements, more than half
+of the text: whole pages lie in one form or in a wrapper that a script reveals (which is told
+from a hidden remark by its two or more blocks). Work per tag does not depend on the depth. Where HTML lets an end tag be missing
 (head, p, li, dt, dd, option, parts of tables), the next start tag ends the element.
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line break.
@@ -28,6 +30,8 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,8 +54,10 @@ CONTAINERS = frozenset(
 # Elements without main text.
 SKIPPED = frozenset(
     "head script style noscript template iframe object svg math canvas audio video select button textarea nav footer "
-    "aside form menu dialog".split()
+    "aside menu".split()
 )
+# Elements without main text, unless the page lies in them.
+WRAPPERS = frozenset(["form", "dialog"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar "
@@ -92,10 +98,12 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, int]] = []  # element, container, skipped, named
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by element
         self.parents: list[int] = [-1]
         self.kinds: list[str] = ["root"]
         self.around: list[int] = []  # of named elements: the named one around
         self.holds: list[bool] = []  # of named elements: an article or main
+        self.hidden: list[bool] = []  # of named elements: not shown
         self.blocks: list[tuple[list[tuple[str, bool, int]], int, int]] = []
         self.parts: list[tuple[str, bool, int]] = []
         self.tags = self.links = 0
@@ -132,30 +140,35 @@ class _Lines(HTMLParser):
             self.links += 1
         if tag in VOID:
             return
-        skip = by_name = False
-        if tag == "header" and not any(t in ("article", "main") for t, _, _, _ in self.stack):
+        skip = by_name = hidden = False
+        if tag == "header" and not self.open["article"] and not self.open["main"]:
             skip = True
         elif tag in SKIPPED:
             skip = True
         elif tag not in ("html", "body", "article", "main"):
-            skip = self._hidden(attrs)
-            by_name = not skip and not skipped and self._named(attrs)
+            hidden = not skipped and self._hidden(attrs)
+            by_name = not skipped and (hidden or tag in WRAPPERS or self._named(attrs))
         elif tag in ("article", "main") and not skipped and not self._named(attrs):
             # A comment that is an article of its own protects no element around it.
-            while named >= 0:
+            while named >= 0 and not self.holds[named]:
                 self.holds[named] = True
                 named = self.around[named]
             named = self._inside()[2]
         if by_name:
             self.around.append(named)
             self.holds.append(False)
+            self.hidden.append(hidden)
             named = len(self.around) - 1
         if tag in CONTAINERS and not skipped:
             self.parents.append(container)
             self.kinds.append(tag)
-            self.stack.append((tag, len(self.parents) - 1, skip, named))
-        elif skip or by_name or skipped and tag in CONTAINERS | SKIPPED:
-            self.stack.append((tag, container, skipped or skip, named))
+            self._push(tag, len(self.parents) - 1, skip, named)
+        elif skip or by_name or skipped and (tag in CONTAINERS or tag in SKIPPED):
+            self._push(tag, container, skipped or skip, named)
+
+    def _push(self, tag: str, container: int, skipped: bool, named: int):
+        self.open[tag].append(len(self.stack))
+        self.stack.append((tag, container, skipped, named))
 
     def _end_omitted(self, tag):
         """End the elements whose end tag may be missing before this start tag."""
@@ -164,15 +177,16 @@ class _Lines(HTMLParser):
         for starts, ends, bounds in OMITTED:
             if tag not in starts:
                 continue
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in bounds:
-                    break
-                if self.stack[k][0] in ends:
-                    self._end(k)
+            bound = max((self.open[t][-1] for t in bounds if self.open[t]), default=-1)
+            beyond = [places[at] for t in ends if (at := bisect_right(places := self.open[t], bound)) < len(places)]
+            if beyond:
+                self._end(min(beyond))
 
     def _end(self, k: int):
+        """End the elements from place k of the stack on."""
         self._flush()
-        del self.stack[k:]
+        while len(self.stack) > k:
+            self.open[self.stack.pop()[0]].pop()
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -187,10 +201,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._end(k)
-                break
+        if self.open[tag]:
+            self._end(self.open[tag][-1])
 
     def handle_data(self, data):
         _, skipped, named = self._inside()
@@ -200,12 +212,14 @@ class _Lines(HTMLParser):
     def dropped(self) -> list[bool]:
         """Which named elements are boilerplate: those that hold no article or main, and not
         most of the text of a page that has no article or main outside them."""
-        own, total, safe = [0] * len(self.around), 0, 0
+        own, many, total, safe = [0] * len(self.around), [0] * len(self.around), 0, 0
         inner = {c for c in range(len(self.kinds)) if self.kinds[c] in ("article", "main")}
         for c in range(len(self.kinds)):
             if self.parents[c] in inner:
                 inner.add(c)
         for parts, _, container in self.blocks:
+            for named in {named for text, _, named in parts if named >= 0 and text.strip()}:
+                many[named] += 1
             for text, _, named in parts:
                 size = len(text.strip())
                 total += size
@@ -216,10 +230,12 @@ class _Lines(HTMLParser):
         for k in range(len(own) - 1, -1, -1):
             if self.around[k] >= 0:
                 own[self.around[k]] += own[k]
+                many[self.around[k]] += many[k]
         gone = []
         for k, size in enumerate(own):
             up = self.around[k]
-            gone.append(up >= 0 and gone[up] or not (self.holds[k] or not safe and 2 * size > total))
+            most = not safe and 2 * size > total and (many[k] > 1 or not self.hidden[k])
+            gone.append(up >= 0 and gone[up] or not (self.holds[k] or most))
         return gone
 
     def lines(self) -> list[tuple[str, int, int, int]]:

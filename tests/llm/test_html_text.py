@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 from html import unescape
 
 import pytest
@@ -114,3 +115,23 @@ def test_null_rows_and_empty_table(spark):
     rows = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>", None), (1, "u", "<p>a</p>", None)], schema)
     assert sorted(map(str, map(tuple, extract(rows).collect()))) == ["(1, 'u', 'a', 1)"] * 2 + ["(None, None, '', 0)"]
     assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ['<form id="f" action="/x">{}</form>', "<dialog open>{}</dialog>", '<div style="display: none">{}</div>', '<div hidden>{}</div>', '<form><div class="page-with-nav">{}</div></form>'])
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<div>{}</div>"])
+def test_a_page_within_a_wrapper_is_kept(wrapper, article):
+    text = article.format(f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>")
+    assert main_text(page(wrapper.format(text))) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    small = '<form><p>Your name</p><input name="n"><button>Send</button></form><dialog>Sure?</dialog><div hidden>No.</div>'
+    assert main_text(page(wrapper.format(text + small))) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("inner", ["<div>", "<li>", "<ul><li>", "<section><p>", "<span hidden>", "<header>", "<td>", "<p><b><div>", '<div class="ad"><article>'])
+def test_deep_pages_take_constant_work_per_tag(inner):
+    def seconds(n):
+        start = time.perf_counter()
+        main_text("<body>" + inner * n + LONG)
+        return time.perf_counter() - start
+
+    few = min(seconds(5000) for _ in range(3))
+    assert seconds(50000) < 40 * few + 1
