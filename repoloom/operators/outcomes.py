@@ -62,7 +62,9 @@ def outcome_rows(
         .join(metrics, "repo_id", "left")
         .join(failures, "repo_id", "left")
     )
-    few = too_few_tokens(F.col("total_tokens"), settings.min_tokens)
+    few = too_few_tokens(
+        F.col("total_tokens"), settings.min_tokens, F.col("counter"), settings.counter_name
+    )
     status = (
         F.when(F.col("early_status").isNotNull(), F.col("early_status"))
         .when(few, F.lit(STATUS_SKIPPED))
@@ -100,6 +102,7 @@ def outcome_rows(
         measured("total_files", 0).alias("total_code_files"),
         measured("total_bytes", 0).alias("total_code_bytes"),
         measured("tokens_by_extension").alias("tokens_by_extension"),
+        measured("counter").alias("token_counter"),
         measured("dependency_score", 0.0).alias("dependency_score"),
         measured("internal_import_count", 0).alias("internal_import_count"),
         measured("unique_internal_imports", 0).alias("unique_internal_imports"),

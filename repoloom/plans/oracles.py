@@ -319,6 +319,7 @@ def _outcomes(condition: str, order_by: str = "") -> str:
            CASE WHEN {done} THEN total_files ELSE 0 END AS total_code_files,
            CASE WHEN {done} THEN total_bytes ELSE 0 END AS total_code_bytes,
            CASE WHEN {done} THEN tokens_by_extension END AS tokens_by_extension,
+           CASE WHEN {done} AND total_tokens IS NOT NULL THEN 'pattern' END AS token_counter,
            CASE WHEN {done} THEN {_exact("score", 4)} ELSE 0.0 END AS dependency_score,
            CASE WHEN {done} THEN occurrences ELSE 0 END AS internal_import_count,
            CASE WHEN {done} THEN edges ELSE 0 END AS unique_internal_imports,
@@ -434,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT repo_id, path, extension, tokens, 'pattern' AS counter FROM document_tokens",
             "document_tokens",
         ),
-        "token_totals": _query("SELECT * FROM document_totals", "document_totals"),
+        "token_totals": _query("SELECT *, 'pattern' AS counter FROM document_totals", "document_totals"),
         "tokens_by_ext": _query(
             """SELECT repo_id, extension, CAST(SUM(tokens) AS BIGINT) AS tokens
                FROM document_tokens GROUP BY ALL""",

@@ -162,7 +162,9 @@ def tokens_by_ext(spark, sf_dir):
 
 
 def token_gate(spark, sf_dir):
-    few = totals.too_few_tokens(F.col("total_tokens"), MIN_TOKENS_DOCUMENTS)
+    few = totals.too_few_tokens(
+        F.col("total_tokens"), MIN_TOKENS_DOCUMENTS, F.col("counter"), DEFAULTS.counter_name
+    )
     return _document_totals(spark, sf_dir).select(
         "repo_id",
         "total_tokens",

@@ -55,7 +55,9 @@ def run(
     facts = stage_facts(files, candidates, settings, staging)
     counted = staging.save(totals.token_totals(facts), "totals").df
     enough = counted.filter(
-        ~totals.too_few_tokens(F.col("total_tokens"), settings.min_tokens)
+        ~totals.too_few_tokens(
+            F.col("total_tokens"), settings.min_tokens, F.col("counter"), settings.counter_name
+        )
     ).select("repo_id")
     graphed = facts.join(enough, "repo_id", "left_semi")
     metrics = score.rounded(graph_plan.metrics_from_facts(graphed, settings, staging))

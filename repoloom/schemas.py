@@ -39,12 +39,12 @@ METADATA = _struct(
 SNAPSHOTS = _struct("repo_id string!; ok boolean!; error string")
 FILES = _struct("repo_id string!; path string!; size_bytes bigint!; content binary")
 EDGES = _struct("repo_id string!; src string!; dst string!; n bigint!")
-# --- Fixed values: columns of the result table -------------------------------
+# --- Fixed values: columns of the result table (`token_counter` is additional) ---
 RESULT = _struct(
     "id string!; repo_id string!; full_name string!; url string!; github_size_kb bigint!;"
     "primary_language string; default_branch string; total_code_tokens bigint!;"
     "total_code_files bigint!; total_code_bytes bigint!;"
-    "tokens_by_extension map<string,bigint>; dependency_score double!;"
+    "tokens_by_extension map<string,bigint>; token_counter string; dependency_score double!;"
     "internal_import_count bigint!; unique_internal_imports bigint!; graph_density double;"
     "avg_in_degree double; max_in_degree bigint; num_connected_components bigint;"
     "largest_component_fraction double; conference string; year int; paper_title string;"

@@ -24,6 +24,7 @@ from repoloom.sources.versions import Run, Version, VersionedTable
 # Columns a failure row does not supply: an older value stays in place.
 MEASURED_ONLY = (
     "tokens_by_extension",
+    "token_counter",
     "graph_density",
     "avg_in_degree",
     "max_in_degree",

@@ -151,6 +151,40 @@ def test_file_size_bounds_and_big_files_in_graph(spark, staging):
     assert graphed == {"zero.py", "over.py"}
 
 
+def test_counts_of_another_counter_are_refused(spark, staging):
+    from repoloom.operators import totals
+
+    facts = spark.createDataFrame(
+        [("r", ".py", 60, 1, True, True, "pattern"), ("r", ".py", 70, 2, True, True, "words"),
+         ("r", ".md", 5, 3, True, True, "pattern"), ("s", ".py", 1, 1, True, True, "words")],
+        "repo_id string, extension string, tokens long, size_bytes long, counted boolean, readable boolean, counter string",
+    )
+    counted = totals.token_totals(facts)
+    found = {(r["repo_id"], r["counter"]): (r["total_tokens"], r["tokens_by_extension"]) for r in counted.collect()}
+    assert found == {
+        ("r", "pattern"): (65, {".py": 60, ".md": 5}), ("r", "words"): (70, {".py": 70}), ("s", "words"): (1, {".py": 1}),
+    }
+    few = lambda rows: rows.select(totals.too_few_tokens(F.col("total_tokens"), 65, F.col("counter"), "pattern")).collect()
+    assert few(counted.filter("counter = 'pattern'")) == [(False,)]
+    with pytest.raises(Exception, match="tokens of counter words at a gate for pattern"):
+        few(counted)
+    none = spark.createDataFrame([(None, None)], "total_tokens long, counter string")
+    assert few(none) == [(True,)]
+
+
+def test_stored_rows_name_the_counter(spark, staging):
+    def words(text):
+        return F.size(F.split(text, " "))
+
+    def stored(settings):
+        repos, metadata, snapshots, table = outcome_inputs(spark)
+        rows = repo_run.run(repos, metadata, snapshots, table, empty_results(spark), staging, settings)
+        return {(r["processing_status"] == "completed" and r["total_code_files"] > 0, r["token_counter"]) for r in rows.collect()}
+
+    assert stored(SMALL) == {(True, "pattern"), (False, None)}
+    assert stored(Settings(min_tokens=1, token_counter=words)) == {(True, "words"), (False, None)}
+
+
 def test_second_run_adds_nothing(spark, staging):
     repos, metadata, snapshots, table = outcome_inputs(spark)
     inputs = incremental.Inputs(metadata, snapshots, table)
