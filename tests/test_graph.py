@@ -112,6 +112,36 @@ def test_component_sizes_like_union_find(spark, staging, batch_forests, final_ed
     assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
 
 
+@pytest.mark.parametrize("chunk_edges, cut", [(1 << 20, False), (100, True), (7, True)])
+def test_a_repository_in_one_chunk_needs_no_round(spark, staging, monkeypatch, chunk_edges, cut):
+    pairs = graphs()
+    table = spark.createDataFrame([(*p, 1) for p in pairs], schemas.EDGES).repartition(3)
+    picked = []
+    monkeypatch.setattr(components, "_picks", lambda graph, *rest: (picked.append({r["r"] for r in graph.collect()}), _picks(graph, *rest))[1])
+    sizes = components.component_sizes(table, staging, final_edges=0, chunk_edges=chunk_edges)
+    assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
+    assert bool(picked) == cut
+    if chunk_edges == 100:
+        assert len(picked[0]) < len({repo for repo, *_ in pairs}) + 1
+
+
+_picks = components._picks
+
+
+@pytest.mark.parametrize("clashing", ["nodes", "repositories"])
+def test_keys_that_clash_are_tried_again(spark, staging, monkeypatch, clashing):
+    pairs = [(repo, f"v{k}", f"v{k + 1}") for repo in ("one", "two") for k in range(0, 60, 2)] + [("three", "v1", "v2")]
+
+    def narrow(seed, *columns):
+        key = F.xxhash64(F.lit(seed), *columns)
+        return F.pmod(key, F.lit(20 if clashing == "nodes" else 1)) if seed == 0 and (columns == ("repo_id",)) == (clashing == "repositories") else key
+
+    monkeypatch.setattr(components, "_key", narrow)
+    table = spark.createDataFrame([(*p, 1) for p in pairs], schemas.EDGES)
+    sizes = components.component_sizes(table, staging)
+    assert sorted((r["repo_id"], r["size"]) for r in sizes.collect()) == union_find(pairs)
+
+
 def test_prefixes_are_bounded_by_the_index(spark):
     """A name of 10,000 parts costs no more rows than the deepest module has parts."""
     from repoloom.operators import resolve
