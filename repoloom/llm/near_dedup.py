@@ -19,10 +19,11 @@ and others part. Nodes of at most `node_size` classes are compared exhaustively.
   smallest hash of the set in each bin, as two bits (0: no member). Small sets fill few bins,
   where single collisions weigh much; they have a wider slack.
 * A node in which more than `CROWD` pairs per class pass the estimate (texts on one template,
-  below the threshold or above) is a crowd. Its classes travel once each, not once per pair: they
-  are dealt to blocks of about `BLOCK_CLASSES` classes and `BLOCK_SHINGLES` shingles, and the exact
-  sizes of all intersections of two blocks come from one product of their incidence matrices. Of the
-  links in two blocks a spanning forest is kept.
+  below the threshold or above) is a crowd. Its pairs never become rows: sketches of a node that is
+  large enough to be one are compared as arrays, which give either few pairs or the classes that have
+  any. Those travel once each: they are dealt to blocks of about `BLOCK_CLASSES` classes and
+  `BLOCK_SHINGLES` shingles, and the exact sizes of all intersections of two blocks come from one
+  product of their incidence matrices. Of the links in two blocks a spanning forest is kept.
 * `trees`: one tree keeps a pair at the threshold together with probability 1 - 1/e at the
   first level, so 16 trees miss 1e-7 of such pairs (0.1 % at the third level).
 
@@ -61,6 +62,9 @@ MISS = 1e-7
 SMALL = 64
 SMALL_SLACK = 0.45
 CROWD = 8
+# A node of so many classes has too few pairs to be a crowd.
+SMALL_NODE = 2 * CROWD + 1
+COMPARED_CLASSES = 1024
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1 << 19
 
@@ -347,24 +351,92 @@ def _block_links(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of pairs (path, a, b), those of crowds block by block."""
-    pairs = stage(pairs, "pairs")
-    ends = pairs.select("path", F.explode(F.array("a", "b")).alias("id")).groupBy("path", "id").agg(F.count(F.lit(1)).alias("met"))
-    crowds = ends.groupBy("path").agg(F.sum("met").alias("met"), F.count(F.lit(1)).alias("size")).filter(F.col("met") > 2 * CROWD * F.col("size"))
+def _passing(one: pa.Table, two: pa.Table, percent: int) -> np.ndarray:
+    """`_alike` for all pairs of two tables of classes, as a table of booleans."""
+    sketches = [np.stack([t[name].to_numpy() for name in _SKETCH], axis=1).view(np.uint64) for t in (one, two)]
+    sizes = [t["n"].to_numpy() for t in (one, two)]
+    passed = np.zeros((one.num_rows, two.num_rows), dtype=bool)
+    for at in range(0, one.num_rows, 128):
+        rows = slice(at, at + 128)
+        agree, both, either = (np.zeros(passed[rows].shape, dtype=np.int32) for _ in range(3))
+        for k in range(_WORDS):
+            low_a, high_a = sketches[0][rows, k][:, None], sketches[0][rows, _WORDS + k][:, None]
+            low_b, high_b = sketches[1][:, k][None, :], sketches[1][:, _WORDS + k][None, :]
+            differ = (low_a ^ low_b) | (high_a ^ high_b)
+            full_a, full_b = low_a | high_a, low_b | high_b
+            agree += np.bitwise_count(full_a & ~differ)
+            both += np.bitwise_count(full_a & full_b)
+            either += np.bitwise_count(full_a | full_b)
+        small = np.minimum(sizes[0][rows][:, None], sizes[1][None, :])
+        large = np.maximum(sizes[0][rows][:, None], sizes[1][None, :])
+        margin = np.where(large <= SMALL, SMALL_SLACK, slack(percent))
+        estimate = (3 * agree - both) / 2 / np.maximum(either, 1)
+        passed[rows] = (small * 100 >= large * percent) & (estimate >= percent / 100 - margin)
+    return passed
+
+
+def _earlier_nodes(table: pa.Table, path: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Nodes of every class before `path`, their owners, and the number of classes."""
+    lists = table["nodes"].combine_chunks()
+    owners = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    nodes = lists.flatten().to_numpy()
+    earlier = nodes < path
+    return nodes[earlier], owners[earlier], len(lists)
+
+
+def _block_pairs(percent: int):
+    """Pairs (path, a, b) of two blocks of a node, or of one with itself, that pass the estimate
+    and share no earlier node; in a crowd the classes of such pairs, once each, as (path, a, null)."""
+    schema = pa.schema([("path", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        path, i, j = (table[name][0].as_py() for name in ("path", "i", "j"))
+        block = table["block"].to_numpy()
+        one, two = table.filter(pa.array(block == i)), table.filter(pa.array(block == j))
+        ids_one, ids_two = one["id"].to_numpy(), two["id"].to_numpy()
+        before = np.less if i == j else np.not_equal
+        passed = _passing(one, two, percent) if one.num_rows and two.num_rows else np.zeros((one.num_rows, two.num_rows), dtype=bool)
+        passed &= before(ids_one[:, None], ids_two[None, :])
+        passed &= one["label"].to_numpy()[:, None] != two["label"].to_numpy()[None, :]
+        if passed.any():
+            rows, columns = np.flatnonzero(passed.any(axis=1)), np.flatnonzero(passed.any(axis=0))
+            sides = [x for t, some in ((one, rows), (two, columns)) for x in _earlier_nodes(t.take(pa.array(some)), path)]
+            passed[np.ix_(rows, columns)] &= shared_counts(*sides) == 0
+        rows, columns = np.nonzero(passed)
+        ends = np.unique(np.concatenate([ids_one[rows], ids_two[columns]]))
+        if len(rows) > CROWD * len(ends):
+            a, b = pa.array(ends, pa.int64()), pa.nulls(len(ends), pa.int64())
+        else:
+            pairs = np.sort(np.stack([ids_one[rows], ids_two[columns]], axis=1), axis=1)
+            a, b = pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())
+        return pa.Table.from_arrays([pa.array(np.full(len(a), path), pa.int64()), a, b], schema=schema)
+
+    return run
+
+
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members of a node in blocks, a row for every pair (i, j) of blocks that they are needed in."""
+    dealt = members.withColumn("blocks", blocks.cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _links(found: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of pairs (path, a, b), and block by block of the classes (path, a, null) of crowds."""
+    found = stage(found, "pairs")
     sizes = classes.groupBy("id").agg(F.sum("n").alias("n"))
-    members = stage(ends.join(crowds.select("path"), "path", "left_semi").select("path", "id").join(sizes, "id"), "crowds")
+    crowds = found.filter("b is null").select("path", F.col("a").alias("id")).distinct()
+    members = stage(crowds.join(sizes, "id"), "crowds")
     # Blocks are dealt by hash, so that no node is sorted or counted in one task.
     blocks = members.groupBy("path").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("needed")
     )
-    dealt = members.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = _dealt(members.join(blocks, "path"), F.col("needed")).select("path", "id", "block", "i", "j")
     wanted = members_only(texts, members.select(F.col("id").alias("doc_id")).distinct(), ["doc_id"])
     rows = dealt.join(wanted, dealt["id"] == wanted["doc_id"]).select("path", "i", "j", "block", "id", "text")
     crowded = rows.groupBy("path", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    few = pairs.join(crowds.select("path"), "path", "left_anti").select("a", "b").distinct()
+    few = found.filter("b is not null").select("a", "b").distinct()
     return confirmed(few, texts, percent).unionByName(crowded)
 
 
@@ -443,10 +515,14 @@ def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size:
             .mapInArrow(_branch(similarity), "path long, id long")
             .distinct()
         )
-    members = stage(reduce(DataFrame.unionByName, [m.select("path", "id") for m in compared]), "compared")
+    members = stage(reduce(DataFrame.unionByName, [m.select("path", "id", "size") for m in compared]), "compared")
     # A pair is compared in the first of the nodes that it shares; a class has few nodes.
     own = members.groupBy("id").agg(F.collect_set("path").alias("nodes"))
-    rows = _labelled(members, labels).join(own, "id").join(classes.select("id", "n", *_SKETCH), "id")
+
+    def described(some: DataFrame) -> DataFrame:
+        return _labelled(some, labels).join(own, "id").join(classes.select("id", "n", *_SKETCH), "id")
+
+    rows = described(members.filter(F.col("size") <= SMALL_NODE))
     pairs = (
         rows.alias("x")
         .join(
@@ -459,7 +535,10 @@ def linked_classes(docs: DataFrame, percent: int, trees: int = TREES, node_size:
         )
         .select("x.path", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
-    return sets, _links(pairs, classes, texts, percent).unionByName(links).distinct()
+    larger = described(members.filter(F.col("size") > SMALL_NODE))
+    blocks = _dealt(larger, F.ceil(F.col("size") / COMPARED_CLASSES))
+    found = pairs.unionByName(blocks.groupBy("path", "i", "j").applyInArrow(_block_pairs(percent), "path long, a long, b long"))
+    return sets, _links(found, classes, texts, percent).unionByName(links).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES, node_size: int = NODE_SIZE, hub_size: int = HUB_SIZE) -> DataFrame:

@@ -169,4 +169,39 @@ def test_crowds_below_and_at_the_threshold(spark, monkeypatch, blocks):
     assert len({c for _, c in want.values()}) > 60 and sum(paired) < 60 * len(rows)
 
 
+@pytest.mark.parametrize("width", [40, 1024])
+def test_pairs_of_a_crowd_never_become_rows(spark, monkeypatch, width):
+    """Rows from the comparison grow with the classes of a node, not with its pairs."""
+    monkeypatch.setattr(near_dedup, "COMPARED_CLASSES", width)
+    rng = random.Random(12)
+    rows = crowd(rng, 150, 300, 7) + [(500 + k, prose(rng, 60)) for k in range(20)]
+    rows += [(600 + k, edited(rng, rows[150 + k][1], 1)) for k in range(10)]
+    compared = []
+    monkeypatch.setattr(near_dedup, "_links", lambda found, *rest: (compared.append(found.count()), _links(found, *rest))[1])
+    found = near_dedup.near_duplicates(frame(spark, rows), 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 85)
+    # One node holds the crowd first in one of the trees; in smaller blocks each is judged by itself.
+    assert compared[0] < 5 * len(rows)
+
+
+def test_arrays_pass_the_same_pairs(spark):
+    """The estimate of arrays and that of columns agree on every pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    from repoloom.llm import textbytes
+
+    rng = random.Random(13)
+    texts = [t for size in (3, 20, 60, 70, 400) for _, t in crowd(rng, 12, size, max(1, size // 40))]
+    values, first = near_dedup.shingle_sets(*textbytes.text_buffers(pa.array(texts)))
+    sketches = near_dedup.sketch(values, first)
+    table = pa.table({"id": np.arange(len(texts)), "n": np.diff(first), **dict(zip(near_dedup._SKETCH, sketches.T))})
+    rows = spark.createDataFrame(table.to_pandas())
+    for percent in (80, 85):
+        want = rows.alias("x").crossJoin(rows.alias("y")).filter(near_dedup._alike("x", "y", percent)).selectExpr("x.id a", "y.id b").collect()
+        passed = near_dedup._passing(table, table, percent)
+        assert sorted(zip(*map(np.ndarray.tolist, np.nonzero(passed)))) == sorted((r["a"], r["b"]) for r in want)
+
+
 confirmed = near_dedup.confirmed
+_links = near_dedup._links
