@@ -165,3 +165,17 @@ def test_stored_precision(spark):
     names = "dependency_score double, graph_density double, avg_in_degree double, largest_component_fraction double"
     got = score.rounded(spark.createDataFrame([row], names)).first()
     assert tuple(got) == (0.5, None, round(0.03125, 4), round(0.66665, 4))
+
+
+def test_filters_stay_above_the_texts_of_the_code_files(spark, tmp_path):
+    from repoloom.operators import files as file_ops
+    from repoloom.plans import views
+    from repoloom.settings import Settings
+
+    spark.createDataFrame([(k,) for k in [*range(2000), None]], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    chosen = file_ops.relevant(views.code_files(spark, str(tmp_path)), Settings())
+    below = chosen._jdf.queryExecution().executedPlan().toString().split("RoundRobinPartitioning", 1)[1]
+    assert " Filter (" not in below
+    # Every fifth file lies in the pruned folder; all others are routed or counted.
+    found = sorted(row["path"] for row in chosen.select("path").collect())
+    assert len(found) == 1600 and not any(path.startswith("data/") for path in found)
