@@ -217,7 +217,9 @@ def removed_lines(docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS
     side = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.filter(edit_distance(F.col("line_a"), F.col("line_b"), k) <= k)
+    # Written down, only ids, so that the driver holds the plans of the comparison and of the rest one after the other.
     newer = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    newer = stage(newer, "newer")
     marks = firsts.select("id", "first", "times").join(newer.withColumn("near", F.lit(True)), "id", "left")
     marks = marks.filter("near or times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = found.select("id", "doc_id", "line_no", "key").join(marks, "id")

@@ -250,8 +250,13 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The pairs (a, b) that are similar on their full sets.
+
+    Pairs and ids are written down: each is read several times here, and the driver would hold,
+    and describe after every stage, the plan that made them as often.
+    """
+    pairs = stage(pairs, "candidates")
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     wanted = members_only(texts, ids, ["doc_id"])
     side = lambda end: wanted.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -437,7 +442,7 @@ def _links(found: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
     rows = dealt.join(wanted, dealt["id"] == wanted["doc_id"]).select("path", "i", "j", "block", "id", "text")
     crowded = rows.groupBy("path", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     few = found.filter("b is not null").select("a", "b").distinct()
-    return confirmed(few, texts, percent).unionByName(crowded)
+    return stage(confirmed(few, texts, percent), "few-links").unionByName(crowded)
 
 
 def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -453,7 +458,7 @@ def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     score = shown.join(usual, "path").select("path", "id", agree.alias("score"))
     ranked = score.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), "id")))
     # Three hubs of a node, and of the same node in another tree, are often the same.
-    hubs = ranked.filter(F.col("r") <= HUBS).select("path", F.col("id").alias("hub"))
+    hubs = stage(ranked.filter(F.col("r") <= HUBS).select("path", F.col("id").alias("hub")), "hubs")
     sketch = classes.select("id", "n", *_SKETCH)
     pairs = members.join(hubs, "path").filter("id != hub")
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from repoloom.llm import near_dedup
 from repoloom.llm.links import components
 from samples import frame, edited, prose
@@ -203,5 +205,15 @@ def test_arrays_pass_the_same_pairs(spark):
         assert sorted(zip(*map(np.ndarray.tolist, np.nonzero(passed)))) == sorted((r["a"], r["b"]) for r in want)
 
 
+def test_the_plan_of_the_pairs_is_not_repeated(spark):
+    """Confirming reads pairs several times, but does not plan what made them again."""
+    texts = frame(spark, [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "h i j k l m n"), (None, "a b c d e f g"), (2, "A b c d e f g")])
+    pairs = spark.createDataFrame([(1, 2, 0), (1, 3, 0), (1, 2, 1), (None, 2, 1)], "a long, b long, kind int")
+    pairs = pairs.groupBy("a", "b").agg(F.max("kind").alias("kind")).filter("kind >= 0").select("a", "b")
+    links = near_dedup.confirmed(pairs, near_dedup.ids_and_texts(texts), 80)
+    assert "max(" not in links._jdf.queryExecution().executedPlan().toString()
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 2)]
+
+
 confirmed = near_dedup.confirmed
 _links = near_dedup._links
