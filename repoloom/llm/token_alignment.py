@@ -9,10 +9,13 @@ are the links within a group. Both products are Gustavson's: for each row of the
 the rows of the right one that its entries name, merged by column.
 
 A link's count is how many links of the whole corpus join the same two ids. Documents are
-tokenised once, into blocks of ids with bounded text; a block is cut at group ends into runs
-before its matrices are made, so that work arrays stay small whatever a text's length. Counts
-meet the blocks by a join on the id pair, in which a block names each of its pairs once, so
-a pair that every text holds weighs one row per block.
+tokenised and multiplied once, in blocks with bounded text; a block is cut into stretches of
+documents, and those at group ends into runs, before matrices are made, so that work arrays
+stay small whatever a text's length. What is left of a document is one row: its measures,
+and a sparse row over the block's id pairs that says how many of its links join each. Ids
+aren't kept, and no row holds more than one document. Counts meet the blocks by a join on the
+id pair, in which a block names each of its pairs once, so a pair that every text holds
+weighs one row per block; the sparse rows times the pairs' counts give the documents' sums.
 
 Parameters: the two tokenizer files, `block_bytes` of text per block, `run_bytes` per product.
 
@@ -281,91 +284,178 @@ def group_links(a_sizes: np.ndarray, b_sizes: np.ndarray, most: int = RUN_BYTES)
 
 # --- Blocks of documents -------------------------------------------------------------
 
-_BLOCK_DDL = "docs array<long>, a_first binary, b_first binary, a_ids binary, b_ids binary"
-_BLOCK = pa.schema(
-    [("docs", pa.list_(pa.int64()))] + [(n, pa.binary()) for n in ("a_first", "b_first", "a_ids", "b_ids")]
-)
-
 
-def _narrow(tokens: Tokens) -> np.dtype:
-    return np.dtype("<u2" if tokens.count <= 1 << 16 else "<u4")
+class Stretch:
+    """Neighbouring documents of a block: their ids and sizes by both tokenizers, joined.
+    Documents without tokens take part with none."""
 
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], tokens: tuple[Tokens, Tokens]):
+        self.first = [np.cumsum([0, *(len(f[side]) for f in found)]) for side in (0, 1)]
+        self.ids = [np.concatenate([f[side] for f in found]) for side in (0, 1)]
+        self.sizes = [t.sizes[i] for t, i in zip(tokens, self.ids)]
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Ids take most of what is written and shuffled here, so they are compressed."""
-    return pa.compress(ids.tobytes(), codec="zstd", asbytes=True) if len(ids) else b""
+    def __len__(self) -> int:
+        return len(self.first[0]) - 1
+
+    def documents(self, i: np.ndarray) -> np.ndarray:
+        """The document of each token of A."""
+        return np.searchsorted(self.first[0], i, side="right") - 1
+
+
+def stretches(texts: pa.Array, tokens: tuple[Tokens, Tokens], most: int = RUN_BYTES, most_docs: int = 1 << 16) -> Iterator[Stretch]:
+    """All documents, in stretches of about `most` bytes; a longer text is one of its own."""
+    found, held = [], 0
+    for text in texts:
+        size = len(text.as_buffer() or b"")
+        if found and (held + size > most or len(found) == most_docs):
+            yield Stretch(found, tokens)
+            found, held = [], 0
+        found.append(tokenise(text.as_py(), *tokens))
+        held += size
+    if found:
+        yield Stretch(found, tokens)
+
+
+def _summed(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sum of their times (1 each if not given)."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if times is None:
+        return keys[new], np.diff(np.append(new, len(keys)))
+    return keys[new], np.add.reduceat(times, new) if len(new) else times
+
+
+def document_pairs(stretch: Stretch, tokens: tuple[Tokens, Tokens]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pair, links) of a stretch, in order; `pair` is the id of A times the number of
+    ids of B, plus the id of B."""
+    width = tokens[1].count
+    bits = _pair_bits(tokens)
+    found = np.empty(0, np.int64), np.empty(0, np.int64)
+    waiting, held = [], 0
+    for i, j, _ in overlap_links(*stretch.sizes):
+        waiting.append(_summed((stretch.documents(i) << bits) | (stretch.ids[0][i] * width + stretch.ids[1][j])))
+        held += len(waiting[-1][0])
+        if held > len(found[0]):  # so runs of a long text are merged a few times only
+            found = _merged([found, *waiting])
+            waiting, held = [], 0
+    keys, links = _merged([found, *waiting]) if waiting else found
+    return keys >> bits, keys & ((1 << bits) - 1), links
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    some = [p for p in parts if len(p[0])]
+    return some[0] if len(some) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _pair_bits(tokens: tuple[Tokens, Tokens]) -> int:
+    return (tokens[0].count * tokens[1].count).bit_length()
+
+
+def _binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per document the bytes of values[first[d]:first[d + 1]]."""
+    places = pa.py_buffer((first * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, places, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+_PAIR = [(n, pa.int64()) for n in ("pair", "links")]
+_DOCUMENT = [(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_group_links")] + [
+    ("groups_sha256", pa.string()),
+    ("places", pa.binary()),
+    ("times", pa.binary()),
+]
+_BLOCK = pa.schema([("block", pa.int64()), *_PAIR, *_DOCUMENT])
+_BLOCK_DDL = (
+    "block long, pair long, links long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, "
+    "groups_sha256 string, places binary, times binary"
+)
 
 
-def _unpacked(packed: bytes, count: int, kind: np.dtype) -> np.ndarray:
-    if not count:
-        return np.empty(0, np.int64)
-    plain = pa.decompress(packed, decompressed_size=count * kind.itemsize, codec="zstd")
-    return np.frombuffer(plain, dtype=kind).astype(np.int64)
+def _rows(block: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of `blocks`; columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    columns["block"] = pa.array(np.full(n, block, np.int64))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _BLOCK], schema=_BLOCK)
+
+
+def _block_rows(block: int, docs: pa.RecordBatch, tokens: tuple[Tokens, Tokens], names: tuple) -> Iterator[pa.RecordBatch]:
+    measures, hashes, parts = [], [], []
+    for stretch in stretches(docs.column("text"), tokens, most_docs=1 << (63 - _pair_bits(tokens))):
+        n_groups, n_group_links = np.zeros((2, len(stretch)), dtype=np.int64)
+        ends = [np.cumsum(s) for s in stretch.sizes]
+        groups = group_ends(*ends)
+        group = [np.searchsorted(groups, e) for e in ends]
+        for d in range(len(stretch)):
+            spans = [slice(first[d], first[d + 1]) for first in stretch.first]
+            ids, own = [stretch.ids[s][spans[s]] for s in (0, 1)], [group[s][spans[s]] for s in (0, 1)]
+            if not len(ids[0]):
+                hashes.append("")
+                continue
+            low, high = own[0][0], own[0][-1] + 1
+            n_groups[d] = high - low
+            n_group_links[d] = (np.bincount(own[0] - low) * np.bincount(own[1] - low)).sum()
+            hashes.append(hashlib.sha256(group_text(*ids, *own, names).encode()).hexdigest())
+        doc, pair, links = document_pairs(stretch, tokens)
+        entries = np.bincount(doc, minlength=len(stretch))
+        ends = np.cumsum(np.append(0, links))[np.cumsum(np.append(0, entries))]
+        measures.append((*(np.diff(f) for f in stretch.first), n_groups, np.diff(ends), n_group_links, entries))
+        parts.append((pair, links.astype(np.min_scalar_type(links.max(initial=0)))))
+    pair, times = (np.concatenate(x) for x in zip(*parts))
+    pairs = np.unique(pair)
+    places = np.searchsorted(pairs, pair).astype(_narrow(len(pairs)))
+    links = np.bincount(places, weights=times, minlength=len(pairs)).astype(np.int64)
+    if len(pairs):
+        pairs = (pairs // tokens[1].count << 32) | pairs % tokens[1].count
+        yield _rows(block, pair=pa.array(pairs), links=pa.array(links))
+    *counts, entries = (np.concatenate(x) for x in zip(*measures))
+    first = np.cumsum(np.append(0, entries))
+    yield _rows(
+        block,
+        doc_id=docs.column("doc_id"),
+        **{n: pa.array(c) for n, c in zip(("n_a", "n_b", "n_groups", "n_links", "n_group_links"), counts)},
+        groups_sha256=pa.array(hashes, pa.string()),
+        places=_binaries(places, first),
+        times=_binaries(times, first),
+    )
+
+
+def _narrow(count: int) -> np.dtype:
+    """What holds the places of so many pairs."""
+    return np.dtype("<u2" if count <= 1 << 16 else "<u4")
 
 
 def _tokenise(pair: Pair, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         tokens = pair.load()
+        block = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch, _, _ in slices(whole, "text", block_bytes):
-                found = [tokenise(text.as_py(), *tokens) for text in batch.column("text")]
-                columns = []
-                for side in (0, 1):
-                    columns.append(np.cumsum([0, *(len(f[side]) for f in found)]).astype("<i8").tobytes())
-                for side in (0, 1):
-                    columns.append(_packed(np.concatenate([f[side] for f in found]).astype(_narrow(tokens[side]))))
-                docs = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([docs, *(pa.array([bytes(c)], pa.binary()) for c in columns)], schema=_BLOCK)
+                yield from _block_rows(block, batch, tokens, _names(tokens))
+                block += 1
 
     return run
 
 
 def blocks(docs: DataFrame, pair: Pair, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, docs, a_first, b_first, a_ids, b_ids): ids of runs of documents, one run a row."""
-    made = ids_and_texts(docs).mapInArrow(_tokenise(pair, block_bytes), _BLOCK_DDL)
-    return made.select(F.monotonically_increasing_id().alias("block"), "*")
-
-
-class Block:
-    """One row of `blocks`. Documents without tokens take part with none."""
-
-    def __init__(self, row: dict, tokens: tuple[Tokens, Tokens]):
-        self.docs = pa.array(row["docs"], pa.int64())
-        self.first = [np.frombuffer(row[n], dtype="<i8") for n in ("a_first", "b_first")]
-        packed = (row["a_ids"], row["b_ids"])
-        self.ids = [_unpacked(p, int(f[-1]), _narrow(t)) for p, f, t in zip(packed, self.first, tokens)]
-        self.sizes = [t.sizes[i] for t, i in zip(tokens, self.ids)]
-
-    def codes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """One number per id pair."""
-        return (self.ids[0][i] << 32) | self.ids[1][j]
-
+    """Rows of two kinds. With a pair: (block, pair, links), the distinct id pairs of a run of
+    documents, in order, and their links in it. Without: a document's measures and its sparse
+    row, `places` in the block's pairs and how many `times` each is linked."""
+    return ids_and_texts(docs).mapInArrow(_tokenise(pair, block_bytes), _BLOCK_DDL)
 
-def _pairs(pair: Pair):
-    """Each block's distinct id pairs with their links in the block."""
-    schema = pa.schema([("block", pa.int64()), ("pair", pa.int64()), ("links", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pair.load()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                block = Block(row, tokens)
-                codes, links = np.empty(0, np.int64), np.empty(0, np.int64)
-                for i, j, _ in overlap_links(*block.sizes):
-                    some, which = np.unique(np.concatenate([codes, block.codes(i, j)]), return_inverse=True)
-                    links = np.bincount(which, weights=np.concatenate([links, np.ones(len(i))]), minlength=len(some)).astype(np.int64)
-                    codes = some
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), row["block"])), pa.array(codes), pa.array(links)], schema=schema
-                )
-
-    return run
+def pair_links(made: DataFrame) -> DataFrame:
+    """(block, pair, links) of staged blocks; `pair` is the id of A times 2^32 plus that of B."""
+    return made.where("pair is not null").select(F.col("block").alias("block"), F.col("pair").alias("pair"), "links")
 
 
-def pair_links(made: DataFrame, pair: Pair) -> DataFrame:
-    """(block, pair, links) of staged blocks; `pair` is the id of A times 2^32 plus that of B."""
-    return made.mapInArrow(_pairs(pair), "block long, pair long, links long")
+def documents(made: DataFrame) -> DataFrame:
+    """(block, doc_id, measures, places, times) of staged blocks."""
+    return made.where("pair is null").drop("pair", "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -416,85 +506,52 @@ _RESULT_DDL = (
 )
 
 
-def _measure(pair: Pair):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = pair.load()
-        names = _names(tokens)
-        codes = right.column("pair").to_numpy()
-        order = np.argsort(codes)
-        codes, count, best = codes[order], right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
-        parts = []
-        for row in left.to_pylist():
-            block = Block(row, tokens)
-            n = len(block.docs)
-            a_first, b_first = block.first
-            doc_of = np.repeat(np.arange(n), np.diff(a_first))
-            sums = np.zeros((3, n), dtype=np.int64)
-            for i, j, _ in overlap_links(*block.sizes):
-                doc = doc_of[i]
-                some, which = np.unique(block.codes(i, j), return_inverse=True)
-                at = np.searchsorted(codes, some)[which]
-                # Tokens come in order, so a document's links of a run are neighbours.
-                begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                for k, values in enumerate((np.ones(len(i), np.int64), best[at].astype(np.int64), count[at])):
-                    sums[k, doc[begin]] += np.add.reduceat(values, begin)
-            ends = [np.cumsum(s) for s in block.sizes]
-            groups = group_ends(*ends)
-            group = [np.searchsorted(groups, e) for e in ends]
-            found, hashes, shared = [], [], []
-            for d in range(n):
-                spans = [slice(first[d], first[d + 1]) for first in block.first]
-                ids, own = [block.ids[s][spans[s]] for s in (0, 1)], [group[s][spans[s]] for s in (0, 1)]
-                if not len(ids[0]):
-                    found.append(0), shared.append(0), hashes.append("")
-                    continue
-                low, high = own[0][0], own[0][-1] + 1
-                found.append(high - low)
-                shared.append(int((np.bincount(own[0] - low) * np.bincount(own[1] - low)).sum()))
-                hashes.append(hashlib.sha256(group_text(*ids, *own, names).encode()).hexdigest())
-            parts.append(
-                pa.Table.from_arrays(
-                    [
-                        block.docs,
-                        pa.array(np.diff(a_first)),
-                        pa.array(np.diff(b_first)),
-                        pa.array(found, pa.int64()),
-                        *(pa.array(s) for s in sums),
-                        pa.array(shared, pa.int64()),
-                        pa.array(hashes, pa.string()),
-                    ],
-                    schema=_RESULT,
-                )
-            )
-        return pa.concat_tables(parts) if parts else _RESULT.empty_table()
-
-    return run
+def _measure(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block's documents and the counts of its pairs: sparse rows times counts."""
+    order = np.argsort(right.column("pair").to_numpy())
+    count, best = (right.column(n).to_numpy()[order] for n in ("count", "best"))
+    sums = []
+    for row in zip(left.column("places").to_pylist(), left.column("times").to_pylist()):
+        if not row[0]:
+            sums.append((0, 0))
+            continue
+        places = np.frombuffer(row[0], dtype=_narrow(len(count)))
+        times = np.frombuffer(row[1], dtype=f"<u{len(row[1]) // len(places)}").astype(np.int64)
+        sums.append((times[best[places]].sum(), (count[places] * times).sum()))
+    n_best, count_sum = np.array(sums, dtype=np.int64).reshape(-1, 2).T
+    more = {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
+    return pa.Table.from_arrays([more[f.name] if f.name in more else left.column(f.name).cast(f.type) for f in _RESULT], schema=_RESULT)
 
 
 def align(docs: DataFrame, pair: Pair, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: tokens of both, groups, links, links of the highest count of their id of B
     (n_best), the sum of the links' counts, links within groups, digest of the groups."""
     made = stage(blocks(docs, pair, block_bytes), "blocks")
-    links = stage(pair_links(made, pair), "links")
+    links = pair_links(made)
     scores = links.join(pair_counts(links), "pair").select("block", "pair", "count", "best")
-    return made.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_measure(pair), _RESULT_DDL)
+    return documents(made).groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_measure, _RESULT_DDL)
 
 
-def _explode(pair: Pair, kind: str):
+def _explode(pair: Pair, kind: str, block_bytes: int):
     schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("a_place", "b_place", "a_id", "b_id", "value")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pair.load()
         product = overlap_links if kind == "overlap" else group_links
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = Block(batch.slice(k, 1).to_pylist()[0], tokens)
-                for i, j, value in product(*block.sizes):
-                    doc = np.searchsorted(block.first[0], i, side="right") - 1
-                    columns = [i - block.first[0][doc], j - block.first[1][doc], block.ids[0][i], block.ids[1][j], value]
-                    yield pa.RecordBatch.from_arrays(
-                        [block.docs.take(pa.array(doc)), *(pa.array(c.astype(np.int64)) for c in columns)], schema=schema
-                    )
+        for whole in batches:
+            for batch, _, _ in slices(whole, "text", block_bytes):
+                docs, groups = 0, 0
+                for stretch in stretches(batch.column("text"), tokens):
+                    own = batch.column("doc_id").slice(docs, len(stretch))
+                    for i, j, value in product(*stretch.sizes):
+                        doc = stretch.documents(i)
+                        columns = [i - stretch.first[0][doc], j - stretch.first[1][doc], stretch.ids[0][i], stretch.ids[1][j], value]
+                        columns[-1] = value if kind == "overlap" else value + groups
+                        yield pa.RecordBatch.from_arrays(
+                            [own.take(pa.array(doc)), *(pa.array(c.astype(np.int64)) for c in columns)], schema=schema
+                        )
+                    docs += len(stretch)
+                    groups += len(group_ends(*(np.cumsum(s) for s in stretch.sizes))) if kind == "group" else 0
 
     return run
 
@@ -504,5 +561,5 @@ def links(docs: DataFrame, pair: Pair, kind: str = "overlap", block_bytes: int =
     (`overlap`) or the number of their group in its block (`group`)."""
     if kind not in ("overlap", "group"):
         raise ValueError(f"unknown kind of link: {kind}")
-    made = blocks(docs, pair, block_bytes)
-    return made.mapInArrow(_explode(pair, kind), "doc_id long, a_place long, b_place long, a_id long, b_id long, value long")
+    exploded = "doc_id long, a_place long, b_place long, a_id long, b_id long, value long"
+    return ids_and_texts(docs).mapInArrow(_explode(pair, kind, block_bytes), exploded)

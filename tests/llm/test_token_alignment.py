@@ -3,10 +3,12 @@
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from samples import SCHEMA, frame, prose
 
@@ -155,6 +157,79 @@ def test_awkward_rows(spark, libraries):
     assert sorted((str(r["doc_id"]), *(r[n] for n in NAMES), r["groups_sha256"]) for r in found) == as_rows
 
 
+def weight(row):
+    return sum(len(v) if isinstance(v, (bytes, bytearray, str)) else 8 * len(v) if isinstance(v, list) else 8 for v in row)
+
+
+def test_rows_do_not_grow_with_their_block(spark):
+    """What is staged and shuffled has rows of a document's size: a block of 4 MB as one row
+    weighs many times its size in the executors."""
+    rng = random.Random(11)
+    texts = [(k, prose(rng, 300)) for k in range(400)]
+    alone = max(weight(r) for r in ta.blocks(frame(spark, texts[:1]), PAIR).collect())
+    together = max(weight(r) for r in ta.blocks(frame(spark, texts).coalesce(1), PAIR).collect())
+    assert together < 3 * alone
+
+
+def test_work_arrays_do_not_grow_with_the_block():
+    tokens = PAIR.load()
+    rng = random.Random(12)
+    peaks = []
+    for n in (300, 2400):
+        texts = pa.array([prose(rng, 300) for _ in range(n)])
+        docs = pa.RecordBatch.from_arrays([pa.array(range(n)), texts], names=["doc_id", "text"])
+        tracemalloc.start()
+        for _ in ta._block_rows(0, docs, tokens, ta._names(tokens)):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+
+
+def test_many_pairs_and_many_links(spark):
+    """More pairs in a block than 16 bits tell apart, a text of several runs, and a pair with
+    more links in one text than 16 bits count."""
+    tokens = PAIR.load()
+    rng = random.Random(13)
+    pieces = [tokens[side].spell(np.array([k])).tobytes().decode("utf-8", "ignore") for side in (0, 1) for k in range(tokens[side].count)]
+    texts = [(1, "".join(rng.choices(pieces, k=150_000))), (2, "word " * 70_000), (3, None), (4, "some words")]
+    links = {}
+    for key, text in texts:
+        ids = ta.tokenise(text, *tokens)
+        links[key] = Counter()
+        for i, j, _ in ta.overlap_links(*(t.sizes[x] for t, x in zip(tokens, ids))):
+            links[key].update(zip(ids[0][i].tolist(), ids[1][j].tolist()))
+    counts = sum(links.values(), Counter())
+    highest = {}
+    for (_, b_id), n in counts.items():
+        highest[b_id] = max(n, highest.get(b_id, 0))
+    assert len(counts) > 1 << 16 and max(links[2].values()) > 1 << 16
+    wanted = {
+        key: (
+            own.total(),
+            sum(n for p, n in own.items() if counts[p] == highest[p[1]]),
+            sum(n * counts[p] for p, n in own.items()),
+        )
+        for key, own in links.items()
+    }
+    found = ta.align(frame(spark, texts).coalesce(1), PAIR).collect()
+    assert {r["doc_id"]: (r["n_links"], r["n_best"], r["count_sum"]) for r in found} == wanted
+
+
+def test_groups_are_numbered_through_a_block(spark):
+    """However a block is cut into stretches; a text longer than one is one of its own."""
+    rng = random.Random(14)
+    texts = [(1, prose(rng, 20)), (2, None), (3, "word " * 110_000), (4, prose(rng, 20)), (5, "")]
+    per = {r["doc_id"]: r["n_groups"] for r in ta.align(frame(spark, texts).coalesce(1), PAIR).collect()}
+    seen = {k: set() for k in per}
+    for r in ta.links(frame(spark, texts).coalesce(1), PAIR, "group").select("doc_id", "value").distinct().collect():
+        seen[r["doc_id"]].add(r["value"])
+    first = 0
+    for key, _ in texts:
+        assert seen[key] == set(range(first, first + per[key]))
+        first += per[key]
+
+
 def test_empty_tables(spark):
     assert ta.align(spark.createDataFrame([], SCHEMA), PAIR).count() == 0
     only_empty = ta.align(frame(spark, [(1, None), (2, "")]), PAIR).collect()
